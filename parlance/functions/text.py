@@ -4,29 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Every Unicode white-space character, the set that a Unicode-aware strip removes. Java's own \s is
-# ASCII only, so the class is spelled out.
-SPACE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# Every Unicode white-space character, the set that a Unicode-aware strip removes. (?U) widens Java's
+# ASCII-only \s; the four separators 1c-1f are still missing there.
+SPACE = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, none is left at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
+def has_text(text: Column) -> Column:
+    """True unless the text is null or blank."""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def space_words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    squeezed = squeeze(text)
-    return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " "))
+    return F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
 
 
 def word_tokens(text: Column) -> Column:
