@@ -170,8 +170,8 @@ def anchored_messages(messages: DataFrame, seconds: float = 5.0, max_rows: int =
     steps = hot.groupBy("sender_id", SLOT).applyInPandas(
         reduce_slot, f"sender_id string, {SLOT} long, upto array<long>, exits array<long>")
     entries = steps.groupBy("sender_id").applyInPandas(chain_slots, f"sender_id string, {SLOT} long, entry long")
-    # The join keys its left side by (sender, slot), which is all that the walk below needs.
-    placed = rows.join(entries, ["sender_id", SLOT], "left").select(
+    # Bounded: one row per slot, and only senders beyond max_rows have slots.
+    placed = rows.join(F.broadcast(entries), ["sender_id", SLOT], "left").select(
         "sender_id", SLOT, "message_id", "message_text", "at", "entry")
     ordered = placed.repartition("sender_id", SLOT).sortWithinPartitions("sender_id", SLOT, "at", "message_id")
 

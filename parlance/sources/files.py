@@ -44,13 +44,14 @@ def text_documents(spark: SparkSession, path: str, pattern: str | None = None) -
         _decodable(F.col("value")).alias("raw_text"))
 
 
-def json_documents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def json_documents(spark: SparkSession, path: str, pattern: str | None = None,
+                   extensions: tuple[str, ...] = ("json",)) -> DataFrame:
     """A JSON array gives one document per element, an object gives one document.
 
     The text is ``content``, else ``text`` (array elements only), else the JSON itself in compact
     form. Files that are neither give no rows.
     """
-    files = _read_text(spark, path, ("json",), pattern, True)
+    files = _read_text(spark, path, extensions, pattern, True)
     items = F.from_json("value", "array<string>")
 
     def field(json: Column, name: str) -> Column:
