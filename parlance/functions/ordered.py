@@ -1,82 +1,119 @@
 """Order-dependent columns per key that stay bounded when one key holds much of the data.
 
-A window over ``partitionBy(key)`` puts a whole key into one task. Here the keys with more than
-``max_rows`` rows are first cut into slots of their order column, windows run per (key, slot), and a
-small table with one row per slot of those keys carries the state from slot to slot. All other keys
-are one slot and get no carry. Slots follow from exact counts and bounds, so a re-run task sees the
-same ones.
+A window over ``partitionBy(key)`` puts a whole key into one task. So the rows per key are counted
+first (a map-side combined count over the key column alone). Mostly no key has more than
+``max_rows`` rows, and plain windows follow. Otherwise such keys are cut into slots of their order
+column, the rows are written once with their slot, windows run per (key, slot), and a small table
+with one row per slot carries the state from slot to slot.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import work_dir
+
 MAX_ROWS = 2_000_000
 SLOT = "_slot"
 
 
-def with_slots(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Adds ``_slot``: -1 for an ordinary key, else a slot number that grows with ``order``."""
+@dataclass(frozen=True)
+class Keyed:
+    """Rows with the keys that windows may partition by. ``split`` says that some key has slots;
+    then ``df`` has ``_slot``: -1 for an ordinary key, else a number that grows with the order."""
+
+    df: DataFrame
+    keys: list[str]
+    split: bool = False
+
+    @property
+    def parts(self) -> list[str]:
+        return [*self.keys, SLOT] if self.split else self.keys
+
+    def window(self, *order: str | Column):
+        return W.partitionBy(*self.parts).orderBy(*order)
+
+    def rows(self) -> DataFrame:
+        return self.df.drop(SLOT)
+
+    def select(self, df: DataFrame) -> Keyed:
+        """The same keys over changed rows."""
+        return replace(self, df=df)
+
+
+def keyed(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS) -> Keyed:
+    """Finds the keys with more than ``max_rows`` rows (this runs a job) and cuts them into slots."""
     position = _position(df, order)
     stats = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
         .filter(F.col("_n") > max_rows)
         .select(*keys, "_lo",
-                F.greatest((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / max_rows), F.lit(1.0))
-                .alias("_width"))
-    )
-    # Bounded: no more than total rows / max_rows keys can pass the filter above.
-    return (
-        df.join(F.broadcast(stats), keys, "left")
-        .withColumn(SLOT, F.coalesce(F.floor((position - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("long"))
-        .drop("_lo", "_width")
-    )
+                F.greatest((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / max_rows), F.lit(1.0)).alias("_width")))
+    # Bounded: no more than total rows / max_rows keys can pass the filter.
+    hot = stats.collect()
+    if not hot:
+        return Keyed(df, keys)
+    widths = df.sparkSession.createDataFrame(hot, stats.schema)
+    slot = F.coalesce(F.floor((position - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("long")
+    slotted = df.join(F.broadcast(widths), keys, "left").withColumn(SLOT, slot).drop("_lo", "_width")
+    # Written once: the rows are read again for every state that is carried over slots.
+    path = work_dir(df.sparkSession, "slots")
+    slotted.write.parquet(path)
+    return Keyed(df.sparkSession.read.parquet(path), keys, True)
 
 
-def with_history(df: DataFrame, keys: list[str], order: list[str], n: int, item: Column,
-                 name: str) -> DataFrame:
-    """Adds the array of ``item`` over the up to ``n`` rows before this one, oldest first.
+def with_history(rows: Keyed, order: list[str], n: int, item: Column, name: str) -> Keyed:
+    """Adds the array of ``item`` over the up to ``n`` rows before this one, oldest first."""
+    boxed = F.struct(item.alias("v"))
+    local = F.collect_list(boxed).over(rows.window(*order).rowsBetween(-n, -1))
 
-    ``df`` comes from :func:`with_slots`.
-    """
-    local = W.partitionBy(*keys, SLOT).orderBy(*order)
-    df = df.withColumn("_local", F.collect_list(F.struct(item.alias("v"))).over(local.rowsBetween(-n, -1)))
-    newest = W.partitionBy(*keys, SLOT).orderBy(*[F.col(c).desc() for c in order])
+    def unboxed(items: Column) -> Column:
+        return F.transform(items, lambda x: x["v"])
+
+    if not rows.split:
+        return rows.select(rows.df.withColumn(name, unboxed(local)))
+
+    newest = rows.window(*[F.col(c).desc() for c in order])
     tails = (
-        df.filter(F.col(SLOT) >= 0)
-        .select(*keys, SLOT, F.row_number().over(newest).alias("_r"), F.struct(item.alias("v")).alias("_item"))
+        rows.df.filter(F.col(SLOT) >= 0)
+        .select(*rows.parts, F.row_number().over(newest).alias("_r"), boxed.alias("_item"))
         .filter(F.col("_r") <= n)
-        .groupBy(*keys, SLOT)
+        .groupBy(*rows.parts)
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col("_item").alias("i")))).alias("_tail"))
     )
-    before = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(-n, -1)
-    carry = tails.select(*keys, SLOT, F.flatten(F.collect_list(F.col("_tail.i")).over(before)).alias("_carry"))
-    joined = df.join(carry, [*keys, SLOT], "left")
+    before = W.partitionBy(*rows.keys).orderBy(SLOT).rowsBetween(-n, -1)
+    carry = tails.select(*rows.parts, F.flatten(F.collect_list(F.col("_tail.i")).over(before)).alias("_carry"))
+    joined = rows.df.withColumn("_local", local).join(carry, rows.parts, "left")
     history = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(F.concat("_carry", "_local"))
-    start = F.greatest(F.size(history) - n, F.lit(0)) + 1
-    recent = F.slice(history, start, F.lit(n))
-    return joined.withColumn(name, F.transform(recent, lambda x: x["v"])).drop("_local", "_carry")
+    recent = F.slice(history, F.greatest(F.size(history) - n, F.lit(0)) + 1, F.lit(n))
+    return rows.select(joined.withColumn(name, unboxed(recent)).drop("_local", "_carry"))
 
 
-def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
-                 how: str = "sum") -> DataFrame:
-    """Adds the running sum or maximum of ``value`` up to and including this row.
+def with_running(rows: Keyed, order: list[str], values: dict[str, tuple[str, Column]]) -> Keyed:
+    """Adds running aggregates up to and including this row: ``{name: ("sum" | "max", value)}``.
 
-    ``df`` comes from :func:`with_slots`. A running row number is the running sum of 1.
+    A running row number is the running sum of 1.
     """
-    merge = {"sum": F.sum, "max": F.max}[how]
-    local = W.partitionBy(*keys, SLOT).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("_value", value)
-    totals = df.filter(F.col(SLOT) >= 0).groupBy(*keys, SLOT).agg(merge("_value").alias("_total"))
-    before = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(*keys, SLOT, merge("_total").over(before).alias("_carry"))
-    out = df.withColumn("_local", merge("_value").over(local)).join(carry, [*keys, SLOT], "left")
-    if how == "sum":
-        merged = F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))
-    else:
-        merged = F.greatest("_local", "_carry")
-    return out.withColumn(name, merged).drop("_value", "_local", "_carry")
+    merge = {"sum": F.sum, "max": F.max}
+    window = rows.window(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = {name: merge[how](value).over(window) for name, (how, value) in values.items()}
+    if not rows.split:
+        return rows.select(rows.df.withColumns(local))
+
+    totals = rows.df.filter(F.col(SLOT) >= 0).groupBy(*rows.parts).agg(
+        *[merge[how](value).alias(name) for name, (how, value) in values.items()])
+    before = W.partitionBy(*rows.keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.select(*rows.parts, *[
+        merge[how](name).over(before).alias(f"_carry_{name}") for name, (how, _) in values.items()])
+    joined = rows.df.withColumns(local).join(carry, rows.parts, "left")
+    merged = {
+        name: (F.coalesce(name, F.lit(0)) + F.coalesce(f"_carry_{name}", F.lit(0)) if how == "sum"
+               else F.greatest(name, f"_carry_{name}"))
+        for name, (how, _) in values.items()}
+    return rows.select(joined.withColumns(merged).drop(*[f"_carry_{name}" for name in values]))
 
 
 def _position(df: DataFrame, order: str) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordered import MAX_ROWS, SLOT, with_slots
+from ..functions.ordered import MAX_ROWS, SLOT, keyed
 from ..functions.text import non_empty
 from .memory import latest_by_key
 
@@ -135,24 +135,11 @@ def _exits(times: np.ndarray, width: int, slot_start: int) -> tuple[list[int], l
     return upto, exits
 
 
-def anchored_messages(messages: DataFrame, seconds: float = 5.0, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Messages with the anchor of their batch.
-
-    A sender's first message opens a batch that takes everything of that sender for ``seconds``; the
-    first message at or after its end opens the next. Each batch depends on the one before, so a
-    task walks a sender's times in order. Senders with more than ``max_rows`` messages are cut into
-    time slots: each slot is first reduced to a small step function from "an earlier batch closes
-    at" to "the last batch closes at", these are chained per sender, and then every slot is walked
-    by itself from its known start.
-    """
-    width = int(round(seconds * 1_000_000))
-    rows = with_slots(messages.select("sender_id", "message_id", "message_text", "received_at"),
-                      ["sender_id"], "received_at", max_rows).withColumn("at", F.unix_micros("received_at"))
-    hot = rows.filter(F.col(SLOT) >= 0).select("sender_id", SLOT, "at")
-
+def _slot_entries(times: DataFrame, width: int) -> DataFrame:
+    """When the batch that reaches into each slot closes: ``sender_id, _slot, entry``; null if none does."""
     def reduce_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["at"].to_numpy())
-        upto, exits = _exits(times, width, int(times[0]))
+        ascending = np.sort(pdf["at"].to_numpy())
+        upto, exits = _exits(ascending, width, int(ascending[0]))
         return pd.DataFrame({"sender_id": [pdf["sender_id"].iloc[0]], SLOT: [pdf[SLOT].iloc[0]],
                              "upto": [upto], "exits": [exits]})
 
@@ -167,13 +154,34 @@ def anchored_messages(messages: DataFrame, seconds: float = 5.0, max_rows: int =
         return pd.DataFrame({"sender_id": pdf["sender_id"], SLOT: pdf[SLOT],
                              "entry": pd.array(entries, dtype="Int64")})
 
-    steps = hot.groupBy("sender_id", SLOT).applyInPandas(
+    steps = times.groupBy("sender_id", SLOT).applyInPandas(
         reduce_slot, f"sender_id string, {SLOT} long, upto array<long>, exits array<long>")
-    entries = steps.groupBy("sender_id").applyInPandas(chain_slots, f"sender_id string, {SLOT} long, entry long")
-    # Bounded: one row per slot, and only senders beyond max_rows have slots.
-    placed = rows.join(F.broadcast(entries), ["sender_id", SLOT], "left").select(
-        "sender_id", SLOT, "message_id", "message_text", "at", "entry")
-    ordered = placed.repartition("sender_id", SLOT).sortWithinPartitions("sender_id", SLOT, "at", "message_id")
+    return steps.groupBy("sender_id").applyInPandas(chain_slots, f"sender_id string, {SLOT} long, entry long")
+
+
+def anchored_messages(messages: DataFrame, seconds: float = 5.0, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Messages with the anchor of their batch.
+
+    A sender's first message opens a batch that takes everything of that sender for ``seconds``; the
+    first message at or after its end opens the next. Each batch depends on the one before, so a
+    task walks a sender's times in order. Senders with more than ``max_rows`` messages are cut into
+    time slots: each slot is first reduced to a small step function from "an earlier batch closes
+    at" to "the last batch closes at", these are chained per sender, and then every slot is walked
+    by itself from its known start.
+    """
+    width = int(round(seconds * 1_000_000))
+    found = keyed(messages.select("sender_id", "message_id", "message_text", "received_at"),
+                  ["sender_id"], "received_at", max_rows)
+    rows = found.df.withColumn("at", F.unix_micros("received_at"))
+    if found.split:
+        # Bounded: one row per slot, and only senders beyond max_rows have slots.
+        entries = F.broadcast(_slot_entries(rows.filter(F.col(SLOT) >= 0).select("sender_id", SLOT, "at"), width))
+        rows = rows.join(entries, ["sender_id", SLOT], "left")
+    else:
+        rows = rows.withColumn(SLOT, F.lit(-1).cast("long")).withColumn("entry", F.lit(None).cast("long"))
+    ordered = (rows.select("sender_id", SLOT, "message_id", "message_text", "at", "entry")
+               .repartition(*[F.col(c) for c in found.parts])
+               .sortWithinPartitions("sender_id", SLOT, "at", "message_id"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, entry = None, None

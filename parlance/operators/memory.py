@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicons as L
-from ..functions.ordered import MAX_ROWS, SLOT, with_history, with_running, with_slots
+from ..functions.ordered import MAX_ROWS, keyed, with_history, with_running
 from ..functions.text import space_words
 
 SESSION_TIMEOUT = 10_800
@@ -68,22 +68,23 @@ def session_lifecycle(turns: DataFrame, timeout_seconds: float = SESSION_TIMEOUT
     the timeout passed since the last turn of either role, else ``active_ongoing``. ``turn_count``
     counts the user turns since the last start; ``idle_seconds`` is cut to whole seconds.
     """
-    keys, order = ["session_id"], ["ts", "turn_id"]
-    slotted = with_slots(turns, keys, "ts", max_rows)
-    seen = with_history(slotted, keys, order, 1, F.col("ts"), "_before").filter(F.col("role") == "user")
+    order = ["ts", "turn_id"]
+    seen = with_history(keyed(turns, ["session_id"], "ts", max_rows), order, 1, F.col("ts"), "_before")
     idle = F.unix_micros("ts") - F.unix_micros(F.get("_before", 0))
     state = (F.when(F.size("_before") == 0, "first_contact")
              .when(idle > int(timeout_seconds * 1_000_000), "returning_session")
              .otherwise("active_ongoing"))
-    marked = (seen.withColumn("lifecycle_state", state)
-              .withColumn("is_first_turn_of_session", F.col("lifecycle_state") != "active_ongoing")
-              .withColumn("idle_seconds", F.coalesce(F.floor(idle / 1_000_000), F.lit(0)).cast("long")))
-    numbered = with_running(marked, keys, order, F.lit(1).cast("long"), "_row")
-    starts = F.when(F.col("is_first_turn_of_session"), F.col("_row"))
-    placed = with_running(numbered, keys, order, starts, "_start", "max")
-    counted = with_running(placed, keys, order, F.col("is_first_turn_of_session").cast("long"), "session_no")
-    return (counted.withColumn("turn_count", F.col("_row") - F.coalesce("_start", F.lit(1)) + 1)
-            .drop("_before", "_row", "_start", SLOT))
+    first = F.col("is_first_turn_of_session")
+    marked = seen.select(
+        seen.df.filter(F.col("role") == "user").withColumn("lifecycle_state", state)
+        .withColumn("is_first_turn_of_session", F.col("lifecycle_state") != "active_ongoing")
+        .withColumn("idle_seconds", F.coalesce(F.floor(idle / 1_000_000), F.lit(0)).cast("long")))
+    counted = with_running(marked, order, {"_row": ("sum", F.lit(1).cast("long")),
+                                           "session_no": ("sum", first.cast("long"))})
+    placed = with_running(counted, order, {"_start": ("max", F.when(first, F.col("_row")))}).rows()
+    # Without a start there was an earlier turn of the other side only; counting begins at the first row.
+    return (placed.withColumn("turn_count", F.col("_row") - F.coalesce("_start", F.lit(1)) + 1)
+            .drop("_before", "_row", "_start"))
 
 
 def sessions(turns: DataFrame, timeout_seconds: int = SESSION_TIMEOUT) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordered import MAX_ROWS, with_running, with_slots
+from ..functions.ordered import MAX_ROWS, Keyed, keyed, with_running
 from ..functions.text import has_text, space_words, squeeze, strip, uuid5
 from ..functions.vectors import hash_embedder
 
@@ -70,10 +70,9 @@ def section_documents(paragraphs: DataFrame, default_title: str = "Knowledge Bas
     """
     text = F.col("text")
     numbered = (F.length(text) < 60) & text.rlike(r"^\p{Nd}") & F.substring(text, 1, 3).contains(".")
-    marked = with_slots(
-        paragraphs.select("doc_id", "pos", "text", (F.col("is_heading") | numbered).alias("_head")),
-        ["doc_id"], "pos", max_rows)
-    placed = with_running(marked, ["doc_id"], ["pos"], F.col("_head").cast("int"), "_section")
+    marked = paragraphs.select("doc_id", "pos", "text", (F.col("is_heading") | numbered).alias("_head"))
+    lines = keyed(marked, ["doc_id"], "pos", max_rows)
+    placed = with_running(lines, ["pos"], {"_section": ("sum", F.col("_head").cast("int"))}).rows()
     body = F.when(~F.col("_head"), F.struct("pos", "text"))
     sections = (
         placed.groupBy("doc_id", "_section")
@@ -81,8 +80,9 @@ def section_documents(paragraphs: DataFrame, default_title: str = "Knowledge Bas
              F.sort_array(F.collect_list(body)).alias("_body"))
         .filter(F.size("_body") > 0)
     )
-    ordered = with_slots(sections, ["doc_id"], "_section", max_rows)
-    return with_running(ordered, ["doc_id"], ["_section"], F.lit(1), "_no").select(
+    # A document has no more sections than lines.
+    by_doc = keyed(sections, ["doc_id"], "_section", max_rows) if lines.split else Keyed(sections, ["doc_id"])
+    return with_running(by_doc, ["_section"], {"_no": ("sum", F.lit(1))}).rows().select(
         F.concat(F.col("doc_id"), F.lit("_SEC_"), F.col("_no")).alias("doc_id"),
         F.coalesce("_title", F.lit(default_title)).alias("doc_title"),
         F.concat(F.lit("doc://"), F.col("doc_id"), F.lit("#"), F.col("_no")).alias("source_uri"),

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicons as L
-from ..functions.ordered import MAX_ROWS, SLOT, with_history, with_slots
+from ..functions.ordered import MAX_ROWS, keyed, with_history
 from ..functions.text import contains_any, first_contained, has_text, latin_words, space_words, strip, word_array
 
 
@@ -80,8 +80,7 @@ def detect_language(turns: DataFrame, lexicon: L.LanguageLexicon = L.LanguageLex
         F.when(F.col("_short"), F.col("_clean")).alias("short_text"),
         F.col("_script").alias("script"),
         F.when(has_text(text), F.col("_vote")).alias("vote"))
-    past = with_history(with_slots(own, ["session_id"], "ts", max_rows), ["session_id"], ["ts", "turn_id"], 4,
-                        note, "_past")
+    past = with_history(keyed(own, ["session_id"], "ts", max_rows), ["ts", "turn_id"], 4, note, "_past").rows()
 
     def romanised(script: Column) -> Column:
         out = script
@@ -103,7 +102,7 @@ def detect_language(turns: DataFrame, lexicon: L.LanguageLexicon = L.LanguageLex
                 .otherwise(F.coalesce(script_label, F.col("_vote"), F.when(F.col("_short"), inherited),
                                       F.lit(lexicon.default))))
     return past.withColumn("language", language).drop(
-        "_script", "_vote", "_native", "_clean", "_short", "_past", SLOT)
+        "_script", "_vote", "_native", "_clean", "_short", "_past")
 
 
 def profile_language(text: Column, lexicon: L.ProfileLexicon = L.ProfileLexicon()) -> Column:
@@ -214,10 +213,8 @@ def label_messages(messages: DataFrame, router: L.RouterLexicon = L.RouterLexico
 def signal_mix(labelled: DataFrame, label: str, by: list[str]) -> DataFrame:
     """Count and share of every value of ``label`` within each group of ``by``."""
     counts = labelled.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-    same = reduce(lambda a, b: a & b, [counts[c].eqNullSafe(totals[c]) for c in by]) if by else F.lit(True)
-    return counts.join(totals, same).select(
-        *[counts[c] for c in by], counts[label], "n", (F.col("n") / F.col("_total")).alias("share"))
+    # Over the counts, one row per group and label.
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*by)))
 
 
 # -- replies --------------------------------------------------------------------------------------

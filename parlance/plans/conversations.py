@@ -112,12 +112,12 @@ def short_reply_language(spark, sf_dir):
 
 
 @query("language_mix", f"""WITH {I.SQL_TURNS}, {_language_sql(LANGUAGES, 'turns', 'FALSE')},
-counts AS (SELECT role, CAST(date_trunc('week', ts) AS DATE) AS week, language, count(*) AS n FROM labelled GROUP BY ALL)
+counts AS (SELECT role, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, language, count(*) AS n FROM labelled GROUP BY ALL)
 SELECT role, week, language, n, round(n / sum(n) OVER (PARTITION BY role, week), 6) AS share FROM counts""")
 def language_mix(spark, sf_dir):
     """Languages per role and week."""
     labelled = signals.detect_language(I.turns(spark, sf_dir), LANGUAGES).withColumn(
-        "week", F.to_date(F.date_trunc("week", "ts")))
+        "week", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
     return signals.signal_mix(labelled, "language", ["role", "week"]).withColumn("share", F.round("share", 6))
 
 
@@ -284,7 +284,7 @@ def split_replies(spark, sf_dir):
 
 @query("parse_replies", f"""WITH parsed AS (
   SELECT conv_id, turn, CASE role WHEN 'user' THEN string_split(text, chr(10))
-    WHEN 'assistant' THEN [to_json({{'answer': text}})] ELSE [text] END AS m FROM conversations)
+    WHEN 'assistant' THEN [CAST(to_json({{'answer': text}}) AS VARCHAR)] ELSE [text] END AS m FROM conversations)
 SELECT conv_id, turn, CAST(len(m) AS INTEGER) AS messages, md5(array_to_string(m, '|')) AS messages_md5 FROM parsed""")
 def parse_replies(spark, sf_dir):
     """User texts as fenced JSON with a list, assistant texts as other JSON, the rest as no JSON."""

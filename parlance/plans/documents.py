@@ -431,7 +431,7 @@ def _built_index(spark, sf_dir, label):
 
 
 @query("index_upsert", f"""WITH {I.SQL_CHUNKS}, revised AS (
-  SELECT chunk_id, doc_id, chunk_index, upper(content) AS content FROM chunks WHERE source_uri = 'src3'),
+  SELECT chunk_id, doc_id, chunk_index, 'revised ' || content AS content FROM chunks WHERE source_uri = 'src3'),
 added AS (SELECT 'new_' || item_id || '_chk_0' AS chunk_id, text AS content FROM benchmark)
 SELECT chunk_id, md5(content) AS content_md5 FROM revised
 UNION ALL SELECT chunk_id, md5(content) FROM chunks WHERE source_uri <> 'src3'
@@ -439,7 +439,8 @@ UNION ALL SELECT chunk_id, md5(array_to_string({I.sql_words('content')}, ' ')) F
 def index_upsert(spark, sf_dir):
     """One source's chunks revised and new documents added in one upsert."""
     path = _built_index(spark, sf_dir, "upsert")
-    revised = I.chunks(spark, sf_dir).filter(F.col("source_uri") == "src3").withColumn("content", F.upper("content"))
+    revised = I.chunks(spark, sf_dir).filter(F.col("source_uri") == "src3").withColumn(
+        "content", F.concat(F.lit("revised "), "content"))
     added = prep.chunk_documents(I.table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("new_"), "item_id").alias("doc_id"), F.lit("New").alias("doc_title"),
         F.lit("new").alias("source_uri"), F.col("text").alias("raw_text")))

@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import prep
 
 EPOCH = 1_704_067_200  # 2024-01-01
+# The events' times are stored without a zone; read as UTC instants.
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
     """A given table. ``spread_by`` deals its rows out when the files split into fewer tasks than
     there are cores: a file of one row group is one task, and text work is all on the CPU."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(EVENTS) if name == "events" else spark.read
+    df = reader.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if spread_by and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, spread_by)

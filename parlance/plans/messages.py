@@ -134,11 +134,11 @@ def notifications(spark, sf_dir):
 # An hour is long enough here for batches of several messages.
 _HOUR = 3600
 _ANCHOR_SQL = """RECURSIVE ordered AS (
-  SELECT *, epoch_us(received_at) AS at, row_number() OVER (PARTITION BY sender_id ORDER BY received_at, message_id) AS rn FROM messages),
+  SELECT *, epoch_us(received_at) AS t, row_number() OVER (PARTITION BY sender_id ORDER BY received_at, message_id) AS rn FROM messages),
 walk AS (
-  SELECT sender_id, rn, at, at AS anchor FROM ordered WHERE rn = 1
+  SELECT sender_id, rn, t, t AS anchor FROM ordered WHERE rn = 1
   UNION ALL
-  SELECT o.sender_id, o.rn, o.at, CASE WHEN o.at >= w.anchor + 3600000000 THEN o.at ELSE w.anchor END
+  SELECT o.sender_id, o.rn, o.t, CASE WHEN o.t >= w.anchor + 3600000000 THEN o.t ELSE w.anchor END
   FROM walk w JOIN ordered o ON o.sender_id = w.sender_id AND o.rn = w.rn + 1),
 batches AS (
   SELECT w.sender_id, anchor, string_agg(message_text, ', ' ORDER BY o.rn) AS flattened_message,
@@ -168,11 +168,8 @@ def anchored_batches_split(spark, sf_dir):
 
 # -- streams, run until what is there has been read ------------------------------------------------
 
-_EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-
-
 def _event_stream(spark, sf_dir):
-    return spark.readStream.schema(_EVENTS).parquet(f"{sf_dir}/events*.parquet")
+    return spark.readStream.schema(I.EVENTS).parquet(f"{sf_dir}/events*.parquet")
 
 
 def _drained(spark, df, label):
