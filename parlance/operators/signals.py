@@ -235,10 +235,12 @@ def clean_reply(text: Column, language: Column, spelling=L.MALAYALAM_TO_LATIN) -
         spelled = F.replace(spelled, F.lit(letters), F.lit(latin_form))
     spelled = F.regexp_replace(spelled, f"[{block}]", "")
     # The chain of replacements runs only where there is something to replace.
-    out = F.when((latin > 0) & (latin >= foreign) & (foreign > 0), spelled).otherwise(bare)
+    latinised = F.when((foreign > 0) & (latin > 0) & (latin >= foreign), spelled).otherwise(bare)
+    joined = latinised
     for pattern, replacement, any_case in L.HYPHEN_REWRITES:
-        out = F.regexp_replace(out, ("(?iU)" if any_case else "") + pattern, replacement)
-    return F.when(language.isin(*L.PLAIN_LANGUAGES), tidy(bare)).otherwise(tidy(out))
+        joined = F.regexp_replace(joined, ("(?iU)" if any_case else "") + pattern, replacement)
+    out = F.when(language.isin(*L.PLAIN_LANGUAGES), bare).when(bare.contains("-"), joined).otherwise(latinised)
+    return tidy(out)
 
 
 def scrub_size_mentions(text: Column) -> Column:

@@ -308,10 +308,9 @@ states AS (
 SELECT turn_id, state, language, state || ' ' || CASE WHEN language IN ('english', 'f2') THEN language ELSE 'any' END AS reply FROM states""")
 def canned_replies(spark, sf_dir):
     """Reply templates by lifecycle state and language, with a row per state for all other languages."""
-    templates = I.table(spark, sf_dir, "events").select(F.explode(F.array(*[
-        F.struct(F.lit(s).alias("state"), F.lit(l).alias("language"),
-                 F.lit(f"{s} {'any' if l == '*' else l}").alias("reply")) for s in _STATES for l in ("english", "f2", "*")
-    ])).alias("t")).select("t.*").distinct()
+    templates = spark.createDataFrame(
+        [(s, l, f"{s} {'any' if l == '*' else l}") for s in _STATES for l in ("english", "f2", "*")],
+        "state string, language string, reply string")
     turns = signals.detect_language(I.event_turns(spark, sf_dir), ONE_WORD)
     states = memory.session_lifecycle(turns).withColumnRenamed("lifecycle_state", "state")
     return signals.canned_replies(states, templates).select("turn_id", "state", "language", "reply")

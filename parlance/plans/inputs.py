@@ -126,7 +126,7 @@ def profile_events_of(events: DataFrame) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a nested messaging payload; its type picks the array that it travels in."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", "event_id")
     user, kind = F.col("user_id").cast("string"), F.col("event_type")
     text = F.concat("event_type", F.lit(" "), "props")
     mid = F.concat(F.lit("mid."), F.col("event_id"))

@@ -163,7 +163,7 @@ def anchored_batches(spark, sf_dir):
 SELECT sender_id, anchor AS window_start, flattened_message, ids, message_count FROM batches""")
 def anchored_batches_split(spark, sf_dir):
     """The same with every busy sender cut into time slots."""
-    return _batch_rows(inbox.anchored_batches(I.event_messages(spark, sf_dir), _HOUR, max_rows=20))
+    return _batch_rows(inbox.anchored_batches(I.event_messages(spark, sf_dir), _HOUR, max_rows=60))
 
 
 # -- streams, run until what is there has been read ------------------------------------------------

@@ -6,7 +6,7 @@ so a job that dies half-way leaves the old version in force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..schemas import VECTOR_POINT
 
@@ -48,15 +48,15 @@ def refresh_index(points: DataFrame, path: str) -> int:
 def upsert_points(points: DataFrame, path: str) -> int:
     """Adds points and replaces those with the same id; creates the index if missing.
 
-    Within one batch the last chunk by (doc_id, chunk_index) of an id wins. The stored side only
-    loses the ids of the batch, so a small batch is broadcast by the planner and the stored side is
-    rewritten without a shuffle.
+    Within one batch the last chunk by (doc_id, chunk_index, content) of an id wins. The stored
+    side only loses the ids of the batch, so a small batch is broadcast by the planner and the
+    stored side is rewritten without a shuffle.
     """
     spark = points.sparkSession
-    latest = points.groupBy("point_id").agg(
-        F.max_by(F.struct(*points.columns), F.struct("doc_id", "chunk_index")).alias("p")).select("p.*")
+    last = W.partitionBy("point_id").orderBy(*[F.col(c).desc() for c in ("doc_id", "chunk_index", "content")])
+    latest = points.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") == 1).drop("_r")
     old = read_index(spark, path)
-    kept = old.join(latest.select("point_id"), "point_id", "left_anti").select(*old.columns)
+    kept = without_points(old, points)
     return spark.read.parquet(_write(kept.unionByName(latest.select(*old.columns)), path)).count()
 
 
