@@ -117,12 +117,13 @@ def consolidate_profiles(turns: DataFrame, topics: int = 5) -> DataFrame:
     that came first. Counted per (user, word) before anything is gathered.
     """
     said = turns.filter(F.col("role") == "user")
-    words = said.select("user_id", "ts", "turn_id", F.posexplode(space_words(F.lower("content"))).alias("pos", "raw"))
+    words = said.select("user_id", "ts", F.posexplode(space_words(F.lower("content"))).alias("pos", "raw"))
     bare = F.btrim("raw", F.lit(L.TOPIC_STRIP))
     kept = words.withColumn("word", bare).filter((F.length("raw") > 3) & ~F.col("word").isin(*L.TOPIC_STOPWORDS))
-    counts = kept.groupBy("user_id", "word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "turn_id", "pos")).alias("first"))
-    order = W.partitionBy("user_id").orderBy(F.col("n").desc(), "first")
+    # Time and place of a word as one number, which a hash aggregate can keep the minimum of.
+    place = F.unix_micros("ts").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("pos")
+    counts = kept.groupBy("user_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    order = W.partitionBy("user_id").orderBy(F.col("n").desc(), "first", "word")
     top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= topics)
     ranked = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("r", "word"))).alias("_t")).select(
         "user_id", F.col("_t.word").alias("key_topics"))
