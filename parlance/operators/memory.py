@@ -91,13 +91,13 @@ def sessions(turns: DataFrame, timeout_seconds: int = SESSION_TIMEOUT) -> DataFr
     """One row per session stretch without a longer pause than the timeout: start, end, turns.
 
     Works on a table or on a stream with a watermark. A pause of exactly the timeout does not end
-    a stretch, hence the microsecond on top. In batch, tasks merge their own sessions before the
-    shuffle, so a hot session id sends only a few rows.
+    a stretch. In batch, tasks merge their own sessions before the shuffle, so a hot session id
+    sends only a few rows.
     """
     spark = turns.sparkSession
     if not turns.isStreaming:
         spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
-    gap = F.session_window("ts", f"{timeout_seconds} seconds 1 microsecond")
+    gap = F.session_window("ts", f"{timeout_seconds} seconds")
     return turns.groupBy("session_id", gap.alias("w")).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("turns"),
     ).select("session_id", "started_at", "ended_at", "turns")

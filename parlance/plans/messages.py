@@ -185,7 +185,7 @@ def _turn_stream(spark, sf_dir):
 
 @query("stream_sessions", f"""WITH {I.SQL_EVENT_TURNS}, stretches AS (
   WITH {_SESSIONS_SQL})
-SELECT * FROM stretches WHERE ended_at + 10800000001 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events) * 1000""")
+SELECT * FROM stretches WHERE ended_at + 10800000000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events) * 1000""")
 def stream_sessions(spark, sf_dir):
     """Stretches that have ended by the watermark, ten minutes before the last event."""
     return _session_rows(_drained(spark, jobs.session_stream(_turn_stream(spark, sf_dir)), "sessions"))
