@@ -2,9 +2,10 @@
 
 A window over ``partitionBy(key)`` puts a whole key into one task. So the rows per key are counted
 first (a map-side combined count over the key column alone). Mostly no key has more than
-``max_rows`` rows, and plain windows follow. Otherwise such keys are cut into slots of their order
-column, the rows are written once with their slot, windows run per (key, slot), and a small table
-with one row per slot carries the state from slot to slot.
+``max_rows`` rows, and plain windows follow. Otherwise the rows of such keys are range-partitioned
+by key and order, every range is a slot, and the rows are written once with their slot number.
+Windows then run per (key, slot), and a small table with one row per key and slot carries the state
+from slot to slot.
 """
 
 from __future__ import annotations
@@ -43,26 +44,24 @@ class Keyed:
         return replace(self, df=df)
 
 
-def keyed(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS) -> Keyed:
+def keyed(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS) -> Keyed:
     """Finds the keys with more than ``max_rows`` rows (this runs a job) and cuts them into slots."""
-    position = _position(df, order)
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .filter(F.col("_n") > max_rows)
-        .select(*keys, "_lo",
-                F.greatest((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / max_rows), F.lit(1.0)).alias("_width")))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
     # Bounded: no more than total rows / max_rows keys can pass the filter.
-    hot = stats.collect()
-    if not hot:
+    found = counts.collect()
+    if not found:
         return Keyed(df, keys)
-    widths = df.sparkSession.createDataFrame(hot, stats.schema)
-    slot = F.coalesce(F.floor((position - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("long")
-    slotted = df.join(F.broadcast(widths), keys, "left").withColumn(SLOT, slot).drop("_lo", "_width")
-    # Written once: the rows are read again for every state that is carried over slots.
-    path = work_dir(df.sparkSession, "slots")
-    slotted.write.parquet(path)
-    return Keyed(df.sparkSession.read.parquet(path), keys, True)
+    spark = df.sparkSession
+    hot = F.broadcast(spark.createDataFrame(found, counts.schema).drop("_n"))
+    slots = -(-sum(r["_n"] for r in found) // max_rows)
+    # Ranges follow the data, so they are even whatever the keys and times look like.
+    ranged = (df.join(hot, keys, "left_semi").repartitionByRange(slots, *keys, *order)
+              .withColumn(SLOT, F.spark_partition_id().cast("long")))
+    rest = df.join(hot, keys, "left_anti").withColumn(SLOT, F.lit(-1).cast("long"))
+    # Written once: the slot numbers are settled by that, whatever is run again later.
+    path = work_dir(spark, "slots")
+    ranged.unionByName(rest).write.parquet(path)
+    return Keyed(spark.read.parquet(path), keys, True)
 
 
 def with_history(rows: Keyed, order: list[str], n: int, item: Column, name: str) -> Keyed:
@@ -114,9 +113,3 @@ def with_running(rows: Keyed, order: list[str], values: dict[str, tuple[str, Col
                else F.greatest(name, f"_carry_{name}"))
         for name, (how, _) in values.items()}
     return rows.select(joined.withColumns(merged).drop(*[f"_carry_{name}" for name in values]))
-
-
-def _position(df: DataFrame, order: str) -> Column:
-    """The order column as a number."""
-    kind = dict(df.dtypes)[order]
-    return (F.unix_micros(F.col(order)) if kind == "timestamp" else F.col(order)).cast("double")

@@ -115,7 +115,7 @@ def _anchors(times: np.ndarray, width: int, entry: int) -> tuple[np.ndarray, int
 def _exits(times: np.ndarray, width: int, slot_start: int) -> tuple[list[int], list[int]]:
     """How a slot maps the moment an earlier batch closes to the moment its own last batch closes.
 
-    Only batches that close within ``width`` after the slot's start reach into it. The map is a step
+    Only batches that close within ``width`` after the slot's first time reach into it. The map is a step
     function: ``exits[k]`` holds for closing moments up to ``upto[k]``.
     """
     n = len(times)
@@ -165,13 +165,13 @@ def anchored_messages(messages: DataFrame, seconds: float = 5.0, max_rows: int =
     A sender's first message opens a batch that takes everything of that sender for ``seconds``; the
     first message at or after its end opens the next. Each batch depends on the one before, so a
     task walks a sender's times in order. Senders with more than ``max_rows`` messages are cut into
-    time slots: each slot is first reduced to a small step function from "an earlier batch closes
+    slots: each slot is first reduced to a small step function from "an earlier batch closes
     at" to "the last batch closes at", these are chained per sender, and then every slot is walked
     by itself from its known start.
     """
     width = int(round(seconds * 1_000_000))
     found = keyed(messages.select("sender_id", "message_id", "message_text", "received_at"),
-                  ["sender_id"], "received_at", max_rows)
+                  ["sender_id"], ["received_at", "message_id"], max_rows)
     rows = found.df.withColumn("at", F.unix_micros("received_at"))
     if found.split:
         # Bounded: one row per slot, and only senders beyond max_rows have slots.

@@ -69,7 +69,7 @@ def session_lifecycle(turns: DataFrame, timeout_seconds: float = SESSION_TIMEOUT
     counts the user turns since the last start; ``idle_seconds`` is cut to whole seconds.
     """
     order = ["ts", "turn_id"]
-    seen = with_history(keyed(turns, ["session_id"], "ts", max_rows), order, 1, F.col("ts"), "_before")
+    seen = with_history(keyed(turns, ["session_id"], order, max_rows), order, 1, F.col("ts"), "_before")
     idle = F.unix_micros("ts") - F.unix_micros(F.get("_before", 0))
     state = (F.when(F.size("_before") == 0, "first_contact")
              .when(idle > int(timeout_seconds * 1_000_000), "returning_session")

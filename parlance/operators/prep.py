@@ -71,7 +71,7 @@ def section_documents(paragraphs: DataFrame, default_title: str = "Knowledge Bas
     text = F.col("text")
     numbered = (F.length(text) < 60) & text.rlike(r"^\p{Nd}") & F.substring(text, 1, 3).contains(".")
     marked = paragraphs.select("doc_id", "pos", "text", (F.col("is_heading") | numbered).alias("_head"))
-    lines = keyed(marked, ["doc_id"], "pos", max_rows)
+    lines = keyed(marked, ["doc_id"], ["pos"], max_rows)
     placed = with_running(lines, ["pos"], {"_section": ("sum", F.col("_head").cast("int"))}).rows()
     body = F.when(~F.col("_head"), F.struct("pos", "text"))
     sections = (
@@ -81,7 +81,7 @@ def section_documents(paragraphs: DataFrame, default_title: str = "Knowledge Bas
         .filter(F.size("_body") > 0)
     )
     # A document has no more sections than lines.
-    by_doc = keyed(sections, ["doc_id"], "_section", max_rows) if lines.split else Keyed(sections, ["doc_id"])
+    by_doc = keyed(sections, ["doc_id"], ["_section"], max_rows) if lines.split else Keyed(sections, ["doc_id"])
     return with_running(by_doc, ["_section"], {"_no": ("sum", F.lit(1))}).rows().select(
         F.concat(F.col("doc_id"), F.lit("_SEC_"), F.col("_no")).alias("doc_id"),
         F.coalesce("_title", F.lit(default_title)).alias("doc_title"),

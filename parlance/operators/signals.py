@@ -80,7 +80,8 @@ def detect_language(turns: DataFrame, lexicon: L.LanguageLexicon = L.LanguageLex
         F.when(F.col("_short"), F.col("_clean")).alias("short_text"),
         F.col("_script").alias("script"),
         F.when(has_text(text), F.col("_vote")).alias("vote"))
-    past = with_history(keyed(own, ["session_id"], "ts", max_rows), ["ts", "turn_id"], 4, note, "_past").rows()
+    order = ["ts", "turn_id"]
+    past = with_history(keyed(own, ["session_id"], order, max_rows), order, 4, note, "_past").rows()
 
     def romanised(script: Column) -> Column:
         out = script

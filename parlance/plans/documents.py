@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, strip
+from ..functions.text import space_words, squeeze, strip
 from ..functions.vectors import cosine
 from ..lexicons import RouterLexicon
 from ..operators import memory, prep, retrieval, signals
 from ..session import work_dir
 from ..sources import files, vector_table
-from . import inputs as I
+from . import inputs as I, pipelines
 from .registry import query
 
 K = 4
@@ -151,7 +151,7 @@ SELECT chunk_id, doc_title, md5(content) AS content_md5, CAST(len({I.sql_words('
 def inject_facts(spark, sf_dir):
     """Facts injected into an empty index, read back."""
     path = work_dir(spark, "facts")
-    vector_table.upsert_points(prep.to_points(prep.facts_to_chunks(_facts(spark, sf_dir))), path)
+    pipelines.add_facts(_facts(spark, sf_dir), path)
     return vector_table.read_index(spark, path).select(
         "chunk_id", "doc_title", F.md5("content").alias("content_md5"), "token_count", "point_id",
         F.size("embedding").alias("dimensions"))
@@ -162,7 +162,7 @@ SELECT doc_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, 7
 def ingest_documents(spark, sf_dir):
     """Chunk, embed, replace the index; what the index then holds per document."""
     path = work_dir(spark, "ingest")
-    vector_table.refresh_index(I.points(spark, sf_dir), path)
+    pipelines.ingest(I.documents(spark, sf_dir), path)
     return vector_table.read_index(spark, path).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"),
         F.max(F.size("embedding")).alias("dimensions"))
@@ -202,6 +202,39 @@ def csv_source(spark, sf_dir):
     return files.csv_documents(spark, path).select("raw_text", "doc_title")
 
 
+@query("folder_import", f"""WITH bodies AS (
+  SELECT text AS raw_text FROM benchmark
+  UNION ALL SELECT 's_suppkey: ' || s_suppkey || ' | name: ' || s_name FROM supplier),
+cut AS (SELECT {I.sql_words('raw_text')} AS w FROM bodies),
+starts AS (SELECT w, unnest(range(0, CAST(ceil(len(w) / 462.0) AS BIGINT))) AS i FROM cut WHERE len(w) > 0)
+SELECT CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS content_md5, 768 AS dimensions FROM starts""")
+def folder_import(spark, sf_dir):
+    """A folder of text and CSV files imported into an index."""
+    folder, path = work_dir(spark, "folder"), work_dir(spark, "folder-index")
+    I.table(spark, sf_dir, "benchmark").repartition("item_id").write.partitionBy("item_id").text(f"{folder}/texts")
+    I.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name")).write.option(
+        "header", "true").csv(f"{folder}/tables")
+    # One text file name may come back in several folders; the part of the path keeps the ids apart.
+    docs = files.folder_documents(spark, folder).withColumn("doc_id", F.concat("doc_id", F.lit("/"), F.md5("raw_text")))
+    vector_table.upsert_points(prep.documents_to_points(docs), path)
+    return vector_table.read_index(spark, path).select(
+        "chunk_index", F.md5("content").alias("content_md5"), F.size("embedding").alias("dimensions"))
+
+
+@query("document_sync", f"""WITH {I.SQL_CHUNKS}, changed AS (
+  SELECT doc_id, {I.sql_words('raw_text')}[1:600] AS w FROM docs WHERE source_uri = 'src7'),
+starts2 AS (SELECT *, unnest(range(0, CAST(ceil(len(w) / 462.0) AS BIGINT))) AS i FROM changed WHERE len(w) > 0)
+SELECT chunk_id, token_count FROM chunks WHERE source_uri <> 'src7'
+UNION ALL SELECT doc_id || '_chk_' || i, CAST(len(w[i * 462 + 1 : i * 462 + 512]) AS INTEGER) FROM starts2""")
+def document_sync(spark, sf_dir):
+    """One source's documents were cut to 600 words; the index follows and drops their later chunks."""
+    path = _built_index(spark, sf_dir, "sync")
+    changed = I.documents(spark, sf_dir).filter(F.col("source_uri") == "src7").withColumn(
+        "raw_text", F.array_join(F.slice(space_words(F.col("raw_text")), 1, 600), " "))
+    pipelines.sync_documents(changed, path)
+    return vector_table.read_index(spark, path).select("chunk_id", "token_count")
+
+
 @query("user_turn_scan", f"""WITH {I.SQL_TURNS}
 SELECT turn_id, session_id, user_id, role, md5(content) AS content_md5 FROM turns WHERE role = 'user'""")
 def user_turn_scan(spark, sf_dir):
@@ -422,6 +455,24 @@ def gated_retrieval(spark, sf_dir):
     return hits.select("query_id", "intent", "chunk_id", "rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
+@query("answer_plans", f"""WITH {I.SQL_CHUNKS}, {I.SQL_QUESTIONS},
+routed AS (SELECT *, {_router_sql('query')} AS intent FROM questions),
+asked AS (SELECT query_id, query FROM routed WHERE intent <> 'CHIT_CHAT'),
+{I.sql_hybrid('asked', K, WEIGHT)}, cited AS (
+  SELECT query_id, string_agg(doc_id, ' ' ORDER BY rank) AS cited, count(*) AS n FROM hits JOIN chunks USING (chunk_id) GROUP BY 1)
+SELECT query_id, intent, CASE intent WHEN 'DEEP_REASONING' THEN 'deep' ELSE 'fast' END AS model_tier,
+       coalesce(cited, '') AS cited, CAST(coalesce(n, 0) AS INTEGER) AS sources FROM routed LEFT JOIN cited USING (query_id)""")
+def answer_plans(spark, sf_dir):
+    """From questions to intent, citations and prompt in one plan."""
+    turns = I.turns(spark, sf_dir)
+    plans = pipelines.prepare_answers(I.questions(spark, sf_dir), turns, memory.consolidate_profiles(turns),
+                                      I.points(spark, sf_dir), K, WEIGHT, ROUTER)
+    sources = (F.length("prompt") - F.length(F.replace("prompt", F.lit("[Source "), F.lit("")))) / 8
+    return plans.select("query_id", "intent", "model_tier",
+                        F.coalesce(F.array_join("citations.doc_id", " "), F.lit("")).alias("cited"),
+                        sources.cast("int").alias("sources"))
+
+
 # -- index ----------------------------------------------------------------------------------------
 
 def _built_index(spark, sf_dir, label):
@@ -507,6 +558,6 @@ def knowledge_seed(spark, sf_dir):
         F.concat(F.lit("part-"), "p_partkey").alias("doc_id"), F.col("p_type").alias("title"),
         F.concat("p_name", F.lit(" of "), "p_brand").alias("content"))
     path = work_dir(spark, "seed")
-    vector_table.upsert_points(prep.to_points(prep.facts_to_chunks(facts)), path)
+    pipelines.add_facts(facts, path)
     return vector_table.read_index(spark, path).select(
         "chunk_id", F.col("doc_title").alias("category"), F.md5("content").alias("content_md5"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inbox
+from ..operators import crm, inbox
 from ..session import work_dir
 from ..sources import vector_table, webhooks
 from ..streaming import jobs
-from . import inputs as I
+from . import inputs as I, pipelines
 from .conversations import _CUSTOMER_COLUMNS, _SESSIONS_SQL, _session_rows, customer_rows
 from .registry import query
 
@@ -45,6 +45,16 @@ _DEDUP_SQL = """dedup AS (
     QUALIFY row_number() OVER (PARTITION BY mid ORDER BY received_at, message_id) = 1))"""
 
 
+@query("inbound_messages", f"""WITH {_FLAT_SQL}
+SELECT sender_id AS user_id, count(*) AS total_turns, epoch_us(max(received_at)) AS last_active,
+  CASE WHEN bool_or(contains(message_text, 'purchase')) THEN 'Ready to Order' ELSE 'New Lead' END AS stage
+FROM flat GROUP BY 1""")
+def inbound_messages(spark, sf_dir):
+    """Payloads to inbox rows to customer records, with the default word lists."""
+    _, events = pipelines.process_inbound(I.payloads(spark, sf_dir))
+    return crm.fold_customers(events).select("user_id", "total_turns", F.unix_micros("last_active").alias("last_active"), "stage")
+
+
 @query("inbox_dedup", f"WITH {I.SQL_MESSAGES}, {_DEDUP_SQL} SELECT message_id, mid FROM dedup")
 def inbox_dedup(spark, sf_dir):
     return inbox.dedup_messages(I.event_messages(spark, sf_dir)).select("message_id", "mid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,8 +37,3 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/parlance/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has no more than ``rows`` rows; stops reading once that is settled."""
-    return df.limit(rows + 1).count() <= rows

@@ -90,9 +90,9 @@ def csv_documents(spark: SparkSession, path: str, pattern: str | None = None) ->
             W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     headers = numbered.groupBy("path").agg(
         F.min_by(_csv_cells(F.col("value")), F.struct("block", "in_split")).alias("header"))
-    rows = (numbered.join(splits.select("path", "block", "before"), ["path", "block"])
-            .withColumn("i", F.col("before") + F.col("in_split") - 2).filter(F.col("i") >= 0)
-            .join(headers, "path"))
+    # Joined by split, so that a file with much of the data is not one join key.
+    rows = (numbered.join(splits.join(headers, "path").select("path", "block", "before", "header"), ["path", "block"])
+            .withColumn("i", F.col("before") + F.col("in_split") - 2).filter(F.col("i") >= 0))
     cells = F.map_from_arrays(
         "header", F.slice(F.concat(_csv_cells(F.col("value")), F.transform("header", lambda _: F.lit(""))),
                           F.lit(1), F.size("header")))
