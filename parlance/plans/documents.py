@@ -222,15 +222,16 @@ def folder_import(spark, sf_dir):
 
 
 @query("document_sync", f"""WITH {I.SQL_CHUNKS}, changed AS (
-  SELECT doc_id, {I.sql_words('raw_text')}[1:600] AS w FROM docs WHERE source_uri = 'src7'),
+  SELECT doc_id, list_distinct({I.sql_words('raw_text')}) AS w FROM docs WHERE source_uri = 'src7'),
 starts2 AS (SELECT *, unnest(range(0, CAST(ceil(len(w) / 462.0) AS BIGINT))) AS i FROM changed WHERE len(w) > 0)
 SELECT chunk_id, token_count FROM chunks WHERE source_uri <> 'src7'
 UNION ALL SELECT doc_id || '_chk_' || i, CAST(len(w[i * 462 + 1 : i * 462 + 512]) AS INTEGER) FROM starts2""")
 def document_sync(spark, sf_dir):
-    """One source's documents were cut to 600 words; the index follows and drops their later chunks."""
+    """One source's documents lost their repeated words; the index follows and drops the chunks that
+    are no more."""
     path = _built_index(spark, sf_dir, "sync")
     changed = I.documents(spark, sf_dir).filter(F.col("source_uri") == "src7").withColumn(
-        "raw_text", F.array_join(F.slice(space_words(F.col("raw_text")), 1, 600), " "))
+        "raw_text", F.array_join(F.array_distinct(space_words(F.col("raw_text"))), " "))
     pipelines.sync_documents(changed, path)
     return vector_table.read_index(spark, path).select("chunk_id", "token_count")
 

@@ -20,7 +20,7 @@ _FLAT_SQL = """flat AS (
     CASE WHEN event_type = 'view' THEN 'https://cdn.example/' || event_id END AS audio_url,
     CASE event_type WHEN 'click' THEN 'messenger' WHEN 'signup' THEN 'messenger' WHEN 'error' THEN 'whatsapp' ELSE 'instagram' END AS platform,
     CASE event_type WHEN 'signup' THEN 'STANDBY_QUEUED' WHEN 'purchase' THEN 'CHANGES_QUEUED'
-      WHEN 'error' THEN 'WHATSAPP_QUEUED' ELSE 'QUEUED' END AS queue_status
+      WHEN 'error' THEN 'WHATSAPP_QUEUED' ELSE 'QUEUED_FOR_SPARK' END AS queue_status
   FROM events WHERE NOT (event_type IN ('click', 'view') AND value < 5))"""
 
 
@@ -115,6 +115,14 @@ def telemetry_ring(spark, sf_dir):
     return inbox.telemetry(events).select("event_id", "event_type", F.unix_micros("received_at").alias("at"))
 
 
+@query("telemetry_entries", f"""WITH {_FLAT_SQL}
+SELECT e.event_id, CASE event_type WHEN 'click' THEN 'page' WHEN 'signup' THEN 'page' WHEN 'error' THEN 'whatsapp_business_account' ELSE 'instagram' END AS object,
+  coalesce(queue_status, 'RECEIVED') AS status, sender_id, message_text AS text FROM events e LEFT JOIN flat f USING (event_id)""")
+def telemetry_entries(spark, sf_dir):
+    """What the webhook log says of every payload."""
+    return webhooks.telemetry_entries(I.payloads(spark, sf_dir)).select("event_id", "object", "status", "sender_id", "text")
+
+
 @query("latest_per_thread", """WITH newest AS (
   SELECT *, user_id || '/' || event_type AS thread_id FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)

@@ -14,6 +14,9 @@ VOICE_TYPES = ("audio", "voice", "video")
 PLATFORMS = (("page", "messenger"), ("instagram", "instagram"))
 WHATSAPP_OBJECT = "whatsapp_business_account"
 CHANGE_FIELDS = ("messages", "messaging_postbacks")
+# What telemetry says of a queued message, by the array that it came in.
+QUEUED = {"messaging": "QUEUED_FOR_SPARK", "standby": "STANDBY_QUEUED", "changes": "CHANGES_QUEUED",
+          "whatsapp": "WHATSAPP_QUEUED"}
 
 
 def read_webhook_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,18 +37,9 @@ def _row(sender: Column, text: Column, mid: Column, audio: Column, platform: Col
                     audio.alias("audio_url"), platform.alias("platform"), F.lit(status).alias("queue_status"))
 
 
-def flatten_payloads(payloads: DataFrame) -> DataFrame:
-    """Flat messages from ``body`` (JSON text); other columns are kept.
-
-    Every entry's messaging, standby and changes arrays, or its listed messages, become one array
-    of rows that is exploded once, so the payload is parsed and read a single time. Echoes of own
-    messages and rows without a sender or without text and recording are left out. Bodies that are
-    no JSON give no rows.
-    """
-    keep = [c for c in payloads.columns if c != "body"]
-    parsed = payloads.withColumn("_p", F.from_json("body", PAYLOAD))
+def _messages_of(entries: Column, kind: Column) -> Column:
+    """All messages of a payload's entries, in order, as one array of rows."""
     none = F.lit(None).cast("string")
-    kind = F.col("_p.object")
     platform = F.coalesce(*[F.when(kind == name, F.lit(p)) for name, p in PLATFORMS], none)
 
     def messaging(e: Column) -> Column:
@@ -53,11 +47,11 @@ def flatten_payloads(payloads: DataFrame) -> DataFrame:
         audio = _audio_url(message["attachments"])
         text = F.coalesce(non_empty(message["text"]), F.when(audio.isNotNull(), F.lit(VOICE_PLACEHOLDER)))
         sender = F.when(~F.coalesce(message["is_echo"], F.lit(False)), e["sender"]["id"])
-        return _row(sender, text, message["mid"], audio, platform, "QUEUED")
+        return _row(sender, text, message["mid"], audio, platform, QUEUED["messaging"])
 
     def standby(e: Column) -> Column:
         return _row(e["sender"]["id"], non_empty(e["message"]["text"]), e["message"]["mid"], none, platform,
-                    "STANDBY_QUEUED")
+                    QUEUED["standby"])
 
     def change(c: Column) -> Column:
         value = c["value"]
@@ -68,25 +62,50 @@ def flatten_payloads(payloads: DataFrame) -> DataFrame:
                           F.get(value["messages"], 0)["text"]["body"])
         mid = F.coalesce(non_empty(value["message"]["mid"]), value["mid"])
         wanted = c["field"].isin(*CHANGE_FIELDS) | c["messages"].isNotNull()
-        return _row(F.when(wanted, sender), non_empty(text), mid, none, platform, "CHANGES_QUEUED")
+        return _row(F.when(wanted, sender), non_empty(text), mid, none, platform, QUEUED["changes"])
 
     def listed(m: Column) -> Column:
-        return _row(m["from"], non_empty(m["text"]["body"]), none, none, F.lit("whatsapp"), "WHATSAPP_QUEUED")
+        return _row(m["from"], non_empty(m["text"]["body"]), none, none, F.lit("whatsapp"), QUEUED["whatsapp"])
 
-    def rows(entry: Column) -> Column:
-        def each(items: Column, make) -> Column:
-            empty = F.filter(F.array(_row(none, none, none, none, none, "")), lambda x: F.lit(False))
-            return F.coalesce(F.transform(items, make), empty)
+    empty = F.filter(F.array(_row(none, none, none, none, none, "")), lambda x: F.lit(False))
 
+    def each(items: Column, make) -> Column:
+        return F.coalesce(F.transform(items, make), empty)
+
+    def rows(entry: Column) -> Column:
         direct = F.concat(each(entry["messaging"], messaging), each(entry["standby"], standby),
                           each(entry["changes"], change))
         listed_rows = F.flatten(F.transform(
             F.coalesce(entry["changes"], F.array()), lambda c: each(c["value"]["messages"], listed)))
-        return F.when(platform.isNotNull(), direct).when(kind == WHATSAPP_OBJECT, listed_rows)
+        return F.when(platform.isNotNull(), direct).when(kind == WHATSAPP_OBJECT, listed_rows).otherwise(empty)
+
+    return F.filter(F.flatten(F.transform(entries, rows)), lambda m: F.coalesce(
+        (m["sender_id"] != "") & (m["message_text"] != ""), F.lit(False)))
 
-    entries = parsed.select(*keep, F.explode("_p.entry").alias("_e"), "_p")
-    flat = entries.select(*keep, F.inline(rows(F.col("_e"))))
-    return flat.filter((F.col("sender_id") != "") & (F.col("message_text") != ""))
+
+def flatten_payloads(payloads: DataFrame) -> DataFrame:
+    """Flat messages from ``body`` (JSON text); other columns are kept.
+
+    Every entry's messaging, standby and changes arrays, or its listed messages, become one array
+    of rows that is exploded once, so the payload is parsed and read a single time. Echoes of own
+    messages and rows without a sender or without text and recording are left out. Bodies that are
+    no JSON give no rows.
+    """
+    keep = [c for c in payloads.columns if c != "body"]
+    parsed = payloads.withColumn("_p", F.from_json("body", PAYLOAD))
+    return parsed.select(*keep, F.inline(_messages_of(F.col("_p.entry"), F.col("_p.object"))))
+
+
+def telemetry_entries(payloads: DataFrame) -> DataFrame:
+    """One row per payload: its object, and status, sender and text of the last message queued from
+    it, or the status ``RECEIVED``. Other columns are kept."""
+    parsed = payloads.withColumn("_p", F.from_json("body", PAYLOAD))
+    found = parsed.withColumn("_m", F.try_element_at(
+        _messages_of(F.col("_p.entry"), F.col("_p.object")), F.lit(-1)))
+    return found.select(
+        *payloads.columns, F.coalesce("_p.object", F.lit("unknown")).alias("object"),
+        F.coalesce("_m.queue_status", F.lit("RECEIVED")).alias("status"),
+        F.col("_m.sender_id").alias("sender_id"), F.col("_m.message_text").alias("text"))
 
 
 def simple_messages(bodies: DataFrame, default_session: str = "tester_01") -> DataFrame:

@@ -53,7 +53,7 @@ def test_all_arrays_and_rules(spark):
         "no json")
     got = [(r.i, r.sender_id, r.message_text, r.mid, r.audio_url, r.platform, r.queue_status) for r in rows]
     assert sorted(got, key=str) == sorted([
-        (0, "S", webhooks.VOICE_PLACEHOLDER, "v", "a", "messenger", "QUEUED"),
+        (0, "S", webhooks.VOICE_PLACEHOLDER, "v", "a", "messenger", "QUEUED_FOR_SPARK"),
         (0, "S", "standby", "s", None, "messenger", "STANDBY_QUEUED"),
         (1, "F", "c1", "c", None, "messenger", "CHANGES_QUEUED"),
         (1, "plain", "c2", None, None, "messenger", "CHANGES_QUEUED"),
@@ -144,3 +144,13 @@ def test_anchors_match_a_plain_restatement_also_in_slots(spark, max_rows, seed):
         got.setdefault(r.sender_id, []).append((us(r.received_at), us(r.window_start)))
     for s in ("a", "b"):
         assert sorted(got[s]) == anchors_by_hand([round(t * 1e6) for u, t, *_ in rows if u == s], 5_000_000)
+
+
+def test_telemetry_of_payloads(spark):
+    sender = {"id": "S"}
+    bodies = [page(messaging=[{"sender": sender, "message": {"text": "a"}}, {"sender": sender, "message": {"text": "b"}}]),
+              page(messaging=[{"sender": sender, "message": {"text": "echo", "is_echo": True}}]), {"object": "other"}, {}]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string")
+    got = [(r.object, r.status, r.text) for r in webhooks.telemetry_entries(df).orderBy("i").collect()]
+    assert got == [("page", "QUEUED_FOR_SPARK", "b"), ("page", "RECEIVED", None), ("other", "RECEIVED", None),
+                   ("unknown", "RECEIVED", None)]
