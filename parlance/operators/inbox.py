@@ -28,11 +28,13 @@ def dedup_key() -> Column:
 def dedup_messages(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The first message of every platform id, without ids already in ``seen.mid``."""
     order = W.partitionBy("_key").orderBy("received_at", "message_id")
-    first = (messages.withColumn("_key", dedup_key())
-             .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == 1).drop("_key", "_r"))
-    if seen is None:
-        return first
-    return first.join(seen.select("mid").distinct(), "mid", "left_anti").select(*messages.columns)
+    keyed_rows = messages.withColumn("_key", dedup_key())
+    if seen is not None:
+        # By the same key: messages without an id are spread over the tasks here too.
+        known = seen.select(F.concat(F.lit("m:"), "mid").alias("_key"))
+        keyed_rows = keyed_rows.join(known, "_key", "left_anti")
+    first = keyed_rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == 1)
+    return first.select(*messages.columns)
 
 
 def enqueue(messages: DataFrame) -> DataFrame:

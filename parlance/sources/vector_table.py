@@ -1,7 +1,10 @@
-"""The chunk index at rest: parquet versions under one folder.
+"""The chunk index at rest: parquet folders under one path.
 
-Every change writes a new ``v=<n>`` folder; readers take the newest one with a ``_SUCCESS`` marker,
-so a job that dies half-way leaves the old version in force.
+``v=<n>`` holds a whole index, ``d=<n>`` a change to what came before: points that were added or
+replaced, and ids that were deleted. A reader takes the newest ``v`` and the ``d`` folders after it,
+so a small change writes only itself; after ``MAX_CHANGES`` of them a whole index is written again.
+Only folders with a ``_SUCCESS`` marker count, so a job that dies half-way leaves the old state in
+force, and no writer touches a folder that exists.
 """
 
 from __future__ import annotations
@@ -10,64 +13,99 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..schemas import VECTOR_POINT
 
+MAX_CHANGES = 16
+_CHANGE = "_change"
+_DELETED = "_deleted"
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions, oldest first. Lists one folder on the driver; reads no data."""
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
+    """``(kind, number, complete)`` by number. Lists one folder on the driver; reads no data."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    found = [s.getPath() for s in fs.listStatus(root)]
-    return sorted(
-        int(p.getName()[2:]) for p in found
-        if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    found = []
+    for status in fs.listStatus(root):
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in ("v", "d") and number.isdigit():
+            found.append((kind, int(number), fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))))
+    return sorted(found, key=lambda f: f[1])
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version; an empty index if there is none."""
-    found = versions(spark, path)
-    if not found:
-        return spark.createDataFrame([], VECTOR_POINT)
-    return spark.read.parquet(f"{path}/v={found[-1]}")
-
-
-def _write(points: DataFrame, path: str) -> str:
-    spark = points.sparkSession
-    version = (versions(spark, path) or [0])[-1] + 1
-    target = f"{path}/v={version}"
-    points.write.mode("overwrite").parquet(target)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete whole versions, oldest first."""
+    return [n for kind, n, complete in _folders(spark, path) if kind == "v" and complete]
+
+
+def _changes(spark: SparkSession, path: str) -> list[int]:
+    """Complete changes after the newest whole version, oldest first."""
+    newest = (versions(spark, path) or [0])[-1]
+    return [n for kind, n, complete in _folders(spark, path) if kind == "d" and complete and n > newest]
+
+
+def _write(df: DataFrame, path: str, kind: str) -> str:
+    taken = [n for _, n, _ in _folders(df.sparkSession, path)]
+    target = f"{path}/{kind}={max(taken, default=0) + 1}"
+    df.write.mode("errorifexists").parquet(target)
     return target
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index as it stands; empty if there is none."""
+    whole, changes = versions(spark, path), _changes(spark, path)
+    base = spark.read.parquet(f"{path}/v={whole[-1]}") if whole else spark.createDataFrame([], VECTOR_POINT)
+    if not changes:
+        return base
+    parts = [spark.read.parquet(f"{path}/d={n}").withColumn(_CHANGE, F.lit(n)) for n in changes]
+    changed = parts[0]
+    for part in parts[1:]:
+        changed = changed.unionByName(part)
+    latest = _last_by_id(changed, [_CHANGE])
+    # The planner knows the size of the change files and sends small ones to the stored side, which
+    # is then read without a shuffle.
+    kept = base.join(changed.select("point_id"), "point_id", "left_anti").select(*base.columns)
+    return kept.unionByName(latest.filter(~F.col(_DELETED)).select(*base.columns))
+
+
+def _last_by_id(points: DataFrame, order: list[str]) -> DataFrame:
+    newest = W.partitionBy("point_id").orderBy(*[F.col(c).desc() for c in order])
+    return points.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") == 1).drop("_r")
+
+
 def refresh_index(points: DataFrame, path: str) -> int:
     """Replaces the whole index; returns the number of rows now stored."""
-    return points.sparkSession.read.parquet(_write(points, path)).count()
+    return points.sparkSession.read.parquet(_write(points, path, "v")).count()
+
+
+def _change(change: DataFrame, path: str) -> int:
+    spark = change.sparkSession
+    target = _write(change, path, "d")
+    if len(_changes(spark, path)) >= MAX_CHANGES:
+        compact_index(spark, path)
+    return spark.read.parquet(target).count()
 
 
 def upsert_points(points: DataFrame, path: str) -> int:
-    """Adds points and replaces those with the same id; creates the index if missing.
+    """Adds points and replaces those with the same id; creates the index if missing. Returns the
+    number of points written.
 
-    Within one batch the last chunk by (doc_id, chunk_index, content) of an id wins. The stored
-    side only loses the ids of the batch, so a small batch is broadcast by the planner and the
-    stored side is rewritten without a shuffle.
+    Within one batch the last chunk by (doc_id, chunk_index, content) of an id wins.
     """
-    spark = points.sparkSession
-    last = W.partitionBy("point_id").orderBy(*[F.col(c).desc() for c in ("doc_id", "chunk_index", "content")])
-    latest = points.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") == 1).drop("_r")
-    old = read_index(spark, path)
-    kept = without_points(old, points)
-    return spark.read.parquet(_write(kept.unionByName(latest.select(*old.columns)), path)).count()
+    latest = _last_by_id(points, ["doc_id", "chunk_index", "content"])
+    return _change(latest.withColumn(_DELETED, F.lit(False)), path)
 
 
 def delete_points(spark: SparkSession, path: str, ids: DataFrame) -> int:
-    """Drops the points whose ids are listed in ``ids.point_id``."""
-    old = read_index(spark, path)
-    return refresh_index(without_points(old, ids), path)
+    """Drops the points whose ids are listed in ``ids.point_id``; returns the number of ids."""
+    gone = ids.select("point_id").distinct()
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in VECTOR_POINT.fields if f.name != "point_id"]
+    return _change(gone.select("point_id", *nulls, F.lit(True).alias(_DELETED)), path)
 
 
-def without_points(index: DataFrame, ids: DataFrame) -> DataFrame:
-    return index.join(ids.select("point_id"), "point_id", "left_anti")
+def compact_index(spark: SparkSession, path: str) -> int:
+    """Writes the index as it stands as one whole version."""
+    return refresh_index(read_index(spark, path), path)
 
 
 def clear_index(spark: SparkSession, path: str) -> int:

@@ -93,16 +93,20 @@ def test_index_life(spark, tmp_path):
     path = str(tmp_path / "index")
     assert V.read_index(spark, path).count() == 0
     assert V.refresh_index(points(spark, ["one", "two"]), path) == 2
-    assert V.upsert_points(points(spark, ["ONE"]).unionByName(points(spark, ["new"], "e")), path) == 3
+    assert V.upsert_points(points(spark, ["ONE"]).unionByName(points(spark, ["new"], "e")), path) == 2
     got = {r.chunk_id: r.content for r in V.read_index(spark, path).collect()}
     assert got == {"d0_chk_0": "ONE", "d1_chk_0": "two", "e0_chk_0": "new"}
     stats = V.index_stats(V.read_index(spark, path)).first()
     assert (stats.points, stats.vectors, stats.dimensions) == (3, 3, 768)
     ids = V.read_index(spark, path).filter("chunk_id = 'd1_chk_0'").select("point_id")
-    assert V.delete_points(spark, path, ids) == 2
+    assert V.delete_points(spark, path, ids) == 1
+    assert V.read_index(spark, path).count() == 2
+    V.upsert_points(points(spark, ["x", "back"]), path)
+    assert {r.content for r in V.read_index(spark, path).collect()} == {"x", "back", "new"}
+    assert V.compact_index(spark, path) == 3
     V.export_index(V.read_index(spark, path), str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out"))
-    assert back.count() == 2 and len(back.first().vector) == 768
+    assert back.count() == 3 and len(back.first().vector) == 768
     assert V.clear_index(spark, path) == 0
     assert V.read_index(spark, path).columns[0] == "point_id"
 
@@ -110,14 +114,35 @@ def test_index_life(spark, tmp_path):
 def test_reload_does_not_duplicate(spark, tmp_path):
     path = str(tmp_path / "index")
     V.upsert_points(points(spark, ["a b", "c"]), path)
-    assert V.upsert_points(points(spark, ["a b", "c"]), path) == 2
+    V.upsert_points(points(spark, ["a b", "c"]), path)
+    assert V.read_index(spark, path).count() == 2
+
+
+def test_many_changes_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "MAX_CHANGES", 3)
+    path = str(tmp_path / "index")
+    for i in range(4):
+        V.upsert_points(points(spark, [f"text {i}"], f"p{i}_"), path)
+    assert V.versions(spark, path) == [4]
+    assert V.read_index(spark, path).count() == 4
+
+
+def test_a_small_change_is_broadcast(spark, tmp_path):
+    path = str(tmp_path / "index")
+    V.refresh_index(points(spark, ["one", "two"]), path)
+    V.upsert_points(points(spark, ["ONE"]), path)
+    plan = V.read_index(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_an_unfinished_version_is_ignored(spark, tmp_path):
     path = tmp_path / "index"
     V.refresh_index(points(spark, ["one"]), str(path))
     (path / "v=2").mkdir()
+    (path / "d=3").mkdir()
     assert V.read_index(spark, str(path)).count() == 1
+    V.upsert_points(points(spark, ["more"], "e"), str(path))
+    assert V.read_index(spark, str(path)).count() == 2
 
 
 def test_point_listing(spark):
