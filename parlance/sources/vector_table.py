@@ -96,11 +96,23 @@ def upsert_points(points: DataFrame, path: str) -> int:
     return _change(latest.withColumn(_DELETED, F.lit(False)), path)
 
 
+def _tombstones(ids: DataFrame) -> DataFrame:
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in VECTOR_POINT.fields if f.name != "point_id"]
+    return ids.select("point_id", *nulls, F.lit(True).alias(_DELETED))
+
+
 def delete_points(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Drops the points whose ids are listed in ``ids.point_id``; returns the number of ids."""
-    gone = ids.select("point_id").distinct()
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in VECTOR_POINT.fields if f.name != "point_id"]
-    return _change(gone.select("point_id", *nulls, F.lit(True).alias(_DELETED)), path)
+    return _change(_tombstones(ids.select("point_id").distinct()), path)
+
+
+def replace_documents(points: DataFrame, doc_ids: DataFrame, path: str) -> int:
+    """Upserts the points of the listed documents and drops what else these documents had."""
+    latest = _last_by_id(points, ["chunk_index", "content"]).withColumn(_DELETED, F.lit(False))
+    before = read_index(points.sparkSession, path).select("point_id", "doc_id").join(
+        doc_ids.select("doc_id"), "doc_id", "left_semi")
+    gone = before.join(points.select("point_id"), "point_id", "left_anti")
+    return _change(latest.unionByName(_tombstones(gone)), path)
 
 
 def compact_index(spark: SparkSession, path: str) -> int:
