@@ -63,8 +63,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a timed turn log: one session per user, errors count as the other side's turns."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return event_turns_of(table(spark, sf_dir, "events"))
+
+
+def event_turns_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").cast("string").alias("turn_id"), F.col("user_id").cast("string").alias("session_id"),
         F.col("user_id").cast("string").alias("user_id"),
         F.when(F.col("event_type") == "error", "assistant").otherwise("user").alias("role"),

@@ -9,7 +9,7 @@ from ..session import work_dir
 from ..sources import vector_table, webhooks
 from ..streaming import jobs
 from . import inputs as I, pipelines
-from .conversations import _CUSTOMER_COLUMNS, _SESSIONS_SQL, _session_rows, customer_rows
+from .conversations import _CUSTOMER_COLUMNS, _LIFECYCLE_SQL, _SESSIONS_SQL, _session_rows, customer_rows
 from .registry import query
 
 _FLAT_SQL = """flat AS (
@@ -209,6 +209,16 @@ def stream_sessions(spark, sf_dir):
     return _session_rows(_drained(spark, jobs.session_stream(_turn_stream(spark, sf_dir)), "sessions"))
 
 
+@query("stream_lifecycle", f"""WITH {I.SQL_EVENT_TURNS}, labelled AS (
+  WITH {_LIFECYCLE_SQL})
+SELECT l.* FROM labelled l JOIN turns t USING (turn_id)
+WHERE epoch_us(t.ts) <= (SELECT epoch_ms(max(ts)) - 60000 FROM events) * 1000""")
+def stream_lifecycle(spark, sf_dir):
+    """Turns up to the watermark, a minute before the last event."""
+    turns = I.event_turns_of(_event_stream(spark, sf_dir))
+    return _drained(spark, jobs.lifecycle_stream(turns), "lifecycle").drop("ts")
+
+
 @query("stream_dedup", f"WITH {I.SQL_MESSAGES} SELECT DISTINCT coalesce(mid, message_id) AS id FROM messages")
 def stream_dedup(spark, sf_dir):
     """Platform ids that a stream with a long delay lets through, each once."""

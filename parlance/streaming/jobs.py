@@ -100,6 +100,54 @@ def anchored_batch_stream(messages: DataFrame, seconds: float = 5.0, delay: str
             .applyInPandasWithState(step, _BATCH_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+_LIFECYCLE_SCHEMA = ("session_id string, turn_id string, ts timestamp, lifecycle_state string, "
+                     "is_first_turn_of_session boolean, idle_seconds long, session_no long, turn_count long")
+_LIFECYCLE_STATE = ("last long, session_no long, turn_count long, at array<long>, turn_id array<string>, "
+                    "is_user array<boolean>")
+
+
+def lifecycle_stream(turns: DataFrame, timeout_seconds: float = memory.SESSION_TIMEOUT,
+                     delay: str = "1 minute") -> DataFrame:
+    """Lifecycle of every user turn, given out in time order once the watermark has passed the turn.
+
+    The state of a session is its last turn's time, two counters, and the turns that still wait for
+    the watermark.
+    """
+    limit = int(timeout_seconds * 1_000_000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, session_no, turn_count, *waiting = state.get if state.exists else (None, 0, 0, [], [], [])
+        rows = sorted([*zip(*waiting), *(r for f in frames for r in zip(
+            f["at"].tolist(), f["turn_id"].tolist(), (f["role"] == "user").tolist()))])
+        passed = state.getCurrentWatermarkMs() * 1000
+        out = []
+        for at, turn_id, is_user in rows:
+            if at > passed:
+                break
+            if is_user:
+                idle = None if last is None else at - last
+                name = ("first_contact" if idle is None else
+                        "returning_session" if idle > limit else "active_ongoing")
+                first = name != "active_ongoing"
+                session_no, turn_count = session_no + first, 1 if first else turn_count + 1
+                out.append((key[0], turn_id, pd.Timestamp(at, unit="us"), name, first,
+                            0 if idle is None else idle // 1_000_000, session_no, turn_count))
+            last = at
+        left = [r for r in rows if r[0] > passed]
+        state.update((last, int(session_no), int(turn_count), *map(list, zip(*left))) if left
+                     else (last, int(session_no), int(turn_count), [], [], []))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "turn_id", "ts", "lifecycle_state",
+                                             "is_first_turn_of_session", "idle_seconds", "session_no", "turn_count"])
+
+    return (turns.withWatermark("ts", delay)
+            .select("session_id", "turn_id", "role", "ts", F.unix_micros("ts").alias("at"))
+            .groupBy("session_id")
+            .applyInPandasWithState(step, _LIFECYCLE_SCHEMA, _LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Starts a query that appends to parquet files."""
     writer = df.writeStream.format("parquet").outputMode("append").option("path", path).option(

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from parlance.operators import crm, inbox
+from parlance.operators import crm, inbox, memory
 from parlance.sources import files, vector_table, webhooks
 from parlance.streaming import jobs
 
@@ -92,3 +92,20 @@ def test_index_stream(spark, tmp_path):
     stream, _ = as_stream(spark, docs, tmp_path, "in")
     jobs.index_documents_into(stream, str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination()
     assert vector_table.read_index(spark, str(tmp_path / "index")).select(F.col("chunk_id")).first()[0] == "d_chk_0"
+
+
+def test_lifecycle_over_micro_batches(spark, tmp_path):
+    schema = "turn_id string, session_id string, user_id string, role string, content string, ts timestamp"
+
+    def turns(rows):
+        return spark.createDataFrame([(f"t{sec}", s, "u", role, "x", at(sec)) for s, role, sec in rows], schema)
+
+    first = turns([("s", "user", 0), ("s", "assistant", 10), ("s", "user", 20_000), ("r", "assistant", 5), ("r", "user", 6)])
+    second = turns([("s", "user", 20_030), ("s", "user", 30_830), ("s", "user", 50_000), ("z", "user", 90_000)])
+    stream, path = as_stream(spark, first, tmp_path, "in")
+    drain(spark, jobs.lifecycle_stream(stream), tmp_path, "out")
+    second.coalesce(1).write.mode("append").parquet(path)
+    got = drain(spark, jobs.lifecycle_stream(stream), tmp_path, "out")
+    cols = ["session_id", "turn_id", "lifecycle_state", "is_first_turn_of_session", "idle_seconds", "session_no", "turn_count"]
+    want = memory.session_lifecycle(first.unionByName(second)).filter("session_id <> 'z'")
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
