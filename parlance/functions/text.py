@@ -29,6 +29,14 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
 
 
+def spelled_out(pattern: str, any_case: bool = True) -> str:
+    """A pattern with this module's meaning of a word and of white space. Java counts combining
+    marks as word characters, so the word boundary is spelled out too."""
+    letter = WORD[:-1]
+    boundary = f"(?:(?<={letter})(?!{letter})|(?<!{letter})(?={letter}))"
+    return ("(?iU)" if any_case else "(?U)") + pattern.replace(r"\b", boundary).replace(r"\s", SPACE)
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-case word tokens in order, with repeats."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import lexicons as L
 from ..functions.ordered import MAX_ROWS, keyed, with_history
-from ..functions.text import contains_any, first_contained, has_text, latin_words, space_words, strip, word_array
+from ..functions.text import (
+    contains_any, first_contained, has_text, latin_words, space_words, spelled_out, strip, word_array)
 
 
 # -- language -------------------------------------------------------------------------------------
@@ -154,9 +155,9 @@ def extract_size(text: Column, lexicon: L.ProfileLexicon = L.ProfileLexicon()) -
     clean = F.lower(text)
     out = None
     for pattern, size in lexicon.size_patterns:
-        hit = clean.rlike("(?iU)" + pattern)
+        hit = clean.rlike(spelled_out(pattern))
         out = F.when(hit, size) if out is None else out.when(hit, size)
-    spoken = F.regexp_extract(clean, "(?iU)" + lexicon.size_letter_pattern, 0)
+    spoken = F.regexp_extract(clean, spelled_out(lexicon.size_letter_pattern), 0)
     letters = F.when(spoken.contains("xl"), "XL")
     for letter in ("l", "m", "s"):
         letters = letters.when(spoken.contains(f"size {letter}") | spoken.contains(f"{letter} size"), letter.upper())
@@ -239,14 +240,14 @@ def clean_reply(text: Column, language: Column, spelling=L.MALAYALAM_TO_LATIN) -
     latinised = F.when((foreign > 0) & (latin > 0) & (latin >= foreign), spelled).otherwise(bare)
     joined = latinised
     for pattern, replacement, any_case in L.HYPHEN_REWRITES:
-        joined = F.regexp_replace(joined, ("(?iU)" if any_case else "") + pattern, replacement)
+        joined = F.regexp_replace(joined, spelled_out(pattern, any_case), replacement)
     out = F.when(language.isin(*L.PLAIN_LANGUAGES), bare).when(bare.contains("-"), joined).otherwise(latinised)
     return tidy(out)
 
 
 def scrub_size_mentions(text: Column) -> Column:
     pattern, replacement = L.SIZE_MENTION
-    return F.regexp_replace(text, "(?iU)" + pattern, replacement)
+    return F.regexp_replace(text, spelled_out(pattern), replacement)
 
 
 def split_reply(text: Column, parts: int = 2) -> Column:
