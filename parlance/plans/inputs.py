@@ -97,7 +97,11 @@ def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply, two minutes later, for every message worth more than ten."""
-    return table(spark, sf_dir, "events").filter(F.col("value") > 10).select(
+    return replies_of(table(spark, sf_dir, "events"))
+
+
+def replies_of(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("value") > 10).select(
         F.col("event_id").cast("string").alias("message_id"),
         F.concat(F.lit("re: "), "event_type").alias("reply"),
         (F.col("ts") + F.expr("INTERVAL 2 MINUTES")).alias("replied_at"))

@@ -240,6 +240,22 @@ def stream_anchored_batches(spark, sf_dir):
     return _batch_rows(_drained(spark, jobs.anchored_batch_stream(messages, _HOUR), "anchored"))
 
 
+@query("stream_replies", f"""WITH {I.SQL_MESSAGES}, {I.SQL_REPLIES}
+SELECT message_id, CASE WHEN replied_at IS NULL THEN 'pending' ELSE 'replied' END AS status, coalesce(reply, '') AS ai_reply
+FROM messages LEFT JOIN replies USING (message_id)
+WHERE replied_at IS NOT NULL OR epoch_us(received_at) + 86400000000 <= (
+  SELECT least(epoch_ms(max(received_at)), (SELECT epoch_ms(max(replied_at)) FROM replies)) - 600000 FROM messages) * 1000""")
+def stream_replies(spark, sf_dir):
+    """Messages joined with the replies of a day; those without one are given out when that day has
+    passed on the slower of the two streams."""
+    messages = _event_stream(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("message_id"), F.col("user_id").cast("string").alias("sender_id"),
+        F.col("props").alias("message_text"), F.col("ts").alias("received_at"))
+    replies = I.replies_of(_event_stream(spark, sf_dir))
+    return _drained(spark, jobs.reply_stream(messages, replies), "replies").select(
+        "message_id", "status", F.coalesce("ai_reply", F.lit("")).alias("ai_reply"))
+
+
 @query("stream_crm", f"WITH {I.SQL_CUSTOMERS} SELECT {_CUSTOMER_COLUMNS} FROM customers")
 def stream_crm(spark, sf_dir):
     """Customer records kept up to date by micro-batches."""
