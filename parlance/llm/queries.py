@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact
-from .common import documents
+from . import exact, language, pieces
+from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -38,3 +38,19 @@ FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
     FROM d JOIN g USING (t)""")
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(documents(spark, sf_dir)).drop("keep_locator")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.fit(docs)).withColumn("held_out", held_out())
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op10_sentencepiece_dropout")
+def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = pieces.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    rows = pieces.encode(documents(spark, sf_dir), vocab)
+    return rows.select("doc_id", "n_pieces", F.sha2("pieces", 256).alias("pieces_sha256"), "lossless")
