@@ -42,6 +42,8 @@ def digest_state(rows: DataFrame, files_per_batch: int = 256) -> DataFrame:
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Reserving space ahead would take megabytes for every partition of the state.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     folder = work_dir(spark, "digest-state")
     source = work_dir(spark, "digests")
