@@ -67,10 +67,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where words begin and end, and the index of each text's first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and the index of each text's first word (one more at the end).
+    ``inside`` tells of each byte value whether it belongs to a word."""
     ink = np.zeros(len(data) + 2, bool)
-    ink[1:-1] = ~SPACES[data]
+    ink[1:-1] = inside[data]
     edge = np.zeros(len(data) + 1, bool)  # a text ends here whatever comes next
     edge[offsets] = True
     starts = np.flatnonzero(ink[1:-1] & (~ink[:-2] | edge[:-1]))

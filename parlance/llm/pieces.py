@@ -89,8 +89,8 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 def _skipped(chunk: np.ndarray, start, middle, end, dropout: float) -> np.ndarray:
     """True for candidates that the keyed hash drops; ``chunk`` already holds seed and variant."""
-    place = (np.asarray(start).astype(np.uint64) << np.uint64(42)) ^ (np.asarray(middle).astype(np.uint64) << np.uint64(21)) \
-        ^ np.asarray(end).astype(np.uint64)
+    start, middle, end = (np.atleast_1d(x).astype(np.uint64) for x in (start, middle, end))
+    place = (start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ end
     return (mix(chunk ^ mix(place)) >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
 
 

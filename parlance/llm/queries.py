@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, pieces
+from . import exact, language, pieces, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,10 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = pieces.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
     rows = pieces.encode(documents(spark, sf_dir), vocab)
     return rows.select("doc_id", "n_pieces", F.sha2("pieces", 256).alias("pieces_sha256"), "lossless")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
