@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, pieces, privacy, toxicity
+from . import exact, language, licenses, pieces, privacy, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,12 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.find(docs, privacy.fit(docs))
     return found.select("doc_id", *[f"n_{k}" for k in privacy.KINDS], F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
                         privacy.listed(F.col("spans")).alias("spans"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(licenses.names(F.col("notices")), ",").alias("names"),
+        F.coalesce(F.array_max(F.transform("notices", lambda n: n["coverage"])), F.lit(0.0)).alias("best_coverage"),
+        F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["name"], n["first_word"], n["end_word"])), ",").alias("places"))
