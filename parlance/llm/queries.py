@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, licenses, pieces, privacy, toxicity
+from . import exact, language, leaks, licenses, pieces, privacy, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(licenses.names(F.col("notices")), ",").alias("names"),
         F.coalesce(F.array_max(F.transform("notices", lambda n: n["coverage"])), F.lit(0.0)).alias("best_coverage"),
         F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["name"], n["first_word"], n["end_word"])), ",").alias("places"))
+
+
+@query("op6_benchmark_leaks")
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    hits = leaks.by_document(leaks.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return docs.select("doc_id").join(hits, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(leaks.listed(F.col("items")), F.lit("")).alias("items"), "least_distance",
+        F.col("n_items").isNotNull().alias("contaminated"))
