@@ -82,7 +82,7 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id",
     state = staged(digest_state(rows.select("_digest", "_key", "_locator"), files_per_batch), "copies-state")
 
     hits = state.filter(F.col("_n") > 1)
-    hit_keys = rows.join(hits, "_digest", "left_semi").select(F.col("_key").alias("_hit")).distinct()
+    hit_keys = rows.join(hits, "_digest", "left_semi").select(F.col("_key").alias("_hit"))
     texts = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
              .join(hit_keys.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_hit")), "left_semi")
              .select("_key", fold_case(F.col("_t")).alias("_t")).select("_key", "_t", digest(F.col("_t")).alias("_digest")))
