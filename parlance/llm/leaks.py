@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found with the q-gram lemma and verified by banded alignment.
 
-Both sides are compared byte by byte with A-Z lower-cased and every white-space byte as a space, so
+Both sides are compared byte by byte with Latin letters lower-cased and every white-space byte as a space, so
 positions stay those of the source. A passage of n bytes may differ by k edits (a share of n). Each
 edit spoils at most q of its n - q + 1 q-grams, and all q-grams of one occurrence lie on diagonals no
 more than k apart; so an occurrence has at least n - q + 1 - kq shared q-grams in one of the bands
@@ -26,7 +26,11 @@ _FOLD = np.where(SPACES, 0x20, LOWER).astype(np.uint8)
 
 
 def fold(data: np.ndarray) -> np.ndarray:
-    return _FOLD[data]
+    """Lower case where it takes as many bytes: A-Z and the accented Latin letters U+00C0 to U+00DE."""
+    out = _FOLD[data]
+    accented = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][accented] += 0x20
+    return out
 
 
 def budget(n: int, share: float, q: int = Q) -> int:
