@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, leaks, licenses, pieces, privacy, toxicity
+from . import exact, language, leaks, licenses, near, pieces, privacy, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,22 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(leaks.listed(F.col("items")), F.lit("")).alias("items"), "least_distance",
         F.col("n_items").isNotNull().alias("contaminated"))
+
+
+@query("op3_near_dedup", sql="""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+    e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM i JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+        WHERE 100 * n >= 80 * (len(p.sh) + len(q.sh) - n)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM s JOIN c ON c.a = s.doc_id""")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.components_of(documents(spark, sf_dir), size=4)
