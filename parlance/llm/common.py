@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(*done: DataFrame) -> None:
+    """Frees disk between steps: removes staged tables that nothing reads any more, and lets the driver drop
+    the shuffle files of steps whose results have been written."""
+    for df in done:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/parlance/" in path:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
+
+
 def held_out(key: str = "doc_id") -> Column:
     """True for the quarter of the rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -106,15 +120,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running sum over all bytes."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[:-1], out=total[1:])
+def item_span_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of items, from one running sum over all items."""
+    up, down = _powers(len(items) + 1)
+    total = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * up[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return item_span_hashes(_TABLE[data], starts, ends)
+
+
+def sliding_least(items: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbouring items."""
+    if len(items) < width:
+        return items[:0]
+    out, have = items, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:len(out) - step], out[step:])
+        have += step
+    return out
+
+
 def run_hashes(items: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` neighbouring items; order counts. Runs may cross texts: mask them."""
     size = len(items) - n + 1

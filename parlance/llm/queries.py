@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, leaks, licenses, near, pieces, privacy, toxicity
+from . import exact, language, leaks, licenses, near, pieces, privacy, repeats, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,22 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s JOIN c ON c.a = s.doc_id""")
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.components_of(documents(spark, sf_dir), size=4)
+
+
+@query("op2_substring_dedup", sql="""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents),
+    k AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS s, ws FROM w WHERE len(ws) >= 13),
+    g AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 12], ' ')) AS x FROM k),
+    f AS (SELECT x, min(doc_id) AS first FROM g GROUP BY x),
+    r AS (SELECT DISTINCT doc_id, s + unnest(range(0, 13)) AS p FROM g JOIN f USING (x) WHERE first < doc_id),
+    l AS (SELECT doc_id, list(p) AS ps FROM r GROUP BY doc_id),
+    n AS (SELECT doc_id, ws, coalesce(ps, []) AS ps FROM w LEFT JOIN l USING (doc_id)),
+    t AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, ws, ps FROM n),
+    u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+    v AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.p = u.p
+        WHERE r.p IS NULL GROUP BY u.doc_id)
+    SELECT t.doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN v ON v.doc_id = t.doc_id""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
