@@ -12,21 +12,32 @@ from pyspark.sql import DataFrame, functions as F
 from .common import settle, staged
 
 
-def repeated(found: DataFrame, apart: bool) -> DataFrame:
-    """For rows (_key, gs) the same with only those anchors that occur again, in another key if ``apart``.
+def repeated(found: DataFrame) -> DataFrame:
+    """For rows (_key, gs) the same with only those anchors that occur in another key too.
 
     Counts are summed before the shuffle; where many texts share an anchor the join splits them. One
     text's anchors make one row. Keys must not be null.
     """
     found = staged(found, "anchors")
     rows = found.select("_key", F.explode("gs").alias("g"))
-    if apart:
-        again = rows.groupBy("g").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).filter("lo < hi")
-    else:
-        again = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = rows.groupBy("g").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).filter("lo < hi")
     again = staged(again.select("g"), "anchors-again")
     settle()
     distinct = found.select("_key", F.explode(F.array_distinct("gs")).alias("g"))
     out = staged(distinct.join(again, "g", "left_semi").groupBy("_key").agg(F.collect_set("g").alias("gs")), "anchors-kept")
     settle(found, again)
     return out
+
+
+def repeated_counted(found: DataFrame, wide: int) -> DataFrame:
+    """As ``repeated`` within keys too, with the anchors that occur more than ``wide`` times apart: (_key, gs, wide)."""
+    found = staged(found, "anchors")
+    again = staged(found.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                   .select("g", (F.col("n") > wide).alias("hot")), "anchors-again")
+    settle()
+    distinct = found.select("_key", F.explode(F.array_distinct("gs")).alias("g"))
+    own = distinct.join(again, "g").groupBy("_key").agg(
+        F.collect_list(F.when(~F.col("hot"), F.col("g"))).alias("gs"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("wide"))
+    out = staged(own, "anchors-kept")
+    settle(found, again)
+    return out

@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if not 1 <= anchor <= window:
         raise ValueError("an anchor is part of a window")
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_t")).filter("_key IS NOT NULL")
-    kept = anchors.repeated(_anchors(rows, window, anchor), apart=True)
+    kept = anchors.repeated(_anchors(rows, window, anchor))
     found = staged(_paths(rows, kept, window, anchor), "paths")
     settle(kept)
 
