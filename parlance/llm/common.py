@@ -25,6 +25,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``_row`` beside ``more``, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in more.items()])
+
+
 def settle(*done: DataFrame) -> None:
     """Frees disk between steps: removes staged tables that nothing reads any more, and lets the driver drop
     the shuffle files of steps whose results have been written."""

@@ -17,10 +17,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import work_dir
-from .common import staged
+from .common import boxed, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -119,19 +119,14 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", files_
     marks = mark_copies(docs, text, key, files_per_batch=files_per_batch).filter("kept")
     kept = staged(marks.groupBy(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")).agg(
         F.count(F.lit(1)).alias("_rows")), "copies-kept")
-    names = docs.columns
+    rows = boxed(docs, _key=F.col(key), _own=sha256(fold_case(F.col(text))))
 
     def those(wanted: DataFrame) -> DataFrame:
-        same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_s"))
-        return (docs.withColumn("_own", sha256(fold_case(F.col(text))))
-                .join(wanted.hint("shuffle_hash"), same, "left_semi"))
+        same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_s"))
+        return rows.join(wanted.hint("shuffle_hash"), same, "left_semi")
 
-    single = those(kept.filter("_rows = 1")).select(*names)
+    single = those(kept.filter("_rows = 1")).select("_row.*")
     repeated = kept.filter("_rows > 1")
     if repeated.isEmpty():
         return single
-    return single.unionByName(those(repeated).dropDuplicates([key, "_own"]).select(*names))
-
-
-def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return mark_copies(docs)
+    return single.unionByName(those(repeated).dropDuplicates(["_key", "_own"]).select("_row.*"))

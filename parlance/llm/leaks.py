@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, SPACES, plain, slices, staged, view
+from .common import LOWER, SPACES, boxed, plain, slices, staged, view
 
 Q = 8
 _FOLD = np.where(SPACES, 0x20, LOWER).astype(np.uint8)
@@ -255,7 +255,8 @@ def by_document(hits: DataFrame, key: str = "doc_id", item: str = "item_id") ->
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
     """``docs`` without the documents that hold a passage; all columns as they were."""
     keys = find(docs, benchmark, text, key, **settings).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(keys, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    rows = boxed(docs, _key=F.col(key))
+    return rows.join(keys, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 
 
 def listed(items: Column) -> Column:

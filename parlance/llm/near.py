@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix, plain, run_hashes, slices, span_hashes, staged, view, words
+from .common import LOWER, boxed, mix, plain, run_hashes, slices, span_hashes, staged, view, words
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -250,5 +250,5 @@ def _likely_udf(percent: int):
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component (the smallest key); all columns as they were."""
     gone = components_of(docs, size, percent, text, key).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return boxed(docs, _key=F.col(key)).join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
 
