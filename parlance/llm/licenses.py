@@ -129,10 +129,10 @@ def matches(text: list, templates: list[Template], least: float) -> list[tuple[i
     found = []
     for template in templates:
         size = len(template.words)
-        reach = 2 * size + 4
-        for start, end in _places([i for i, w in enumerate(text) if w in template.telling], reach, len(text)):
+        slack = size // 4 + 2
+        for start, end in _places(text, template, slack):
             pairs = align(text[start:end], list(template.words))
-            pairs = _dense([(i + start, j) for i, j in pairs], reach)
+            pairs = _dense([(i + start, j) for i, j in pairs], size + slack)
             if len(pairs) >= least * size:
                 found.append((-len(pairs), -len(pairs) / size, pairs[-1][0] - pairs[0][0], pairs[0][0], template.name))
     taken: list[tuple[int, int]] = []
@@ -146,9 +146,12 @@ def matches(text: list, templates: list[Template], least: float) -> list[tuple[i
     return sorted(chosen)
 
 
-def _places(positions: list[int], reach: int, n: int) -> list[tuple[int, int]]:
-    """A window around each telling word; equal windows once."""
-    return sorted({(max(0, p - reach), min(n, p + reach)) for p in positions})
+def _places(text: list, template: Template, slack: int) -> list[tuple[int, int]]:
+    """Where the template would lie if a telling word stood at its place, and ``slack`` words more on each side."""
+    size = len(template.words)
+    places = {w: [j for j, own in enumerate(template.words) if own == w] for w in template.telling}
+    return sorted({(max(0, i - j - slack), min(len(text), i - j + size + slack))
+                   for i, w in enumerate(text) if w in places for j in places[w]})
 
 
 def _dense(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
