@@ -7,10 +7,12 @@ similarity as probability. Bands of registers that agree make candidates. How of
 larger, smaller and equal, with the sets' sizes, gives the likelihood of their similarity; candidates far
 below the limit end there. The others are confirmed on their full sets.
 
-Equal sets are one class, which the smallest key represents, and only representatives go on. In a band's
-bucket every member is first compared with the smallest one, which joins most of a group without
-any pairs among its members. Only in buckets that still hold several components are the members
-outside the bucket's main component compared with the rest, in blocks of bounded size, and only likely pairs leave a block.
+Equal sets are one class, which the smallest key represents, and only representatives go on. The smallest member
+of a band's bucket is its centre. A representative is first compared with the centre that it shares most bands
+with, which joins most of a group without any pairs among its members. Buckets with common members form a cluster,
+and every candidate pair lies in one. Where a cluster still holds several components, the members outside its main
+component are compared with all of it, in blocks of bounded size: a block counts its full sets' common
+shingles by an index, and only links that join two components leave it.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER, boxed, mix, plain, run_hashes, slices, span_hashes, staged, view, words
 from .graph import components
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 64, 8
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.1, 20.0
-SLACK = 0.12
+SLACK = 0.08
 BLOCK = 512
 BROADCAST_KEYS = 1_000_000
-_SEEDS = np.random.default_rng(7919).integers(0, 1 << 63, (2, REGISTERS), np.int64).astype(np.uint64)
+_SEEDS = np.random.default_rng(7919).integers(0, 1 << 32, (2, REGISTERS), np.int64).astype(np.uint32)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -56,17 +58,16 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     full = [i for i, s in enumerate(sets) if len(s)]
     if not full:
         return out
-    flat = np.concatenate([sets[i] for i in full])
+    flat = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
     sizes = np.array([len(sets[i]) for i in full])
     starts = np.cumsum(sizes) - sizes
-    least = np.empty((len(full), REGISTERS), np.uint64)
-    work = np.empty(len(flat), np.uint64)
+    least = np.empty((len(full), REGISTERS), np.uint32)
+    work = np.empty(len(flat), np.uint32)
     for i in range(REGISTERS):
         np.bitwise_xor(flat, _SEEDS[0, i], out=work)
-        np.multiply(work, _SEEDS[1, i] | np.uint64(1), out=work)
+        np.multiply(work, _SEEDS[1, i] | np.uint32(1), out=work)
         least[:, i] = np.minimum.reduceat(work, starts)
-    uniform = (least.astype(np.float64) + 0.5) / 2.0**64
-    minimum = -np.log1p(-np.minimum(uniform, 1 - 1e-16)) / RATE
+    minimum = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     out[full] = np.clip(np.floor(1 - np.log(minimum) / np.log(BASE)), 0, 255).astype(np.uint8)
     return out
 
@@ -117,16 +118,27 @@ def sketch_texts(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
         run, f"_key {kind}, n long, set_key binary, regs binary")
 
 
+def _texts_of(docs: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``keys`` with their texts. Keys are shipped while their number is small, which is counted; else both
+    sides are shuffled."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash"), "_key")
+
+
+def _full_set(size: int):
+    @F.arrow_udf("binary")
+    def full_set(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["t"])
+        return pa.array([s.tobytes() for part in slices(batch, "t") for s in shingle_sets(*view(plain(part, "t")), size)], pa.binary())
+    return full_set
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
     pairs = staged(pairs, "near-pairs")
     if pairs.isEmpty():
         return pairs
 
-    @F.arrow_udf("binary")
-    def full_set(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(*view(texts.fill_null("")), size)], pa.binary())
-
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
@@ -136,66 +148,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
-
-    def texts_of(keys: DataFrame) -> DataFrame:
-        # Shipped while their number is small, which is counted; else both sides are shuffled. A key that
-        # stands in repeated rows counts once: any of its rows has the representative's text or is told apart below.
-        small = keys.count() <= BROADCAST_KEYS
-        return rows.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), "_key")
-
-    members = texts_of(pairs.groupBy(F.col("a").alias("_key")).agg(F.collect_list("b").alias("_bs"))).select(
-        F.col("_key").alias("a"), F.explode("_bs").alias("b"), full_set("_t").alias("_sa"))
-    centres = texts_of(pairs.select(F.col("b").alias("_key")).distinct()).select(F.col("_key").alias("b"), full_set("_t").alias("_sb"))
+    full_set = _full_set(size)
+    members = _texts_of(docs, pairs.withColumnRenamed("a", "_key"), text, key).select(
+        F.col("_key").alias("a"), "b", full_set("_t").alias("_sa"))
+    centres = _texts_of(docs, pairs.select(F.col("b").alias("_key")).distinct(), text, key).select(
+        F.col("_key").alias("b"), full_set("_t").alias("_sb"))
     return staged(members.join(centres, "b").filter(linked("_sa", "_sb")).select("a", "b").distinct(), "near-links")
 
 
-def _cross_pairs(rows: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between different components of a bucket; ``rows`` are (bucket, band, centre, rep) of
-    buckets of three or more."""
-    named = rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    per = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("bucket").agg(
+def _cross_links(members: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+    """Links (a, b) that join different components of a cluster; ``members`` are (rep, centre) of all buckets."""
+    clusters = components(members.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
+    named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(
+        labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = staged(named, "near-clusters")
+    per = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("cluster").agg(
         F.max_by("component", F.struct("c", (-F.col("component")).alias("s"))).alias("main"), F.sum("c").alias("all"),
-        F.max("c").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    main = main.select("bucket", "main", F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("i_blocks"),
+        F.max("c").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 AND all > 2")
+    main = main.select("cluster", "main", F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("i_blocks"),
                        F.ceil(F.col("all") / BLOCK).cast("int").alias("j_blocks"))
-    full = named.join(main, "bucket").join(reps.select("rep", "n", "regs"), "rep")
+    active = staged(named.join(main, "cluster").withColumnRenamed("rep", "_key"), "near-active")
+    full = _texts_of(docs, active, text, key).select(
+        "cluster", "_key", "component", "i_blocks", "j_blocks", (F.col("component") == F.col("main")).alias("inner"), _full_set(size)("_t").alias("set"))
 
     def dealt(df: DataFrame, own: str, other: str, side: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("rep"), F.col(f"{own}_blocks")).cast("int")
-        return df.select("bucket", "band", "centre", "rep", "component", "n", "regs", "inner", F.lit(side).alias("side"), block.alias(own),
+        block = F.pmod(F.xxhash64("_key"), F.col(f"{own}_blocks")).cast("int")
+        return df.select("cluster", "_key", "component", "set", F.lit(side).alias("side"), block.alias(own),
                          F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other))
 
-    full = full.withColumn("inner", F.col("component") == F.col("main"))
-    outer, every = dealt(full.filter("NOT inner"), "i", "j", "a"), dealt(full, "j", "i", "b")
-
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         side = np.array(table.column("side").to_pylist()) == "a"
-        get = {c: table.column(c).to_numpy() for c in ("rep", "component", "n")}
-        regs = _grid(table.column("regs"))
-        inner = table.column("inner").to_numpy(zero_copy_only=False)
-        band, centre = table.column("band")[0].as_py(), table.column("centre")[0].as_py()
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        pairs = []
-        for x in left:
-            y = right[(get["component"][right] != get["component"][x]) & (get["rep"][right] != centre)]
-            # Two members outside the main component meet twice; the smaller one asks.
-            y = y[inner[y] | (get["rep"][y] > get["rep"][x])]
-            if get["rep"][x] == centre or not len(y):
-                continue
-            same = (regs[y] == regs[x]).reshape(len(y), BANDS, ROWS).all(2)
-            y = y[same.argmax(1) == band]  # pairs are told in the first band they share
-            if len(y):
-                ok = likely(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), get["n"][x]), get["n"][y], percent)
-                pairs += [(get["rep"][x], r) for r in get["rep"][y[ok]]]
-        return pa.table({"a": pa.array([p[0] for p in pairs], table.column("rep").type),
-                         "b": pa.array([p[1] for p in pairs], table.column("rep").type)})
-
-    kind = reps.schema["rep"].dataType.simpleString()
-    return outer.unionByName(every).groupBy("bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+        keys, parts = (table.column(c).to_numpy() for c in ("_key", "component"))
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        outer, every = np.flatnonzero(side), np.flatnonzero(~side)
+        # Every shingle of the inner side with the rows that hold it.
+        index = np.concatenate([sets[y] for y in every]) if len(every) else np.zeros(0, np.uint64)
+        order = np.argsort(index, kind="stable")
+        index, holder = index[order], np.repeat(every, sizes[every])[order]
+        joined: dict = {}
+
+        def root(c):
+            while c in joined:
+                c = joined[c]
+            return c
+
+        links = []
+        for x in outer:
+            low, high = np.searchsorted(index, sets[x], "left"), np.searchsorted(index, sets[x], "right")
+            runs = high - low
+            at = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(low, runs)
+            both = np.bincount(holder[at], minlength=len(sets))
+            near = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[x] + sizes - both)) & (parts != parts[x]))
+            for y in near:
+                a, b = root(parts[x]), root(parts[y])
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    links.append((keys[x], keys[y]))
+        kind = table.column("_key").type
+        return pa.table({"a": pa.array([k[0] for k in links], kind), "b": pa.array([k[1] for k in links], kind)})
+
+    kind = active.schema["_key"].dataType.simpleString()
+    blocks = dealt(full.filter("NOT inner"), "i", "j", "a").unionByName(dealt(full, "j", "i", "b"))
+    return staged(blocks.groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct(), "near-links")
 
 
 def components_of(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -218,15 +234,16 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 80, text: str =
     members = staged(buckets.join(shared, "bucket"), "near-buckets")
 
     likely_udf = _likely_udf(percent)
-    star = members.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    # One centre for each representative, so there are no more pairs than those.
+    often = members.filter("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("c"))
+    star = often.groupBy(F.col("rep").alias("a")).agg(F.max_by("centre", F.struct("c", (-F.col("centre")).alias("s"))).alias("b"))
     known = reps.select("rep", "n", "regs")
     star = (star.join(known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
             .join(known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
             .filter(likely_udf("r_a", "r_b", "n_a", "n_b")).select("a", "b"))
     links = _confirmed(star, docs, size, percent, text, key)
     labels = components(links)
-    cross = _cross_pairs(members.filter("size > 2").drop("size"), labels, reps, percent)
-    more = _confirmed(cross, docs, size, percent, text, key)
+    more = _cross_links(members, labels, docs, size, percent, text, key)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
