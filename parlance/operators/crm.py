@@ -10,37 +10,43 @@ DEFAULT_LANGUAGE = "english"
 DEFAULT_STAGE = "New Lead"
 
 
+def fold_records(events: DataFrame) -> DataFrame:
+    """What the events of each user say, as records that can be merged in any order.
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """What the events of each user say, null where none said anything.
-
-    ``events``: user_id, ts, event_id, size, fabric, language, location, stage, tags, notes. Every
-    aggregate merges partial results, so a hot user sends one row per task.
+    ``events``: user_id, ts, event_id, size, fabric, language, location, stage, tags, notes. Every value
+    keeps the time and id of its event. Every aggregate merges partial results, so a hot user sends one row per
+    task; of the tags only distinct ones are gathered.
     """
-    at = F.struct("ts", "event_id")
-
     def last(column: str, empty_counts: bool = False) -> Column:
         value = F.col(column)
         there = value.isNotNull() if empty_counts else value.isNotNull() & (value != "")
-        return F.max_by(F.when(there, value), F.when(there, at))
+        return F.max(F.when(there, F.struct("ts", "event_id", value.alias("value")))).alias(column)
+
+    said = events.groupBy("user_id").agg(
+        last("size"), F.max(F.struct("ts", "event_id", F.col("fabric").alias("value"))).alias("fabric"),
+        last("language"), last("location"), last("stage"), last("notes", True),
+        F.count(F.lit(1)).alias("total_turns"), F.max("ts").alias("last_active"))
+    tags = (events.select(F.col("user_id").alias("_u"), F.explode("tags").alias("tag")).filter("tag IS NOT NULL").distinct()
+            .groupBy("_u").agg(F.array_sort(F.collect_list("tag")).alias("tags")))
+    none = F.array().cast("array<string>")
+    return said.join(tags, F.col("user_id").eqNullSafe(F.col("_u")), "left").drop("_u").withColumn("tags", F.coalesce("tags", none))
 
-    tags = F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast("array<string>")))))
-    return events.groupBy("user_id").agg(
-        last("size").alias("preferred_size"),
-        F.max_by("fabric", at).alias("preferred_fabric"),
-        last("language").alias("preferred_language"),
-        last("location").alias("location"),
-        last("stage").alias("stage"),
-        F.count(F.lit(1)).alias("total_turns"),
-        F.max("ts").alias("last_active"),
-        F.array_sort(tags).alias("tags"),
-        last("notes", True).alias("notes"))
 
+def merge_records(records: DataFrame) -> DataFrame:
+    """One record per user from any number of them; a user has no more than were put together."""
+    newest = [F.max(c).alias(c) for c in ("size", "fabric", "language", "location", "stage", "notes", "last_active")]
+    return records.groupBy("user_id").agg(
+        *newest, F.sum("total_turns").alias("total_turns"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
 
-def _with_defaults(folded: DataFrame) -> DataFrame:
-    return (folded.withColumn("preferred_language", F.coalesce("preferred_language", F.lit(DEFAULT_LANGUAGE)))
-            .withColumn("stage", F.coalesce("stage", F.lit(DEFAULT_STAGE)))
-            .withColumn("notes", F.coalesce("notes", F.lit(""))))
+
+def customers_of(records: DataFrame) -> DataFrame:
+    """Records as customers: the values, with defaults for language, stage and notes."""
+    return records.select(
+        "user_id", F.col("size.value").alias("preferred_size"), F.col("fabric.value").alias("preferred_fabric"),
+        F.coalesce("language.value", F.lit(DEFAULT_LANGUAGE)).alias("preferred_language"),
+        F.col("location.value").alias("location"), F.coalesce("stage.value", F.lit(DEFAULT_STAGE)).alias("stage"),
+        "total_turns", "last_active", "tags", F.coalesce("notes.value", F.lit("")).alias("notes"))
 
 
 def fold_customers(events: DataFrame) -> DataFrame:
@@ -49,26 +55,12 @@ def fold_customers(events: DataFrame) -> DataFrame:
     Size, language, location and stage keep their last non-empty value, notes the last that is not
     null; fabric is that of the latest event even if null. Turns are counted and tags united.
     """
-    return _with_defaults(fold_events(events))
+    return customers_of(fold_records(events))
 
 
-def merge_customers(old: DataFrame, events: DataFrame) -> DataFrame:
-    """Records after a batch of events that are all later than those already folded."""
-    o, n = old.alias("o"), fold_events(events).alias("n")
-    none = F.array().cast("array<string>")
-
-    def newer(column: str) -> Column:
-        return F.coalesce(f"n.{column}", f"o.{column}").alias(column)
-
-    return _with_defaults(o.join(n, F.col("o.user_id") == F.col("n.user_id"), "full_outer").select(
-        newer("user_id"), newer("preferred_size"),
-        F.when(F.col("n.user_id").isNotNull(), F.col("n.preferred_fabric"))
-        .otherwise(F.col("o.preferred_fabric")).alias("preferred_fabric"),
-        newer("preferred_language"), newer("location"), newer("stage"),
-        (F.coalesce("o.total_turns", F.lit(0)) + F.coalesce("n.total_turns", F.lit(0))).alias("total_turns"),
-        newer("last_active"),
-        F.array_sort(F.array_union(F.coalesce("o.tags", none), F.coalesce("n.tags", none))).alias("tags"),
-        newer("notes")))
+def merge_customers(records: DataFrame, events: DataFrame) -> DataFrame:
+    """Records after a further batch of events, earlier or later ones than those already folded."""
+    return merge_records(records.unionByName(fold_records(events)))
 
 
 def events_from_messages(labelled: DataFrame) -> DataFrame:
@@ -78,6 +70,12 @@ def events_from_messages(labelled: DataFrame) -> DataFrame:
                            "location", "stage", "tags", F.lit(None).cast("string").alias("notes"))
 
 
+def events_from_inbox(labelled: DataFrame) -> DataFrame:
+    """The same from inbox rows: the sender is the user, the message's id gives the event's."""
+    return events_from_messages(labelled.select(
+        "*", F.col("sender_id").alias("user_id"), F.col("received_at").alias("ts"), F.xxhash64("message_id").alias("event_id")))
+
+
 def tag_events(tags: DataFrame) -> DataFrame:
     """Manual tags ``(user_id, ts, event_id, tags, notes)`` as profile events. Through the fold they
     count as a turn and clear the fabric."""
@@ -121,7 +119,7 @@ def dossiers(customers: DataFrame, turns: DataFrame, size: int = 10) -> DataFram
 
 def upsert_notes(notes: DataFrame) -> DataFrame:
     """The latest free-text note ``(sender_id, customer_name, profile_notes, ts)`` per customer."""
-    return latest_by_key(notes, "sender_id", ["ts"]).select(
+    return latest_by_key(notes, "sender_id", ["ts", "profile_notes", "customer_name"]).select(
         "sender_id", "customer_name", "profile_notes", F.col("ts").alias("last_interaction"))
 
 

@@ -18,36 +18,36 @@ DEFAULT_SENDER_NAME = "Facebook User"
 DEFAULT_PLATFORM = "messenger"
 
 
-def dedup_key() -> Column:
-    """The platform's message id, or something unique where there is none: those rows are never
-    duplicates, and keying them apart also spreads them over the tasks."""
-    mid = non_empty(F.col("mid"))
-    return F.coalesce(F.concat(F.lit("m:"), mid), F.concat(F.lit("r:"), "message_id"))
+def has_mid() -> Column:
+    """True where the platform gave an id. Messages without one are never duplicates."""
+    return non_empty(F.col("mid")).isNotNull()
 
 
 def dedup_messages(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The first message of every platform id, without ids already in ``seen.mid``."""
-    order = W.partitionBy("_key").orderBy("received_at", "message_id")
-    keyed_rows = messages.withColumn("_key", dedup_key())
+    """The first message of every platform id, without ids already in ``seen.mid``, and all messages that have none."""
+    order = W.partitionBy("mid").orderBy("received_at", "message_id")
+    known = messages.filter(has_mid())
     if seen is not None:
-        # By the same key: messages without an id are spread over the tasks here too.
-        known = seen.select(F.concat(F.lit("m:"), "mid").alias("_key"))
-        keyed_rows = keyed_rows.join(known, "_key", "left_anti")
-    first = keyed_rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == 1)
-    return first.select(*messages.columns)
+        known = known.join(seen.select("mid"), "mid", "left_anti").select(*messages.columns)
+    first = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == 1)
+    return first.select(*messages.columns).unionByName(messages.filter(~has_mid()))
 
 
 def enqueue(messages: DataFrame) -> DataFrame:
-    """Inbox rows with defaults. The id is a hash of what arrived, so a replayed batch gives the same
-    ids: ``fb_`` and twelve hex digits."""
-    identity = F.concat_ws("|", F.coalesce("mid", F.lit("")), "sender_id", "message_text",
-                           F.unix_micros("received_at").cast("string"))
+    """Inbox rows with defaults. The id is ``fb_`` and a full hash of where the message came from: its payload and its
+    place there, or else its own ``message_id``; so a replay gives the same ids, and two messages two ids."""
+    if {"payload_id", "ordinal"} <= set(messages.columns):
+        origin = F.concat_ws("|", "payload_id", F.col("ordinal").cast("string"))
+    elif "message_id" in messages.columns:
+        origin = F.col("message_id")
+    else:
+        raise ValueError("messages need payload_id and ordinal, or message_id")
 
     def given(column: str, default: str) -> Column:
         return F.coalesce(non_empty(F.col(column)), F.lit(default)) if column in messages.columns else F.lit(default)
 
     return messages.select(
-        F.concat(F.lit("fb_"), F.substring(F.sha1(identity), 1, 12)).alias("message_id"),
+        F.concat(F.lit("fb_"), F.sha1(origin)).alias("message_id"),
         "mid", "sender_id", given("sender_name", DEFAULT_SENDER_NAME).alias("sender_name"),
         given("platform", DEFAULT_PLATFORM).alias("platform"),
         "message_text", "audio_url", F.lit("pending").alias("status"), "received_at")
@@ -56,7 +56,7 @@ def enqueue(messages: DataFrame) -> DataFrame:
 def mark_replied(inbox: DataFrame, replies: DataFrame) -> DataFrame:
     """Inbox rows with their latest reply ``(message_id, reply, replied_at)``."""
     last = latest_by_key(replies.select("message_id", F.col("reply").alias("ai_reply"), "replied_at"),
-                         "message_id", ["replied_at"])
+                         "message_id", ["replied_at", "ai_reply"])
     joined = inbox.drop("ai_reply", "replied_at").join(last, "message_id", "left")
     return joined.withColumn("status", F.when(F.col("replied_at").isNotNull(), "replied").otherwise(F.col("status")))
 

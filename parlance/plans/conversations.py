@@ -480,11 +480,11 @@ def crm_fold(spark, sf_dir):
 
 @query("crm_incremental", f"WITH {I.SQL_CUSTOMERS} SELECT {_CUSTOMER_COLUMNS} FROM customers")
 def crm_incremental(spark, sf_dir):
-    """The first half of the month folded, the second half merged into it."""
+    """The second half of the month folded, the first half merged into it."""
     events = I.profile_events(spark, sf_dir)
     middle = F.lit("2024-01-16").cast("timestamp")
-    old = crm.fold_customers(events.filter(F.col("ts") < middle))
-    return customer_rows(crm.merge_customers(old, events.filter(F.col("ts") >= middle)))
+    known = crm.fold_records(events.filter(F.col("ts") >= middle))
+    return customer_rows(crm.customers_of(crm.merge_customers(known, events.filter(F.col("ts") < middle))))
 
 
 @query("crm_tagged", f"""WITH {I.SQL_PROFILE_EVENTS.replace('profile_events AS', 'event_rows AS')}, profile_events AS (

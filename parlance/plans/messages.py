@@ -26,7 +26,7 @@ _FLAT_SQL = """flat AS (
 
 @query("webhook_flatten", f"WITH {_FLAT_SQL} SELECT event_id, sender_id, message_text, mid, audio_url, platform, queue_status FROM flat")
 def webhook_flatten(spark, sf_dir):
-    return webhooks.flatten_payloads(I.payloads(spark, sf_dir)).drop("received_at")
+    return webhooks.flatten_payloads(I.payloads(spark, sf_dir)).drop("received_at", "ordinal")
 
 
 @query("simple_messages", """SELECT CAST(user_id AS VARCHAR) AS session_id,
@@ -55,6 +55,50 @@ def inbound_messages(spark, sf_dir):
     return crm.fold_customers(events).select("user_id", "total_turns", F.unix_micros("last_active").alias("last_active"), "stage")
 
 
+def _repeated_payloads(spark, sf_dir):
+    """Payloads of a channel without message ids: every user's events say the same, twice each, at one time."""
+    e = I.table(spark, sf_dir, "events")
+    said = F.struct(F.col("user_id").cast("string").alias("from"), F.struct(F.lit("ok").alias("body")).alias("text"))
+    value = F.struct(F.struct(F.array(said, said).alias("messages")).alias("value"))
+    body = F.struct(F.lit("whatsapp_business_account").alias("object"), F.array(F.struct(F.array(value).alias("changes"))).alias("entry"))
+    return e.select(F.to_json(body).alias("body"), F.lit("2024-01-01").cast("timestamp").alias("received_at"))
+
+
+_REPEATED_SQL = """SELECT CAST(user_id AS VARCHAR) AS sender_id, 2 * count(*) AS messages, 2 * count(*) AS ids FROM events GROUP BY 1"""
+
+
+def _counted(queued):
+    return queued.groupBy("sender_id").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("message_id").alias("ids"))
+
+
+@query("inbound_repeated", _REPEATED_SQL)
+def inbound_repeated(spark, sf_dir):
+    """Equal texts without an id are messages of their own."""
+    queued, _ = pipelines.process_inbound(_repeated_payloads(spark, sf_dir))
+    return _counted(queued)
+
+
+@query("stream_inbound_repeated", _REPEATED_SQL)
+def stream_inbound_repeated(spark, sf_dir):
+    """The same from payload files, several micro-batches, every file with one time."""
+    path = work_dir(spark, "repeated")
+    _repeated_payloads(spark, sf_dir).select(F.col("body").alias("value")).repartition(3).write.text(path)
+    return _counted(_drained(spark, jobs.inbox_stream(webhooks.read_webhook_stream(spark, path, 1)), "repeated-inbox"))
+
+
+@query("stream_inbound", f"""WITH {_FLAT_SQL}
+SELECT sender_id AS user_id, count(*) AS total_turns, epoch_us(max(received_at)) AS last_active,
+  CASE WHEN bool_or(contains(message_text, 'purchase')) THEN 'Ready to Order' ELSE 'New Lead' END AS stage
+FROM flat GROUP BY 1""")
+def stream_inbound(spark, sf_dir):
+    """Payloads as they arrive, over several micro-batches, to customer records."""
+    base = work_dir(spark, "inbound")
+    payloads = _as_files(spark, I.payloads(spark, sf_dir).withColumn("payload_id", F.col("event_id").cast("string")).drop("event_id"), "inbound-payloads")
+    jobs.inbound_customers_into(payloads, f"{base}/out", f"{base}/checkpoint", "60 days").awaitTermination()
+    return jobs.read_customers(spark, f"{base}/out").select(
+        "user_id", "total_turns", F.unix_micros("last_active").alias("last_active"), "stage")
+
+
 @query("inbox_dedup", f"WITH {I.SQL_MESSAGES}, {_DEDUP_SQL} SELECT message_id, mid FROM dedup")
 def inbox_dedup(spark, sf_dir):
     return inbox.dedup_messages(I.event_messages(spark, sf_dir)).select("message_id", "mid")
@@ -70,7 +114,7 @@ def inbox_dedup_seen(spark, sf_dir):
 
 
 @query("inbox_enqueue", f"""WITH {I.SQL_MESSAGES}
-SELECT 'fb_' || substr(sha1(coalesce(mid, '') || '|' || sender_id || '|' || message_text || '|' || epoch_us(received_at)), 1, 12) AS message_id,
+SELECT 'fb_' || sha1(message_id) AS message_id,
   mid, sender_id, 'Facebook User' AS sender_name, coalesce(platform, 'messenger') AS platform, message_text, audio_url,
   'pending' AS status, epoch_us(received_at) AS received_at FROM messages""")
 def inbox_enqueue(spark, sf_dir):
@@ -190,6 +234,13 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(I.EVENTS).parquet(f"{sf_dir}/events*.parquet")
 
 
+def _as_files(spark, df, label, files=3):
+    """The rows as a stream of a few files in no order of time, one file in each micro-batch."""
+    path = work_dir(spark, label)
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _drained(spark, df, label):
     """Appends all that a stream gives to files and reads them back."""
     base = work_dir(spark, label)
@@ -258,9 +309,9 @@ def stream_replies(spark, sf_dir):
 
 @query("stream_crm", f"WITH {I.SQL_CUSTOMERS} SELECT {_CUSTOMER_COLUMNS} FROM customers")
 def stream_crm(spark, sf_dir):
-    """Customer records kept up to date by micro-batches."""
+    """Customer records kept up to date by micro-batches that are not in the order of time."""
     base = work_dir(spark, "crm")
-    events = I.profile_events_of(_event_stream(spark, sf_dir))
+    events = _as_files(spark, I.profile_events(spark, sf_dir), "crm-events")
     jobs.fold_customers_into(events, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return customer_rows(jobs.read_customers(spark, f"{base}/out"))
 
@@ -269,9 +320,7 @@ def stream_crm(spark, sf_dir):
 SELECT sender_id, message_text, mid, platform, audio_url, 'pending' AS status FROM flat""")
 def stream_inbox(spark, sf_dir):
     """Payloads written as files, read as a stream, flattened, deduplicated and queued."""
-    path = work_dir(spark, "payloads")
-    I.payloads(spark, sf_dir).select(F.col("body").alias("value"), "received_at").write.parquet(path)
-    payloads = spark.readStream.schema("value string, received_at timestamp").parquet(path).withColumnRenamed("value", "body")
+    payloads = _as_files(spark, I.payloads(spark, sf_dir).withColumn("payload_id", F.col("event_id").cast("string")).drop("event_id"), "payloads")
     queued = jobs.inbox_stream(payloads, "60 days")
     return _drained(spark, queued, "inbox").select("sender_id", "message_text", "mid", "platform", "audio_url", "status")
 

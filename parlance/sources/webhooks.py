@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import non_empty
 from ..schemas import PAYLOAD
@@ -19,10 +19,32 @@ QUEUED = {"messaging": "QUEUED_FOR_SPARK", "standby": "STANDBY_QUEUED", "changes
           "whatsapp": "WHATSAPP_QUEUED"}
 
 
-def read_webhook_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of payload files, one JSON text per line; ``received_at`` is the file's time."""
-    return spark.readStream.format("text").load(path).select(
-        F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("received_at"))
+def read_webhook_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of payload files, one JSON text per line: body, received_at (the file's time) and payload_id.
+
+    The id is a hash of the file's path and the line's number, so reading a file again gives the same
+    ids. A file is read as a whole; a receiver starts a new one every few megabytes.
+    """
+    reader = spark.readStream.format("text").option("wholetext", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.load(path).select(
+        F.col("_metadata.file_modification_time").alias("received_at"), F.col("_metadata.file_path").alias("_path"),
+        F.posexplode(F.split("value", "\r?\n")).alias("_line", "body"))
+    return lines.filter(F.trim("body") != "").select(
+        "body", "received_at", F.sha1(F.concat_ws("|", "_path", "_line")).alias("payload_id"))
+
+
+def with_payload_ids(payloads: DataFrame) -> DataFrame:
+    """Payloads with ``payload_id``. Without one, it is a hash of body and time and a number that tells equal ones
+    apart, so the same batch always gives the same ids. Not for streams, whose source knows the place."""
+    if "payload_id" in payloads.columns:
+        return payloads
+    if payloads.isStreaming:
+        raise ValueError("a stream of payloads needs a column payload_id")
+    same = W.partitionBy("body", "received_at").orderBy(F.lit(0))
+    return payloads.withColumn("payload_id", F.sha1(F.concat_ws(
+        "|", F.coalesce("body", F.lit("")), F.unix_micros("received_at").cast("string"), F.row_number().over(same).cast("string"))))
 
 
 def _audio_url(attachments: Column) -> Column:
@@ -84,7 +106,7 @@ def _messages_of(entries: Column, kind: Column) -> Column:
 
 
 def flatten_payloads(payloads: DataFrame) -> DataFrame:
-    """Flat messages from ``body`` (JSON text); other columns are kept.
+    """Flat messages from ``body`` (JSON text), with their ordinal in the payload; other columns are kept.
 
     Every entry's messaging, standby and changes arrays, or its listed messages, become one array
     of rows that is exploded once, so the payload is parsed and read a single time. Echoes of own
@@ -93,7 +115,8 @@ def flatten_payloads(payloads: DataFrame) -> DataFrame:
     """
     keep = [c for c in payloads.columns if c != "body"]
     parsed = payloads.withColumn("_p", F.from_json("body", PAYLOAD))
-    return parsed.select(*keep, F.inline(_messages_of(F.col("_p.entry"), F.col("_p.object"))))
+    exploded = parsed.select(*keep, F.posexplode(_messages_of(F.col("_p.entry"), F.col("_p.object"))).alias("ordinal", "_m"))
+    return exploded.select(*keep, "ordinal", "_m.*")
 
 
 def telemetry_entries(payloads: DataFrame) -> DataFrame:

@@ -14,24 +14,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import crm, inbox, memory
+from .. import lexicons as L
+from ..operators import crm, inbox, memory, signals
 from ..operators.prep import documents_to_points
 from ..sources import vector_table, webhooks
 
 
 def inbox_stream(payloads: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Payload texts to queued messages: flattened, deduplicated by platform id, with defaults."""
-    flat = webhooks.flatten_payloads(payloads).withColumn(
-        "message_id", F.sha1(F.concat_ws("|", F.coalesce("mid", F.lit("")), "sender_id", "message_text",
-                                         F.unix_micros("received_at").cast("string"))))
-    return inbox.enqueue(dedup_stream(flat, delay))
+    """Payload texts (body, received_at, payload_id) to queued messages: flattened, deduplicated by platform id, with defaults."""
+    return dedup_stream(inbox.enqueue(webhooks.flatten_payloads(webhooks.with_payload_ids(payloads))), delay)
 
 
 def dedup_stream(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The first message of every platform id that arrives within the delay; messages without an id
-    are keyed by their own message id and all stay."""
-    return (messages.withWatermark("received_at", delay).withColumn("_key", inbox.dedup_key())
-            .dropDuplicatesWithinWatermark(["_key"]).drop("_key"))
+    """The first message of every platform id that arrives within the delay, and all messages without an
+    id; those take no state."""
+    rows = messages.withWatermark("received_at", delay)
+    return rows.filter(inbox.has_mid()).dropDuplicatesWithinWatermark(["mid"]).unionByName(rows.filter(~inbox.has_mid()))
 
 
 def session_stream(turns: DataFrame, timeout_seconds: int = memory.SESSION_TIMEOUT,
@@ -156,22 +154,26 @@ def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = T
 
 
 def fold_customers_into(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keeps the customer table under ``path`` up to date: each micro-batch is folded per user and
-    merged into the newest version. The batch id names the version, so a repeated batch rewrites
-    its own version and is not counted twice."""
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = [v for v in vector_table.versions(spark, path) if v <= batch_id]
-        new = (crm.merge_customers(spark.read.parquet(f"{path}/v={done[-1]}"), batch) if done
-               else crm.fold_customers(batch))
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
-
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    """Keeps customer records under ``path``: each micro-batch writes the records of its own events, which
+    merge in any order, and nothing else. The batch id names the folder, so a repeated batch is not counted twice."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        crm.fold_records(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def inbound_customers_into(payloads: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes",
+                           lexicon: L.ProfileLexicon = L.ProfileLexicon(), available_now: bool = True) -> StreamingQuery:
+    """The inbound chain as payloads arrive: inbox rows, their profile signals, customer records."""
+    events = crm.events_from_inbox(signals.profile_signals(inbox_stream(payloads, delay), lexicon, "message_text"))
+    return fold_customers_into(events, path, checkpoint, available_now)
+
+
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={vector_table.versions(spark, path)[-1]}")
+    """The customers as they stand after all micro-batches."""
+    records = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return crm.customers_of(crm.merge_records(records))
 
 
 def index_documents_into(docs: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -74,7 +74,7 @@ def test_dedup_keeps_messages_without_an_id(spark):
 
 def test_inbox_flow(spark):
     box = Q.enqueue(messages(spark, [("s", 0, "first", "x"), ("s", 1, "second", "y")]))
-    assert box.filter("message_id rlike '^fb_[0-9a-f]{12}$' and sender_name = 'Facebook User'").count() == 2
+    assert box.filter("message_id rlike '^fb_[0-9a-f]{40}$' and sender_name = 'Facebook User'").count() == 2
     assert [r.message_text for r in Q.pending_messages(box).collect()] == ["first", "second"]
     first = box.filter("message_text = 'first'").first().message_id
     replies = spark.createDataFrame([(first, "early", T0), (first, "late", T0 + dt.timedelta(1))],

@@ -137,7 +137,17 @@ def test_fold_and_merge_match_a_plain_restatement(spark, seed):
     df = events(spark, rows)
     assert as_tuples(crm.fold_customers(df)) == fold_by_hand(rows)
     first, second = df.filter("event_id < 20"), df.filter("event_id >= 20")
-    assert as_tuples(crm.merge_customers(crm.fold_customers(first), second)) == fold_by_hand(rows)
+    # In whatever order the batches come.
+    for old, new in ((first, second), (second, first)):
+        assert as_tuples(crm.customers_of(crm.merge_customers(crm.fold_records(old), new))) == fold_by_hand(rows)
+
+
+def test_an_older_event_changes_nothing_newer(spark):
+    newer = events(spark, [("u", None, None, None, None, None, None, None), ("u", "M", "Silk", None, None, None, None, None)])
+    older = events(spark, [("u", "L", "Linen", None, "Kochi", None, ["x"], None)])
+    r = crm.customers_of(crm.merge_customers(crm.fold_records(newer), older)).first()
+    assert (r.preferred_size, r.preferred_fabric, r.location, r.total_turns) == ("M", "Silk", "Kochi", 3)
+    assert r.last_active == newer.agg({"ts": "max"}).first()[0]
 
 
 def test_later_message_without_fabric_clears_it(spark):

@@ -71,6 +71,14 @@ def test_inbound(spark):
     assert "Fabric:Cotton" in r.tags
 
 
+def test_equal_messages_without_an_id_all_stay(spark):
+    said = {"from": "91", "text": {"body": "ok"}}
+    body = json.dumps({"object": "whatsapp_business_account", "entry": [{"changes": [{"value": {"messages": [said, said]}}]}]})
+    df = spark.createDataFrame([(body, T0), (body, T0)], "body string, received_at timestamp")
+    ids = lambda: sorted(r.message_id for r in P.process_inbound(df)[0].collect())
+    assert len(set(ids())) == 4 and ids() == ids()
+
+
 def test_consolidation_run(spark):
     turns = spark.createDataFrame([("t1", "s", "u", "user", "cotton please", T0)],
                                   "turn_id string, session_id string, user_id string, role string, content string, ts timestamp")

@@ -36,6 +36,18 @@ def test_webhook_stream_to_inbox(spark, tmp_path):
     assert [(r.sender_id, r.message_text, r.status) for r in rows] == [("S", "hello", "pending")]
 
 
+def test_equal_lines_without_an_id_all_stay(spark, tmp_path):
+    said = {"from": "91", "text": {"body": "ok"}}
+    body = json.dumps({"object": "whatsapp_business_account", "entry": [{"changes": [{"value": {"messages": [said, said]}}]}]})
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / f"{name}.json").write_text(f"{body}\n\n{body}\n")
+    stream = webhooks.read_webhook_stream(spark, str(tmp_path / "in"), 1)
+    first = {r.message_id for r in drain(spark, jobs.inbox_stream(stream), tmp_path, "out").collect()}
+    again = {r.message_id for r in drain(spark, jobs.inbox_stream(stream), tmp_path, "again").collect()}
+    assert len(first) == 8 and first == again
+
+
 MESSAGES = "sender_id string, message_id string, message_text string, received_at timestamp"
 
 
