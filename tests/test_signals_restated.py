@@ -1,134 +1,111 @@
-"""The signal expressions against plain restatements on random messages."""
+"""Signals on tables of literal messages with the labels that their rules give."""
 
 import datetime as dt
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from parlance import lexicons as L
 from parlance.operators import signals as S
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-LEX = L.LanguageLexicon()
-VOCABULARY = [
-    "undu", "ethra", "kochi", "churidhar", "hai", "kya", "bhai", "irukka", "enna", "do", "you", "price", "I'm", "t-shirt",
-    "വില", "ഉണ്ടോ", "क्या", "विलै", "விலை", "ధర", "ok", "OK", "s", "xl", "3XL", "size", "m", "M", "l", "S", "large", "Medium",
-    "xs", "size:", "cotton", "SILK", "Kollam", "order", "tracking", "photos", "hello", "Kerala-il", "shop-inte", "Kochi-yil",
-    "ente-kku", "well-anu", "one-two", "ക്കേണ്ട", "✨", "🌸", "é-te", "a-il", "compare", "?", "!", "  ", "\n"]
-
-
-def messages(seed, n):
-    rng = random.Random(seed)
-    return [rng.choice([" ", " ", "", "  "]).join(rng.choice(VOCABULARY) for _ in range(rng.choice([0, 1, 1, 2, 3, 6])))
-            for _ in range(n)]
-
-
-def block_size(text, block):
-    lo, hi = (int(x, 16) for x in re.findall(r"\{(\w+)\}", block))
-    return sum(lo <= ord(c) <= hi for c in text)
-
-
-def own_language(text):
-    """Script or vote of one text; None without either."""
-    counts = [(label, block_size(text, block)) for label, block in LEX.scripts]
-    most = max(n for _, n in counts)
-    if most >= 2:
-        return "script", next(label for label, n in counts if n == most)
-    words = set(re.findall("[a-zA-Z]+", text.lower()))
-    hits = [words & set(family) for _, family in LEX.families]
-    if hits[0] and hits[0] <= set(LEX.clothing) and words & set(LEX.clothing_cues):
-        return "vote", "english"
-    a, b, c = map(len, hits)
-    if not a + b + c:
-        return None, None
-    if b > a and b >= c:
-        return "vote", LEX.families[1][0]
-    if c > a and c >= b:
-        return "vote", LEX.families[2][0]
-    return "vote", LEX.families[0][0]
-
-
-def language_of(text, voice, past):
-    if not text.strip():
-        return "english"
-    kind, label = own_language(text)
-    spoken = dict(LEX.voice_labels)
-    if kind == "script":
-        typed = any(role == "user" and block_size(t, LEX.scripts[0][1]) >= 2 for role, t in past[-4:])
-        return spoken.get(label, label) if voice and not typed else label
-    if label:
-        return label
-    clean = text.lower().strip()
-    if clean in LEX.short_replies:
-        for role, before in reversed(past[-2:]):
-            if role == "user" and before.lower().strip() != clean:
-                return language_of(before, voice, [])
-    return "english"
+TURNS = "session_id string, turn_id string, role string, content string, ts timestamp, is_voice boolean"
+
+# One conversation: role, text, spoken, label and why.
+CONVERSATION = [
+    ("user", "Kochi delivery undo", False, "manglish"),         # two words of the first family
+    ("user", "ok", False, "manglish"),                          # a short reply takes the turn before
+    ("assistant", "welcome", False, "english"),                 # no sign at all
+    ("user", "hai", False, "hinglish"),                         # a word of the second family
+    ("user", "OK", False, "hinglish"),                          # again the user turn before
+    ("user", "क्या आप", False, "hindi_script"),
+    ("user", "क्या आप", True, "hinglish"),                        # spoken script becomes its romanised label
+    ("user", "എന്താണ്", False, "malayalam_script"),
+    ("user", "क्या आप", True, "hindi_script"),                    # the first script was typed lately
+    ("user", "   ", False, "english"),
+    ("user", "kya undo", False, "manglish"),                    # one word each: the first family
+    ("user", "kya bhai undo", False, "hinglish"),               # the second has more
+    ("user", "irukka kya undo", False, "manglish"),             # one word of all three
+    ("user", "irukka enna kya", False, "tanglish"),             # the third has most
+    ("user", "irukka kya", False, "hinglish"),                  # the second before the third
+    ("user", "do you churidhar", False, "english"),             # English outweighs a clothing word
+    ("user", "churidhar", False, "manglish"),
+    ("user", "വ price", False, "english"),                      # one letter is no script
+    ("user", "വി क्", False, "malayalam_script"),                # a tie goes to the first script
+    ("user", "yes", False, "malayalam_script"),
+    ("assistant", "undo", False, "manglish"),
+    ("assistant", "undo", False, "manglish"),
+    ("user", "yes", False, "english"),                          # no user turn among the last two
+]
+
+
+def turns(spark, conversations):
+    return spark.createDataFrame([
+        (session, f"{i:03}", role, text, T0 + dt.timedelta(seconds=i), voice)
+        for session, turn_list in conversations.items() for i, (role, text, voice, *_) in enumerate(turn_list)], TURNS)
 
 
 @pytest.mark.parametrize("max_rows", [10_000, 4])
-def test_languages(spark, max_rows):
+def test_languages_of_a_conversation(spark, max_rows):
+    rows = S.detect_language(turns(spark, {"s": CONVERSATION}), max_rows=max_rows).orderBy("turn_id").collect()
+    assert [r.language for r in rows] == [c[3] for c in CONVERSATION]
+
+
+def test_slots_change_nothing(spark):
     rng = random.Random(7)
-    rows, want = [], {}
-    for s in range(12):
-        past = []
-        for i, text in enumerate(messages(s, 25)):
-            role, voice = rng.choice(["user", "user", "assistant"]), rng.random() < 0.4
-            rows.append((f"s{s}", f"{i:03}", role, text, T0 + dt.timedelta(seconds=i), voice))
-            want[(f"s{s}", f"{i:03}")] = language_of(text, voice, past)
-            past.append((role, text))
-    df = spark.createDataFrame(rows, "session_id string, turn_id string, role string, content string, ts timestamp, is_voice boolean")
-    got = {(r.session_id, r.turn_id): r.language for r in S.detect_language(df, max_rows=max_rows).collect()}
-    assert got == want
-    assert len(set(want.values())) > 6
-
-
-def size_of(text):
-    clean = text.lower()
-    for pattern, size in L.SIZE_PATTERNS:
-        if re.search(pattern, clean, re.I):
-            return size
-    m = re.search(L.SIZE_LETTER_PATTERN, clean, re.I)
-    if m:
-        for letter in ("xl", "l", "m", "s"):
-            if f"size {letter}" in m[0] or f"{letter} size" in m[0] or (letter == "xl" and "xl" in m[0]):
-                return letter.upper()
-    return None
-
-
-def cleaned(text, language):
-    text = re.sub("[✨🌸💫🌟🌼🎉]+", "", text)
-    if language not in L.PLAIN_LANGUAGES:
-        latin, foreign = len(re.findall("[a-zA-Z]", text)), block_size(text, L.SCRIPT_BLOCKS[0][1])
-        if latin and latin >= foreign:
-            for letters, spelled in sorted(L.MALAYALAM_TO_LATIN, key=lambda p: -len(p[0])):
-                text = text.replace(letters, spelled)
-            text = "".join(c for c in text if not 0x0D00 <= ord(c) <= 0x0D7F)
-        for pattern, replacement, any_case in L.HYPHEN_REWRITES:
-            text = re.sub(pattern, re.sub(r"\$(\d)", r"\\g<\1>", replacement), text, flags=re.I if any_case else 0)
-    return re.sub(" +", " ", text).strip()
-
-
-def test_row_wise_signals(spark):
-    texts = messages(99, 400)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
-    t = F.col("content")
-    rows = S.profile_signals(df).select(
-        "i", "size", "fabric", "location", "stage", S.clean_reply(t, F.lit("manglish")).alias("clean"),
-        S.clean_reply(t, F.lit("english")).alias("plain"), S.route_intent(t).alias("intent"),
-        S.is_greeting_only(t).alias("greeting")).orderBy("i").collect()
-    for r, text in zip(rows, texts):
-        low = text.lower()
-        assert r.size == size_of(text), text
-        assert r.fabric == next((f.capitalize() for f in L.FABRICS if f in low), None)
-        assert r.location == next((p.capitalize() for p in L.LOCATIONS if p in low), None)
-        assert r.stage == next((s for s, _, words in L.STAGES if any(w in low for w in words)), None)
-        assert r.clean == cleaned(text, "manglish"), text
-        assert r.plain == cleaned(text, "english"), text
-        short = len(low.split()) <= 2
-        assert r.greeting == (low.strip() in L.AGENT_GREETINGS or short and any(g in low.strip() for g in L.AGENT_GREETINGS))
-        want = ("CHIT_CHAT" if low.strip() in L.ROUTER_GREETINGS or short and any(g in low.strip() for g in L.ROUTER_GREETINGS)
-                else "DEEP_REASONING" if any(x in low for x in L.REASONING_TRIGGERS) else "RAG_QUERY")
-        assert r.intent == want, text
+    shuffled = {f"s{n}": rng.choices([c[:3] for c in CONVERSATION], k=25) for n in range(12)}
+    df = turns(spark, shuffled)
+    label = lambda **kw: sorted((r.session_id, r.turn_id, r.language) for r in S.detect_language(df, **kw).collect())
+    assert label(max_rows=4) == label()
+
+
+# Text, size, fabric, place, stage.
+PROFILES = [
+    ("size xl please", "XL", None, None, None),
+    ("3XL cotton", "3XL", "Cotton", None, None),
+    ("I'm in Kollam", None, None, "Kollam", None),
+    ("m size silk or cotton", "M", "Cotton", None, None),
+    ("size s", "S", None, None, None),
+    ("small or large", "L", None, None, None),
+    ("Medium", "M", None, None, None),
+    ("xs", "XS", None, None, None),
+    ("sizes", None, None, None, None),
+    ("", None, None, None, None),
+    ("book it, ship to KOCHI", None, None, "Kochi", "Ready to Order"),
+]
+
+
+def test_profile_signals(spark):
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PROFILES)], "i int, content string")
+    rows = S.profile_signals(df).orderBy("i").collect()
+    assert [(r.content, r["size"], r.fabric, r.location, r.stage) for r in rows] == PROFILES
+
+
+# Text, intent, greeting only.
+INTENTS = [
+    ("hi", "CHIT_CHAT", True), ("hello there", "CHIT_CHAT", True), ("this one", "CHIT_CHAT", True),
+    ("hello my dear friend", "RAG_QUERY", False), ("what is the price", "RAG_QUERY", False),
+    ("compare cotton and silk", "DEEP_REASONING", False), ("word " * 35, "RAG_QUERY", False),
+    ("word " * 36, "DEEP_REASONING", False), ("yo", "RAG_QUERY", True), ("", "RAG_QUERY", False),
+]
+
+
+def test_intents(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(INTENTS)], "i int, content string")
+    rows = df.select("content", S.route_intent(F.col("content")).alias("intent"),
+                     S.is_greeting_only(F.col("content")).alias("greeting"), "i").orderBy("i").collect()
+    assert [(r.content, r.intent, r.greeting) for r in rows] == INTENTS
+
+
+# Reply, language, what is left.
+REPLIES = [
+    ("hello ✨ there 🌸", "manglish", "hello there"), ("hello ✨ there", "english", "hello there"),
+    ("one-two", "english", "one-two"), ("  two   spaces ", "manglish", "two spaces"), ("വില", "manglish", "വില"),
+    ("വില", "english", "വില"),
+]
+
+
+def test_clean_replies(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(REPLIES)], "i int, content string, language string, want string")
+    rows = df.select(S.clean_reply(F.col("content"), F.col("language")).alias("got"), "want", "i").orderBy("i").collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
