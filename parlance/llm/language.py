@@ -8,7 +8,6 @@ block of it counts. Where two sizes are nearly equal the text is rejected.
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass
 
@@ -61,19 +60,19 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return LanguageModel({k: b" ".join(v)[:dictionary_bytes] for k, v in parts.items() if any(v)}, **settings)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoders(dictionaries: tuple[tuple[str, bytes], ...], level: int):
+def encoders(model: LanguageModel) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """A compressor per language; made once per task."""
     out = []
     params = zstandard.ZstdCompressionParameters.from_level(
-        level, write_content_size=False, write_checksum=False, write_dict_id=False)
-    for name, raw in dictionaries:
+        model.level, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for name, raw in model.dictionaries.items():
         data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(compression_params=params)
         out.append((name, zstandard.ZstdCompressor(dict_data=data, compression_params=params)))
     return out
 
 
-def classify(model: LanguageModel, text: str) -> tuple[str, float]:
+def classify(model: LanguageModel, text: str, made: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
     """The language and a score from 0 to 1; ties go to the first name."""
     ink = letters(text)
     if not model.dictionaries or not any(c.isalpha() for c in text):
@@ -81,8 +80,7 @@ def classify(model: LanguageModel, text: str) -> tuple[str, float]:
     if len(ink) < SHORT:  # too short to be worth a sequence: a second copy makes one, and sizes differ
         ink = ink + b"\n" + ink
     blocks = [ink[i:i + model.block_bytes] for i in range(0, len(ink), model.block_bytes)]
-    sizes = [(sum(len(e.compress(b)) for b in blocks), name)
-             for name, e in _encoders(tuple(model.dictionaries.items()), model.level)]
+    sizes = [(sum(len(e.compress(b)) for b in blocks), name) for name, e in made]
     best, name = min(sizes)
     # Sizes relative to the best one, as weights.
     return name, 1.0 / sum(math.exp(-model.sharpness * (size / best - 1.0)) for size, _ in sizes)
@@ -96,8 +94,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
     texts whose score is under ``least_score``. Repeated rows give repeated rows.
     """
     def run(batches):
+        by_language = encoders(model)
         for batch in batches:
-            made = [classify(model, t) for t in plain(batch, "_t").to_pylist()]
+            made = [classify(model, t, by_language) for t in plain(batch, "_t").to_pylist()]
             names, scores = [m[0] for m in made], [m[1] for m in made]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_k"), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
@@ -112,9 +111,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", least_score: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, with all their columns as they were. The decision is
     made beside the row, without a shuffle."""
+    kept: list = []  # the task's compressors
+
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
-        made = (classify(model, t) for t in texts.fill_null("").to_pylist())
+        if not kept:
+            kept.append(encoders(model))
+        made = (classify(model, t, kept[0]) for t in texts.fill_null("").to_pylist())
         return pa.array([n != UNDETERMINED and s >= least_score for n, s in made], pa.bool_())
 
     return docs.filter(accepted(F.col(text)))

@@ -15,9 +15,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 def test_stages_equal_plain_restatements(spark):
     docs = documents(spark, SMALL)
     model = language.fit(docs)
-    rows = {}
+    rows, by_language = {}, language.encoders(model)
     for r in docs.collect():
-        name, score = language.classify(model, r["text"] or "")
+        name, score = language.classify(model, r["text"] or "", by_language)
         if name != "und" and score >= 0.4:
             rows[r["doc_id"]] = r
     newest = {}
