@@ -11,12 +11,15 @@ from slot to slot.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import work_dir
 
 MAX_ROWS = 2_000_000
+MAX_SHIPPED = 100_000
 SLOT = "_slot"
 
 
@@ -52,22 +55,34 @@ def keyed(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_
     if not found:
         return Keyed(df, keys)
     spark = df.sparkSession
-    hot = F.broadcast(spark.createDataFrame(found, counts.schema).drop("_n"))
+    hot = spark.createDataFrame(found, counts.schema).drop("_n")
+    # Shipped while there are few; beyond that the planner shuffles both sides.
+    hot = F.broadcast(hot) if len(found) <= MAX_SHIPPED else hot
     slots = -(-sum(r["_n"] for r in found) // max_rows)
     # Ranges follow the data, so they are even whatever the keys and times look like.
-    ranged = (df.join(hot, keys, "left_semi").repartitionByRange(slots, *keys, *order)
+    ranged = (joined(df, hot, keys, "left_semi").repartitionByRange(slots, *keys, *order)
               .withColumn(SLOT, F.spark_partition_id().cast("long")))
-    rest = df.join(hot, keys, "left_anti").withColumn(SLOT, F.lit(-1).cast("long"))
+    rest = joined(df, hot, keys, "left_anti").withColumn(SLOT, F.lit(-1).cast("long"))
     # Written once: the slot numbers are settled by that, whatever is run again later.
     path = work_dir(spark, "slots")
     ranged.unionByName(rest).write.parquet(path)
     return Keyed(spark.read.parquet(path), keys, True)
 
 
+def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys that may be null; null equals null."""
+    renamed = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(renamed, on, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def with_history(rows: Keyed, order: list[str], n: int, item: Column, name: str) -> Keyed:
     """Adds the array of ``item`` over the up to ``n`` rows before this one, oldest first."""
     boxed = F.struct(item.alias("v"))
-    local = F.collect_list(boxed).over(rows.window(*order).rowsBetween(-n, -1))
+    if n == 1:
+        local = F.array_compact(F.array(F.lag(boxed).over(rows.window(*order))))
+    else:
+        local = F.collect_list(boxed).over(rows.window(*order).rowsBetween(-n, -1))
 
     def unboxed(items: Column) -> Column:
         return F.transform(items, lambda x: x["v"])
@@ -85,10 +100,10 @@ def with_history(rows: Keyed, order: list[str], n: int, item: Column, name: str)
     )
     before = W.partitionBy(*rows.keys).orderBy(SLOT).rowsBetween(-n, -1)
     carry = tails.select(*rows.parts, F.flatten(F.collect_list(F.col("_tail.i")).over(before)).alias("_carry"))
-    joined = rows.df.withColumn("_local", local).join(carry, rows.parts, "left")
+    carried = joined(rows.df.withColumn("_local", local), carry, rows.parts, "left")
     history = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(F.concat("_carry", "_local"))
     recent = F.slice(history, F.greatest(F.size(history) - n, F.lit(0)) + 1, F.lit(n))
-    return rows.select(joined.withColumn(name, unboxed(recent)).drop("_local", "_carry"))
+    return rows.select(carried.withColumn(name, unboxed(recent)).drop("_local", "_carry"))
 
 
 def with_running(rows: Keyed, order: list[str], values: dict[str, tuple[str, Column]]) -> Keyed:
@@ -107,9 +122,9 @@ def with_running(rows: Keyed, order: list[str], values: dict[str, tuple[str, Col
     before = W.partitionBy(*rows.keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(*rows.parts, *[
         merge[how](name).over(before).alias(f"_carry_{name}") for name, (how, _) in values.items()])
-    joined = rows.df.withColumns(local).join(carry, rows.parts, "left")
+    carried = joined(rows.df.withColumns(local), carry, rows.parts, "left")
     merged = {
         name: (F.coalesce(name, F.lit(0)) + F.coalesce(f"_carry_{name}", F.lit(0)) if how == "sum"
                else F.greatest(name, f"_carry_{name}"))
         for name, (how, _) in values.items()}
-    return rows.select(joined.withColumns(merged).drop(*[f"_carry_{name}" for name in values]))
+    return rows.select(carried.withColumns(merged).drop(*[f"_carry_{name}" for name in values]))

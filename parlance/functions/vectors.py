@@ -40,18 +40,22 @@ def hash_embedder(dim: int = DEFAULT_DIMENSIONS):
     if dim < 1:
         raise ValueError("dim must be positive")
 
+    known: dict[str, tuple[int, int]] = {}  # of one task; emptied before it grows beyond 2**18 tokens
+
     @F.arrow_udf("array<float>")
     def embed(tokens: pa.Array) -> pa.Array:
         rows = len(tokens)
         flat = tokens.flatten()
         row_of = np.repeat(np.arange(rows), np.diff(tokens.offsets.to_numpy()))
         encoded = flat.dictionary_encode()
-        pairs = [_slot_and_sign(t, dim) for t in encoded.dictionary.to_pylist()]
+        if len(known) > 1 << 18:
+            known.clear()
+        pairs = [known.get(t) or known.setdefault(t, _slot_and_sign(t, dim)) for t in encoded.dictionary.to_pylist()]
         out = np.zeros((rows, dim))
         if pairs:
             slot_sign = np.array(pairs)
             codes = encoded.indices.to_numpy()
-            np.add.at(out, (row_of, slot_sign[codes, 0]), slot_sign[codes, 1])
+            out = np.bincount(row_of * dim + slot_sign[codes, 0], slot_sign[codes, 1], rows * dim).reshape(rows, dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norms, out=out, where=norms > 0)
         offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordered import MAX_ROWS, SLOT, keyed
+from ..functions.ordered import MAX_ROWS, SLOT, joined, keyed
 from ..functions.text import non_empty
 from .memory import latest_by_key
 
@@ -176,9 +176,9 @@ def anchored_messages(messages: DataFrame, seconds: float = 5.0, max_rows: int =
                   ["sender_id"], ["received_at", "message_id"], max_rows)
     rows = found.df.withColumn("at", F.unix_micros("received_at"))
     if found.split:
-        # Bounded: one row per slot, and only senders beyond max_rows have slots.
-        entries = F.broadcast(_slot_entries(rows.filter(F.col(SLOT) >= 0).select("sender_id", SLOT, "at"), width))
-        rows = rows.join(entries, ["sender_id", SLOT], "left")
+        # One row per slot, and only senders beyond max_rows have slots; the planner sees how many.
+        entries = _slot_entries(rows.filter(F.col(SLOT) >= 0).select("sender_id", SLOT, "at"), width)
+        rows = joined(rows, entries, ["sender_id", SLOT], "left")
     else:
         rows = rows.withColumn(SLOT, F.lit(-1).cast("long")).withColumn("entry", F.lit(None).cast("long"))
     ordered = (rows.select("sender_id", SLOT, "message_id", "message_text", "at", "entry")

@@ -28,7 +28,7 @@ def latest_by_key(rows: DataFrame, key: str | list[str], order: list[str]) -> Da
 def upsert_turns(log: DataFrame, new: DataFrame) -> DataFrame:
     """The turn log after new turns; a turn id that comes again replaces the older row."""
     both = log.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest_by_key(both, "turn_id", ["ts", "_new"]).drop("_new")
+    return latest_by_key(both, "turn_id", ["ts", "_new", "content", "role"]).drop("_new")
 
 
 def session_history(turns: DataFrame, limit: int = HISTORY_TURNS) -> DataFrame:
@@ -91,12 +91,9 @@ def sessions(turns: DataFrame, timeout_seconds: int = SESSION_TIMEOUT) -> DataFr
     """One row per session stretch without a longer pause than the timeout: start, end, turns.
 
     Works on a table or on a stream with a watermark. A pause of exactly the timeout does not end
-    a stretch. In batch, tasks merge their own sessions before the shuffle, so a hot session id
-    sends only a few rows.
+    a stretch. With ``spark.sql.sessionWindow.merge.sessions.in.local.partition``, which ``get_session`` sets,
+    tasks merge their own sessions before the shuffle, so a hot session id sends only a few rows.
     """
-    spark = turns.sparkSession
-    if not turns.isStreaming:
-        spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     gap = F.session_window("ts", f"{timeout_seconds} seconds")
     return turns.groupBy("session_id", gap.alias("w")).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("turns"),

@@ -192,33 +192,37 @@ def json_source(spark, sf_dir):
     return files.json_documents(spark, path, extensions=("txt",)).select("raw_text", "doc_title")
 
 
-@query("csv_source", """SELECT 'c_custkey: ' || c_custkey || ' | name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment AS raw_text,
-  c_name AS doc_title FROM customer""")
+@query("csv_source", """SELECT 'c_custkey: ' || c_custkey || ' | name: ' || c_name || chr(10) || 'x | c_mktsegment: ' || c_mktsegment || ' | name: ' || c_name AS raw_text,
+  c_name AS doc_title, true AS with_file FROM customer""")
 def csv_source(spark, sf_dir):
-    """Customers written as CSV files with a header and read back."""
+    """Customers written as CSV files and read back; a cell has a line break, and the header names a column twice."""
     path = work_dir(spark, "csv")
-    I.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), "c_mktsegment",
-                                              F.lit("").alias("empty")).write.option("header", "true").csv(path)
-    return files.csv_documents(spark, path).select("raw_text", "doc_title")
+    text = F.concat(F.lit('c_custkey,name,c_mktsegment,empty,name\n'), F.array_join(F.collect_list(F.concat(
+        "c_custkey", F.lit(',"'), "c_name", F.lit('\nx",'), "c_mktsegment", F.lit(',,'), "c_name")), "\n"))
+    parts = I.table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(text.alias("value"))
+    parts.repartition("part").write.partitionBy("part").text(path)
+    return files.csv_documents(spark, path, multi_line=True, extensions=("txt",)).select(
+        "raw_text", "doc_title", F.col("doc_id").rlike(r"^CSV_part=\d+/.*_\d+$").alias("with_file"))
 
 
 @query("folder_import", f"""WITH bodies AS (
-  SELECT text AS raw_text FROM benchmark
-  UNION ALL SELECT 's_suppkey: ' || s_suppkey || ' | name: ' || s_name FROM supplier),
-cut AS (SELECT {I.sql_words('raw_text')} AS w FROM bodies),
-starts AS (SELECT w, unnest(range(0, CAST(ceil(len(w) / 462.0) AS BIGINT))) AS i FROM cut WHERE len(w) > 0)
-SELECT CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS content_md5, 768 AS dimensions FROM starts""")
+  SELECT 'texts/item_id=' || item_id AS folder, text AS raw_text FROM benchmark
+  UNION ALL SELECT 'tables', 's_suppkey: ' || s_suppkey || ' | name: ' || s_name FROM supplier),
+cut AS (SELECT folder, {I.sql_words('raw_text')} AS w FROM bodies),
+starts AS (SELECT folder, w, unnest(range(0, CAST(ceil(len(w) / 462.0) AS BIGINT))) AS i FROM cut WHERE len(w) > 0)
+SELECT folder, '_chk_' || i AS chunk, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS content_md5, 768 AS dimensions FROM starts""")
 def folder_import(spark, sf_dir):
-    """A folder of text and CSV files imported into an index."""
+    """A folder of text and CSV files, many of one name, imported into an index, twice."""
     folder, path = work_dir(spark, "folder"), work_dir(spark, "folder-index")
-    I.table(spark, sf_dir, "benchmark").repartition("item_id").write.partitionBy("item_id").text(f"{folder}/texts")
+    # In one task, so that all folders have a file of one name.
+    I.table(spark, sf_dir, "benchmark").coalesce(1).write.partitionBy("item_id").text(f"{folder}/texts")
     I.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name")).write.option(
         "header", "true").csv(f"{folder}/tables")
-    # One text file name may come back in several folders; the part of the path keeps the ids apart.
-    docs = files.folder_documents(spark, folder).withColumn("doc_id", F.concat("doc_id", F.lit("/"), F.md5("raw_text")))
-    vector_table.upsert_points(prep.documents_to_points(docs), path)
+    for _ in range(2):
+        pipelines.import_folder(spark, folder, path)
     return vector_table.read_index(spark, path).select(
-        "chunk_index", F.md5("content").alias("content_md5"), F.size("embedding").alias("dimensions"))
+        F.regexp_extract("doc_id", r"^(?:DOC|CSV)_(.*)/", 1).alias("folder"), F.regexp_extract("chunk_id", r"(_chk_\d+)$", 1).alias("chunk"),
+        F.md5("content").alias("content_md5"), F.size("embedding").alias("dimensions"))
 
 
 @query("document_sync", f"""WITH {I.SQL_CHUNKS}, changed AS (

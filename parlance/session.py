@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Tasks merge sessions before the shuffle, so that a hot session id sends a few rows.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     # Keeps the state of streams off the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -17,6 +18,13 @@ def _glob(extensions: tuple[str, ...]) -> str:
     return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
 
 
+def _below(path: Column, root: str) -> Column:
+    """A file's path below ``root``, which tells files with one name apart; the name alone if the root is the file itself."""
+    place = urlsplit(root).path.rstrip("/") + "/"
+    at = F.locate(place, path)
+    return F.when(at > 0, F.substr(path, at + len(place))).otherwise(F.substring_index(path, "/", -1))
+
+
 def _read_text(spark: SparkSession, path: str, extensions: tuple[str, ...] | None, pattern: str | None,
                whole: bool) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -24,7 +32,7 @@ def _read_text(spark: SparkSession, path: str, extensions: tuple[str, ...] | Non
         reader = reader.option("pathGlobFilter", _glob(extensions))
     lines = reader.text(path, wholetext=whole).select(
         "value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"))
+        F.col("_metadata.file_block_start").alias("block")).withColumn("below", _below(F.col("path"), path))
     if pattern and pattern not in ("*", "*.*"):
         lines = lines.filter(F.col("name").rlike(fnmatch.translate(pattern)))
     return lines
@@ -38,9 +46,9 @@ def _decodable(value: Column) -> Column:
 def text_documents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """One document per text or markdown file."""
     return _read_text(spark, path, TEXT_TYPES, pattern, True).select(
-        F.concat(F.lit("DOC_"), "name").alias("doc_id"),
+        F.concat(F.lit("DOC_"), "below").alias("doc_id"),
         F.col("name").alias("doc_title"),
-        F.concat(F.lit("file://"), "name").alias("source_uri"),
+        F.concat(F.lit("file://"), "below").alias("source_uri"),
         _decodable(F.col("value")).alias("raw_text"))
 
 
@@ -58,30 +66,40 @@ def json_documents(spark: SparkSession, path: str, pattern: str | None = None,
         return non_empty(F.get_json_object(json, f"$.{name}"))
 
     elements = files.filter(F.ltrim(F.col("value")).startswith("[")).select(
-        "name", F.posexplode(items).alias("i", "item")).select(
-        F.concat("name", F.lit("_"), F.col("i")).alias("doc_id"),
+        "name", "below", F.posexplode(items).alias("i", "item")).select(
+        F.concat("below", F.lit("_"), F.col("i")).alias("doc_id"),
         F.coalesce(field(F.col("item"), "title"), F.concat("name", F.lit(" #"), F.col("i") + 1)).alias("doc_title"),
-        F.concat(F.lit("json://"), "name", F.lit("#"), F.col("i")).alias("source_uri"),
+        F.concat(F.lit("json://"), "below", F.lit("#"), F.col("i")).alias("source_uri"),
         F.coalesce(field(F.col("item"), "content"), field(F.col("item"), "text"), F.col("item")).alias("raw_text"))
     objects = files.filter(F.ltrim(F.col("value")).startswith("{")
                            & F.try_parse_json(F.col("value")).isNotNull()).select(
-        F.concat(F.lit("DOC_"), "name").alias("doc_id"),
+        F.concat(F.lit("DOC_"), "below").alias("doc_id"),
         F.coalesce(F.get_json_object("value", "$.title"), F.col("name")).alias("doc_title"),
-        F.concat(F.lit("json://"), "name").alias("source_uri"),
+        F.concat(F.lit("json://"), "below").alias("source_uri"),
         F.coalesce(F.get_json_object("value", "$.content"), F.get_json_object("value", "$")).alias("raw_text"))
     return elements.unionByName(objects)
 
 
-def csv_documents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def csv_documents(spark: SparkSession, path: str, pattern: str | None = None, multi_line: bool = False,
+                  extensions: tuple[str, ...] = ("csv",)) -> DataFrame:
     """One document per CSV row: ``column: value | column: value`` over the non-empty cells.
 
-    Every file may have its own header. Files are read in splits; a row's number within its file is
-    its place in its split plus the rows of the splits before. Cells may be quoted; a line break
-    inside a cell is not supported, because a file with such cells cannot be split.
+    Every file may have its own header; where it names a column twice both cells are in the text, and the last counts
+    as title. Files are read in splits; a row's number within its file is its place in its split plus the rows of the
+    splits before. A quoted cell may hold line breaks only with ``multi_line``, which reads each file as a whole in
+    one task; without it such a cell is an error, because the file cannot be split.
     """
-    lines = (_read_text(spark, path, ("csv",), pattern, False)
-             .withColumn("line", F.monotonically_increasing_id())
-             .filter(F.trim("value") != ""))
+    if multi_line:
+        files = _read_text(spark, path, extensions, pattern, True)
+        records = F.regexp_extract_all("value", F.lit(_RECORD), 1)
+        lines = files.select("name", "path", "below", "block", F.posexplode(records).alias("line", "value"))
+    else:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        broken = F.concat(F.lit("a quoted cell goes over lines in "), "below", F.lit("; read it with multi_line"))
+        lines = (_read_text(spark, path, extensions, pattern, False)
+                 .withColumn("value", F.when(quotes % 2 == 1, F.raise_error(broken)).otherwise(F.col("value")))
+                 .withColumn("line", F.monotonically_increasing_id()))
+    lines = lines.filter(F.trim("value") != "")
     in_split = W.partitionBy("path", "block").orderBy("line")
     numbered = lines.withColumn("in_split", F.row_number().over(in_split))
     # One row per split, and one header per file.
@@ -93,25 +111,27 @@ def csv_documents(spark: SparkSession, path: str, pattern: str | None = None) ->
     # Joined by split, so that a file with much of the data is not one join key.
     rows = (numbered.join(splits.join(headers, "path").select("path", "block", "before", "header"), ["path", "block"])
             .withColumn("i", F.col("before") + F.col("in_split") - 2).filter(F.col("i") >= 0))
-    cells = F.map_from_arrays(
-        "header", F.slice(F.concat(_csv_cells(F.col("value")), F.transform("header", lambda _: F.lit(""))),
-                          F.lit(1), F.size("header")))
-    rows = rows.withColumn("cells", cells)
+    filled = F.slice(F.concat(_csv_cells(F.col("value")), F.transform("header", lambda _: F.lit(""))), F.lit(1), F.size("header"))
+    rows = rows.withColumn("cells", F.arrays_zip(F.col("header").alias("key"), filled.alias("value")))
     text = F.array_join(F.transform(
-        F.filter(F.map_entries("cells"), lambda e: e["value"] != ""),
+        F.filter("cells", lambda e: e["value"] != ""),
         lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " | ")
 
     def named(column: str) -> Column:
-        return non_empty(F.try_element_at("cells", F.lit(column)))
+        return non_empty(F.try_element_at(F.filter("cells", lambda e: e["key"] == column), F.lit(-1))["value"])
 
     return rows.select(
-        F.concat(F.lit("CSV_"), "name", F.lit("_"), F.col("i")).alias("doc_id"),
+        F.concat(F.lit("CSV_"), "below", F.lit("_"), F.col("i")).alias("doc_id"),
         F.coalesce(named("title"), named("name"), named("product"),
                    F.concat("name", F.lit(" Row "), F.col("i") + 1)).alias("doc_title"),
-        F.concat(F.lit("csv://"), "name", F.lit("#"), F.col("i")).alias("source_uri"),
+        F.concat(F.lit("csv://"), "below", F.lit("#"), F.col("i")).alias("source_uri"),
         text.alias("raw_text"))
 
 
+# A record up to its line break; quoted cells may hold any.
+_RECORD = r'((?:[^"\r\n]++|"[^"]*+")++)(?:\r?\n|$)'
+
+
 def _csv_cells(line: Column) -> Column:
     """The cells of one CSV line; a quoted cell loses its quotes, a doubled quote becomes one."""
     found = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(line, "\r$", "")),
@@ -120,11 +140,11 @@ def _csv_cells(line: Column) -> Column:
         c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
-def folder_documents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def folder_documents(spark: SparkSession, folder: str, pattern: str = "*", multi_line: bool = False) -> DataFrame:
     """All text, JSON and CSV files under a folder whose names match ``pattern``."""
     return (text_documents(spark, folder, pattern)
             .unionByName(json_documents(spark, folder, pattern))
-            .unionByName(csv_documents(spark, folder, pattern)))
+            .unionByName(csv_documents(spark, folder, pattern, multi_line)))
 
 
 def inline_documents(spark: SparkSession, rows: list[dict]) -> DataFrame:

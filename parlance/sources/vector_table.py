@@ -2,7 +2,8 @@
 
 ``v=<n>`` holds a whole index, ``d=<n>`` a change to what came before: points that were added or
 replaced, and ids that were deleted. A reader takes the newest ``v`` and the ``d`` folders after it,
-so a small change writes only itself; after ``MAX_CHANGES`` of them a whole index is written again.
+so a change writes only itself. ``compact_index`` writes a whole index again when the caller wants it, and
+``vacuum`` removes the folders that no reader needs any more.
 Only folders with a ``_SUCCESS`` marker count, so a job that dies half-way leaves the old state in
 force, and no writer touches a folder that exists.
 """
@@ -13,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..schemas import VECTOR_POINT
 
-MAX_CHANGES = 16
 _CHANGE = "_change"
 _DELETED = "_deleted"
 
@@ -80,10 +80,22 @@ def refresh_index(points: DataFrame, path: str) -> int:
 
 def _change(change: DataFrame, path: str) -> int:
     spark = change.sparkSession
-    target = _write(change, path, "d")
-    if len(_changes(spark, path)) >= MAX_CHANGES:
-        compact_index(spark, path)
-    return spark.read.parquet(target).count()
+    return spark.read.parquet(_write(_checked(change, _dimensions(spark, path)), path, "d")).count()
+
+
+def _dimensions(spark: SparkSession, path: str) -> int | None:
+    """The vector length of the stored points, from the first one found; None without points."""
+    first = read_index(spark, path).filter(F.size("embedding") > 0).select(F.size("embedding")).first()
+    return first[0] if first else None
+
+
+def _checked(points: DataFrame, dimensions: int | None) -> DataFrame:
+    """The same points; writing one with a vector of another length is an error."""
+    if dimensions is None:
+        return points
+    wrong = F.concat(F.lit(f"the index has vectors of length {dimensions}, not "), F.size("embedding"))
+    vector = F.when(F.size("embedding") != dimensions, F.raise_error(wrong)).otherwise(F.col("embedding"))
+    return points.withColumn("embedding", vector)
 
 
 def upsert_points(points: DataFrame, path: str) -> int:
@@ -120,6 +132,17 @@ def compact_index(spark: SparkSession, path: str) -> int:
     return refresh_index(read_index(spark, path), path)
 
 
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Removes all folders before the newest whole version; returns their number. Readers that began before must
+    have ended."""
+    whole = versions(spark, path)
+    old = [f"{path}/{kind}={n}" for kind, n, _ in _folders(spark, path) if whole and n < whole[-1]]
+    for folder in old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(old)
+
+
 def clear_index(spark: SparkSession, path: str) -> int:
     """An empty version with the same schema."""
     return refresh_index(emptied(read_index(spark, path)), path)

@@ -177,9 +177,10 @@ def read_customers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_documents_into(docs: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Chunks, embeds and upserts every micro-batch of documents into the index under ``path``."""
+    """Chunks and embeds every micro-batch of documents into the index under ``path``; a document that comes again
+    replaces all chunks that it had."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        vector_table.upsert_points(documents_to_points(batch), path)
+        vector_table.replace_documents(documents_to_points(batch), batch, path)
 
     writer = docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -63,6 +63,13 @@ def test_lifecycle_matches_a_plain_restatement(spark, max_rows, seed):
         assert mine == lifecycle_by_hand(rows, 10_800)
 
 
+def test_a_hot_session_without_an_id_is_split_too(spark):
+    rows = [(f"t{i:03}", None if i % 3 else "s", "u", "user" if i % 4 else "assistant", "x", T0 + dt.timedelta(minutes=40 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "turn_id string, session_id string, user_id string, role string, content string, ts timestamp")
+    out = lambda **kw: sorted((tuple(r) for r in M.session_lifecycle(df, **kw).select("turn_id", "lifecycle_state", "turn_count", "idle_seconds").collect()))
+    assert out(max_rows=5) == out() and len(out()) == 45
+
+
 def test_idle_at_and_over_the_timeout(spark):
     df = turns(spark, [("s", "u", "user", "a", 0), ("s", "u", "user", "b", 10_800), ("s", "u", "user", "c", 21_600.000001)])
     assert [r.lifecycle_state for r in M.session_lifecycle(df).orderBy("ts").collect()] == [

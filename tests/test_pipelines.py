@@ -43,6 +43,17 @@ def test_folder_and_facts(spark, tmp_path):
         "delivery takes two days", "name: Top | price: 399", "Fee: is 50"}
 
 
+def test_importing_again_replaces_a_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    note, index = tmp_path / "in" / "note.md", str(tmp_path / "index")
+    note.write_text("word " * 1200)
+    P.import_folder(spark, str(tmp_path / "in"), index)
+    assert V.read_index(spark, index).count() == 3
+    note.write_text("short")
+    P.import_folder(spark, str(tmp_path / "in"), index)
+    assert [r.content for r in V.read_index(spark, index).collect()] == ["short"]
+
+
 def test_answers(spark, tmp_path):
     index = str(tmp_path / "index")
     P.ingest(docs(spark, a="delivery takes two days", b="cotton tops cost more"), index)

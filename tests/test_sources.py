@@ -30,8 +30,8 @@ def by_id(df):
 def test_text_files(spark, folder):
     assert by_id(files.text_documents(spark, folder)) == {
         "DOC_a.txt": ("a.txt", "file://a.txt", "plain  text\nline two"),
-        "DOC_b.MD": ("b.MD", "file://b.MD", "# title"),
-        "DOC_c.markdown": ("c.markdown", "file://c.markdown", "more")}
+        "DOC_sub/b.MD": ("b.MD", "file://sub/b.MD", "# title"),
+        "DOC_sub/c.markdown": ("c.markdown", "file://sub/c.markdown", "more")}
 
 
 def test_json_files(spark, folder):
@@ -50,6 +50,26 @@ def test_csv_files_with_different_headers(spark, folder):
         "CSV_y.csv_1": ("Shawl", "csv://y.csv#1", "product: Shawl")}
 
 
+def test_csv_with_line_breaks_and_repeated_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'name,x,name\r\n"two\nlines ""q""",1,last\r\n\r\n"","b\r\nc",\n')
+    assert by_id(files.csv_documents(spark, str(tmp_path), multi_line=True)) == {
+        "CSV_a.csv_0": ("last", "csv://a.csv#0", 'name: two\nlines "q" | x: 1 | name: last'),
+        "CSV_a.csv_1": ("a.csv Row 2", "csv://a.csv#1", "x: b\r\nc")}
+    with pytest.raises(Exception, match="read it with multi_line"):
+        files.csv_documents(spark, str(tmp_path)).collect()
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "readme.md").write_text(folder)
+        (tmp_path / folder / "rows.csv").write_text("x\n" + folder)
+    assert by_id(files.folder_documents(spark, str(tmp_path))) == {
+        "DOC_a/readme.md": ("readme.md", "file://a/readme.md", "a"), "DOC_b/readme.md": ("readme.md", "file://b/readme.md", "b"),
+        "CSV_a/rows.csv_0": ("rows.csv Row 1", "csv://a/rows.csv#0", "x: a"),
+        "CSV_b/rows.csv_0": ("rows.csv Row 1", "csv://b/rows.csv#0", "x: b")}
+
+
 def test_csv_row_numbers_over_splits(spark, tmp_path):
     (tmp_path / "big.csv").write_text("name,v\n" + "".join(f"n{i},{i}\n" for i in range(2000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
@@ -118,13 +138,30 @@ def test_reload_does_not_duplicate(spark, tmp_path):
     assert V.read_index(spark, path).count() == 2
 
 
-def test_many_changes_are_compacted(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(V, "MAX_CHANGES", 3)
+def test_each_change_writes_only_itself(spark, tmp_path):
+    path = tmp_path / "index"
+    V.refresh_index(points(spark, ["one", "two"]), str(path))
+    for i in range(17):
+        V.upsert_points(points(spark, [f"text {i}"], f"p{i}_").coalesce(1), str(path))
+    assert V.versions(spark, str(path)) == [1] and len(list((path / "d=18").glob("part-*"))) == 1
+    index = V.read_index(spark, str(path))
+    assert index.count() == 19
+    plan = index.select("point_id", "content")._jdf.queryExecution().executedPlan().toString()
+    # The stored side comes first: its scan goes into the broadcast join without a shuffle.
+    stored = plan[plan.index("BroadcastHashJoin"):plan.index("BroadcastExchange")]
+    assert "FileScan" in stored and "Exchange" not in stored
+    V.compact_index(spark, str(path))
+    assert V.vacuum(spark, str(path)) == 18 and V.read_index(spark, str(path)).count() == 19
+    assert sorted(p.name for p in path.iterdir() if "=" in p.name) == ["v=19"]
+
+
+def test_another_vector_length_is_refused(spark, tmp_path):
     path = str(tmp_path / "index")
-    for i in range(4):
-        V.upsert_points(points(spark, [f"text {i}"], f"p{i}_"), path)
-    assert V.versions(spark, path) == [4]
-    assert V.read_index(spark, path).count() == 4
+    V.refresh_index(points(spark, ["one"]), path)
+    short = points(spark, ["two"], "e").withColumn("embedding", F.slice("embedding", 1, 2))
+    with pytest.raises(Exception, match="vectors of length 768, not 2"):
+        V.upsert_points(short, path)
+    assert V.read_index(spark, path).count() == 1
 
 
 def test_a_small_change_is_broadcast(spark, tmp_path):
