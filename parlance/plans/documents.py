@@ -246,23 +246,23 @@ def user_turn_scan(spark, sf_dir):
     return memory.user_turns(I.turns(spark, sf_dir)).withColumn("content_md5", F.md5("content")).drop("content")
 
 
-_SIGNATURES = (("en", "4F67675300000000"), ("fr", "524946460000000057415645"), ("de", "494433040000"),
-               ("es", "664C6143"))
+# What a file begins with, by the item's number; the last one has nothing else.
+_HEADS = ("OggS and more ", "RIFFsizeWAVE", "ID3 and more ", "size" + "ftyp and more ", "fLaC and more ", "no signature ", "fLaC")
 
 
-@query("media_inventory", """SELECT CASE WHEN lang = 'en' THEN 'audio/ogg' WHEN lang = 'fr' THEN 'audio/wav'
-    WHEN lang = 'de' THEN 'audio/mp3' WHEN lang = 'es' THEN 'audio/flac' ELSE 'audio/mp4' END AS mime,
-  count(*) AS files, CAST(sum(strlen(text) + CASE lang WHEN 'en' THEN 8 WHEN 'fr' THEN 12 WHEN 'de' THEN 6 WHEN 'es' THEN 4 ELSE 0 END) AS BIGINT) AS bytes
-FROM documents WHERE strlen(text) >= 12 GROUP BY 1""")
+@query("media_inventory", f"""WITH bodies AS (
+  SELECT item_id % {len(_HEADS)} AS kind, [{', '.join(repr(h) for h in _HEADS)}][item_id % {len(_HEADS)} + 1]
+    || CASE WHEN item_id % {len(_HEADS)} = {len(_HEADS) - 1} THEN '' ELSE md5(text) END || chr(10) AS body FROM benchmark)
+SELECT ['audio/ogg', 'audio/wav', 'audio/mp3', 'audio/mp4', 'audio/flac', 'audio/mp4', 'audio/mp4'][kind + 1] AS mime,
+  count(*) AS files, CAST(sum(strlen(body)) AS BIGINT) AS bytes FROM bodies GROUP BY 1""")
 def media_inventory(spark, sf_dir):
-    """Documents as media bodies behind the header that their language stands for."""
-    docs = I.table(spark, sf_dir, "documents", "doc_id")
-    head = F.lit(None)
-    for lang, signature in _SIGNATURES:
-        head = F.when(F.col("lang") == lang, F.unhex(F.lit(signature))).otherwise(head)
-    content = F.concat(F.coalesce(head, F.unhex(F.lit(""))), F.encode("text", "UTF-8"))
-    bodies = docs.filter(F.octet_length("text") >= 12).select(content.alias("content"))
-    return files.media_inventory(bodies.withColumn("length", F.length("content").cast("long")))
+    """Files of several kinds, some of them shorter than a signature, written and taken stock of."""
+    path = work_dir(spark, "media")
+    kind = (F.col("item_id") % len(_HEADS)).cast("int")
+    head = F.get(F.array(*[F.lit(h) for h in _HEADS]), kind)
+    body = F.concat(head, F.when(kind == len(_HEADS) - 1, F.lit("")).otherwise(F.md5("text")))
+    I.table(spark, sf_dir, "benchmark").select("item_id", body.alias("value")).repartition("item_id").write.partitionBy("item_id").text(path)
+    return files.media_inventory(files.media_files(spark, path))
 
 
 # -- retrieval ------------------------------------------------------------------------------------
@@ -448,6 +448,33 @@ def grounded_prompts(spark, sf_dir):
     return prompts.withColumn("prompt_md5", F.md5("prompt")).drop("prompt")
 
 
+@query("compact_prompts", f"""WITH {I.SQL_QUESTIONS}, numbered AS (
+  SELECT session_id, role, ts, turn_id, regexp_replace(coalesce(content, ''), '\\b(size\\s*S|S\\s*size)\\b', 'sizes S-XXL', 'gi') AS content,
+    row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, turn_id DESC) AS r FROM turns),
+recent AS (SELECT session_id, string_agg(CASE role WHEN 'user' THEN 'Customer' ELSE 'Helper' END || ': ' || content || chr(10), '' ORDER BY r DESC) AS dialogue
+  FROM numbered WHERE r <= 4 GROUP BY 1)
+SELECT query_id, md5('You answer for a shop.' || chr(10) || chr(10) || 'Be brief.' || chr(10) || chr(10) || 'Conversation History:' || chr(10) || dialogue || chr(10)
+  || 'Customer: ' || query || chr(10) || 'Helper:') AS prompt_md5 FROM questions JOIN recent USING (session_id)""")
+def compact_prompts(spark, sf_dir):
+    """The short prompt of every session's last question."""
+    prompts = retrieval.compact_prompts(I.questions(spark, sf_dir), memory.context_arrays(I.turns(spark, sf_dir)),
+                                        "You answer for a shop.", "Helper", "Be brief.")
+    return prompts.select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+_SQL_DOC_QUERIES = f"doc_queries AS (SELECT doc_id AS query_id, array_to_string({I.sql_words('raw_text')}[1:8], ' ') AS query FROM docs)"
+
+
+@query("lexical_large", f"""WITH {I.SQL_CHUNKS}, {_SQL_DOC_QUERIES}, {I.sql_lexical('doc_queries', 3)}
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM lexical_ranked""")
+def lexical_large(spark, sf_dir):
+    """The first words of every document as queries, in several blocks."""
+    asked = I.documents(spark, sf_dir).select(
+        F.col("doc_id").alias("query_id"), F.array_join(F.slice(space_words(F.col("raw_text")), 1, 8), " ").alias("query"))
+    hits = retrieval.lexical_topk(I.chunks(spark, sf_dir), asked, 3, max_queries=400)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query("gated_retrieval", f"""WITH {I.SQL_CHUNKS}, {I.SQL_QUESTIONS},
 routed AS (SELECT *, {_router_sql('query')} AS intent FROM questions),
 asked AS (SELECT query_id, query FROM routed WHERE intent <> 'CHIT_CHAT'),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
-from urllib.parse import urlsplit
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import non_empty
@@ -153,9 +155,29 @@ def inline_documents(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], RAW_DOCUMENT)
 
 
-def media_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        "path", "content", "length")
+def media_files(spark: SparkSession, path: str, head_bytes: int = 12) -> DataFrame:
+    """path, length and content of all files below ``path``; ``content`` holds the first bytes only.
+
+    The listing reads no file. Every task then opens its own files and reads their heads, so a file's size does not
+    matter. Works where the Arrow file systems do (local disks, HDFS, object stores).
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        for batch in batches:
+            out = []
+            for uri in batch.column("path").to_pylist():
+                scheme, _, rest = uri.partition(":")
+                system, place = fs.FileSystem.from_uri(f"file:///{unquote(rest).lstrip('/')}" if scheme == "file" else uri)
+                if scheme == "file":
+                    place = "/" + unquote(rest).lstrip("/")
+                with system.open_input_stream(place, buffer_size=0) as stream:
+                    out.append(stream.read(head_bytes))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(out, pa.binary())],
+                                             ["path", "length", "content"])
+
+    return listed.mapInArrow(heads, "path string, length long, content binary")
 
 
 # File signatures of the container formats, as hex at byte positions.
