@@ -100,6 +100,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACES) -
 
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_SECOND = _RNG.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -134,9 +135,9 @@ def item_span_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix(h + (ends - starts).astype(np.uint64))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    return item_span_hashes(_TABLE[data], starts, ends)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; the ``second`` one is independent of the first."""
+    return item_span_hashes((_SECOND if second else _TABLE)[data], starts, ends)
 
 
 def sliding_least(items: np.ndarray, width: int) -> np.ndarray:

@@ -12,8 +12,6 @@ are removed.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -122,34 +120,49 @@ def _edges(docs: DataFrame, heads: DataFrame, window: int) -> DataFrame:
 
 
 _SPAN = "array<struct<lo:int,hi:int,src:long,src_lo:int>>"
+_WIDE = np.int64(1) << np.int64(32)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """The rows and the entries of a column of arrays; null arrays have none."""
+    sizes = np.array(column.value_lengths().fill_null(0))
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
 def _compacted(pieces: DataFrame) -> DataFrame:
     """Pieces (_key, lo, hi, src, src_lo; words lo to hi exclusive, from word src_lo of src) of each key joined into
     the longest spans that advance with their source. One text's pieces make one row."""
-    per = pieces.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("src", (F.col("src_lo") - F.col("lo")).alias("shift"), "lo", "hi"))).alias("ps"))
+    per = pieces.groupBy("_key").agg(F.collect_list(F.struct("src", "src_lo", "lo", "hi")).alias("ps"))
 
     @F.arrow_udf(_SPAN)
     def join(column: pa.Array) -> pa.Array:
-        out = []
-        for ps in column.to_pylist():
-            spans: list[dict] = []
-            for p in ps:
-                top = spans[-1] if spans else None
-                if top and top["src"] == p["src"] and top["src_lo"] - top["lo"] == p["shift"] and p["lo"] <= top["hi"]:
-                    top["hi"] = max(top["hi"], p["hi"])
-                else:
-                    spans.append({"lo": p["lo"], "hi": p["hi"], "src": p["src"], "src_lo": p["lo"] + p["shift"]})
-            out.append(spans)
-        return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("src", pa.int64()), ("src_lo", pa.int32())])))
+        row, flat = _flat(column)
+        src, src_lo, lo, hi = (flat.field(n).to_numpy().astype(np.int64) for n in ("src", "src_lo", "lo", "hi"))
+        order = np.lexsort((lo, src_lo - lo, src, row))
+        row, src, src_lo, lo, hi = (x[order] for x in (row, src, src_lo, lo, hi))
+        other = np.ones(len(row), bool)
+        other[1:] = (row[1:] != row[:-1]) | (src[1:] != src[:-1]) | ((src_lo - lo)[1:] != (src_lo - lo)[:-1])
+        group = np.cumsum(other) * _WIDE
+        reached = np.maximum.accumulate(group + hi)
+        head = other.copy()
+        head[1:] |= (group + lo)[1:] > reached[:-1]
+        at = np.flatnonzero(head)
+        ends = (reached - group)[np.append(at[1:], len(row)) - 1] if len(at) else reached
+        spans = pa.StructArray.from_arrays([pa.array(lo[at], pa.int32()), pa.array(ends, pa.int32()), pa.array(src[at], pa.int64()),
+                                            pa.array(src_lo[at], pa.int32())], ["lo", "hi", "src", "src_lo"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(column) + 1)).astype(np.int32)), spans)
 
     return per.select("_key", F.explode(join("ps")).alias("s")).select("_key", "s.*")
 
 
-def _digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> bytes:
-    """A digest of words lo to hi (exclusive), whatever stands between them."""
-    raw = data.tobytes() if not isinstance(data, bytes) else data
-    return hashlib.blake2b(b" ".join([raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]), digest_size=16).digest()
+def _digests(part: pa.RecordBatch, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A digest of words lo to hi (exclusive) of rows, whatever stands between them; from hashes that are
+    independent of those by which the words were found."""
+    data, offsets = view(plain(part, "_t"))
+    starts, ends, firsts = words(data, offsets)
+    hashes = span_hashes(data, starts, ends, second=True)
+    base = firsts[rows]
+    return item_span_hashes(hashes, np.minimum(base + lo, firsts[rows + 1]), np.minimum(base + hi, firsts[rows + 1]))
 
 
 def _source_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -160,19 +173,15 @@ def _source_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_t"):
-                data, offsets = view(plain(part, "_t"))
-                starts, ends, firsts = words(data, offsets)
-                raw, ps = data.tobytes(), part.column("ps")
-                flat = ps.flatten()
-                rows = np.repeat(np.arange(part.num_rows), np.diff(ps.offsets.to_numpy()))
-                lo, hi = flat.field("src_lo").to_numpy(), flat.field("src_hi").to_numpy()
-                made = [_digest(raw, starts, ends, int(firsts[r] + a), int(firsts[r] + b)) for r, a, b in zip(rows, lo, hi)]
+                rows, flat = _flat(part.column("ps"))
+                lo, hi = (flat.field(n).to_numpy().astype(np.int64) for n in ("src_lo", "src_hi"))
+                made = _digests(part, rows, lo, hi)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_key").take(pa.array(rows)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(made, pa.binary())],
+                    [part.column("_key").take(pa.array(rows)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(made.view(np.int64))],
                     ["src", "src_lo", "src_hi", "digest"])
 
     read = docs.join(per.hint("shuffle_hash"), "_key").select("_key", "_t", "ps").mapInArrow(
-        run, "src long, src_lo int, src_hi int, digest binary").distinct()
+        run, "src long, src_lo int, src_hi int, digest long").distinct()
     return spans.withColumn("src_hi", F.col("src_lo") + F.col("hi") - F.col("lo")).join(read, ["src", "src_lo", "src_hi"])
 
 
@@ -235,20 +244,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             for part in slices(batch, "_t"):
                 data, offsets = view(plain(part, "_t"))
                 starts, ends, firsts = words(data, offsets)
-                raw = data.tobytes()
-                total, gone, kept = [], [], []
-                for i, spans in enumerate(part.column("_s").to_pylist()):
-                    a, b = int(firsts[i]), int(firsts[i + 1])
-                    stay = np.ones(b - a, bool)
-                    for s in spans or ():
-                        if _digest(raw, starts, ends, a + s["lo"], a + s["hi"]) == s["digest"]:
-                            stay[s["lo"]:s["hi"]] = False
-                    at = np.flatnonzero(stay) + a
-                    total.append(b - a)
-                    gone.append(b - a - len(at))
-                    kept.append(b" ".join([raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist())]).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                    ["_row", "n_words", "n_removed", "kept_text"])
+                rows, flat = _flat(part.column("_s"))
+                change = np.zeros(len(starts) + 1, np.int64)
+                if len(rows):
+                    lo, hi = (flat.field(n).to_numpy().astype(np.int64) for n in ("lo", "hi"))
+                    agrees = _digests(part, rows, lo, hi).view(np.int64) == flat.field("digest").to_numpy()
+                    np.add.at(change, (firsts[rows] + lo)[agrees], 1)
+                    np.add.at(change, (firsts[rows] + hi)[agrees], -1)
+                stay = np.cumsum(change[:-1]) == 0
+                left = np.concatenate([[0], np.cumsum(stay)])
+                total, kept = np.diff(firsts), np.diff(left[firsts])
+                at = np.flatnonzero(stay)
+                # Every kept word and the byte after it as its space, but for a text's last kept word.
+                more = np.ones(len(at), np.int64)
+                more[left[firsts[1:]][kept > 0] - 1] = 0
+                edge = np.zeros(len(data) + 2, np.int64)
+                edge[starts[at]] = 1
+                np.add.at(edge, ends[at] + more, -1)
+                inside = np.cumsum(edge[:len(data)]) > 0
+                out = data.copy()
+                out[(ends[at])[more == 1]] = 0x20
+                sizes = np.concatenate([[0], np.cumsum(inside)])[offsets].astype(np.int32)
+                texts = pa.Array.from_buffers(pa.string(), part.num_rows, [None, pa.py_buffer(sizes.tobytes()), pa.py_buffer(out[inside].tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(total, pa.int64()), pa.array(total - kept, pa.int64()), texts],
+                                                 ["_row", "n_words", "n_removed", "kept_text"])
 
     return joined.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], "n_words", "n_removed", "kept_text")
