@@ -22,14 +22,14 @@ def fold_records(events: DataFrame) -> DataFrame:
         there = value.isNotNull() if empty_counts else value.isNotNull() & (value != "")
         return F.max(F.when(there, F.struct("ts", "event_id", value.alias("value")))).alias(column)
 
-    said = events.groupBy("user_id").agg(
+    # One row per tag, so that a user's tags are gathered as often as there are different ones; the rest of an event
+    # counts once.
+    rows = events.select(*[c for c in events.columns if c != "tags"], F.posexplode_outer("tags").alias("_at", "_tag"))
+    once = F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0).cast("long")
+    return rows.groupBy("user_id").agg(
         last("size"), F.max(F.struct("ts", "event_id", F.col("fabric").alias("value"))).alias("fabric"),
         last("language"), last("location"), last("stage"), last("notes", True),
-        F.count(F.lit(1)).alias("total_turns"), F.max("ts").alias("last_active"))
-    tags = (events.select(F.col("user_id").alias("_u"), F.explode("tags").alias("tag")).filter("tag IS NOT NULL").distinct()
-            .groupBy("_u").agg(F.array_sort(F.collect_list("tag")).alias("tags")))
-    none = F.array().cast("array<string>")
-    return said.join(tags, F.col("user_id").eqNullSafe(F.col("_u")), "left").drop("_u").withColumn("tags", F.coalesce("tags", none))
+        F.sum(once).alias("total_turns"), F.max("ts").alias("last_active"), F.array_sort(F.collect_set("_tag")).alias("tags"))
 
 
 def merge_records(records: DataFrame) -> DataFrame:

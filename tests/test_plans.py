@@ -47,7 +47,7 @@ def test_dedup_is_cut_before_the_shuffle(spark):
 
 def test_folds_are_combined_before_the_shuffle(spark):
     p = crm.fold_customers(I.profile_events(spark, SMALL))
-    assert exchanges(p) == 1 and "partial_max_by" in plan(p)
+    assert exchanges(p) == 1 and "partial_max" in plan(p) and "partial_collect_set" in plan(p)
 
 
 def test_stats_are_one_pass(spark):
