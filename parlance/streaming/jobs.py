@@ -105,13 +105,15 @@ _LIFECYCLE_STATE = ("last long, session_no long, turn_count long, at array<long>
 
 
 def lifecycle_stream(turns: DataFrame, timeout_seconds: float = memory.SESSION_TIMEOUT,
-                     delay: str = "1 minute") -> DataFrame:
+                     delay: str = "1 minute", retention_seconds: float | None = None) -> DataFrame:
     """Lifecycle of every user turn, given out in time order once the watermark has passed the turn.
 
     The state of a session is its last turn's time, two counters, and the turns that still wait for
-    the watermark.
+    the watermark. With ``retention_seconds`` a session without a turn for that long is forgotten, and its next
+    turn is a first contact again; without it three numbers stay for every session ever seen.
     """
     limit = int(timeout_seconds * 1_000_000)
+    retention = None if retention_seconds is None else int(retention_seconds * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, session_no, turn_count, *waiting = state.get if state.exists else (None, 0, 0, [], [], [])
@@ -122,6 +124,8 @@ def lifecycle_stream(turns: DataFrame, timeout_seconds: float = memory.SESSION_T
         for at, turn_id, is_user in rows:
             if at > passed:
                 break
+            if retention is not None and last is not None and at - last >= retention * 1000:
+                last, session_no, turn_count = None, 0, 0
             if is_user:
                 idle = None if last is None else at - last
                 name = ("first_contact" if idle is None else
@@ -132,10 +136,16 @@ def lifecycle_stream(turns: DataFrame, timeout_seconds: float = memory.SESSION_T
                             0 if idle is None else idle // 1_000_000, session_no, turn_count))
             last = at
         left = [r for r in rows if r[0] > passed]
-        state.update((last, int(session_no), int(turn_count), *map(list, zip(*left))) if left
-                     else (last, int(session_no), int(turn_count), [], [], []))
-        if left:
-            state.setTimeoutTimestamp(max(left[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        forgotten = None if retention is None or last is None else last // 1000 + retention
+        if not left and forgotten is not None and forgotten <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, int(session_no), int(turn_count), *map(list, zip(*left))) if left
+                         else (last, int(session_no), int(turn_count), [], [], []))
+            wake = left[0][0] // 1000 + 1 if left else forgotten
+            if wake is not None:
+                state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "turn_id", "ts", "lifecycle_state",
                                              "is_first_turn_of_session", "idle_seconds", "session_no", "turn_count"])

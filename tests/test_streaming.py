@@ -121,3 +121,17 @@ def test_lifecycle_over_micro_batches(spark, tmp_path):
     cols = ["session_id", "turn_id", "lifecycle_state", "is_first_turn_of_session", "idle_seconds", "session_no", "turn_count"]
     want = memory.session_lifecycle(first.unionByName(second)).filter("session_id <> 'z'")
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_lifecycle_forgets_after_the_retention(spark, tmp_path):
+    schema = "turn_id string, session_id string, user_id string, role string, content string, ts timestamp"
+
+    def turns(rows):
+        return spark.createDataFrame([(f"t{sec}", s, "u", "user", "x", at(sec)) for s, sec in rows], schema)
+
+    stream, path = as_stream(spark, turns([("s", 0), ("z", 200_000)]), tmp_path, "in")
+    drain(spark, jobs.lifecycle_stream(stream, retention_seconds=100_000), tmp_path, "out")
+    turns([("s", 300_000), ("z", 310_000), ("z", 320_000)]).coalesce(1).write.mode("append").parquet(path)
+    got = drain(spark, jobs.lifecycle_stream(stream, retention_seconds=100_000), tmp_path, "out").collect()
+    assert {r.turn_id: r.lifecycle_state for r in got} == {
+        "t0": "first_contact", "t300000": "first_contact", "t200000": "first_contact", "t310000": "first_contact"}
