@@ -156,10 +156,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text:
     return staged(members.join(centres, "b").filter(linked("_sa", "_sb")).select("a", "b").distinct(), "near-links")
 
 
-def _cross_links(members: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+def _clusters(members: DataFrame, star: DataFrame) -> DataFrame:
+    """rep and cluster: the buckets of ``members`` (rep, centre) joined by common members.
+
+    The pairs of ``star`` make most of a cluster; what other buckets add is counted between those parts only.
+    """
+    coarse = staged(components(star).select(F.col("node").alias("_n"), F.col("component").alias("_c")), "near-coarse")
+
+    def part(df: DataFrame, column: str) -> DataFrame:
+        return df.join(coarse, F.col(column) == F.col("_n"), "left").withColumn(
+            f"{column}_part", F.coalesce("_c", column)).drop("_n", "_c")
+
+    pairs = part(part(members.filter("rep <> centre").select("rep", "centre").distinct(), "rep"), "centre")
+    fine = components(pairs.select(F.col("rep_part").alias("a"), F.col("centre_part").alias("b")).filter("a <> b").distinct())
+    reps = part(members.select("rep").distinct(), "rep")
+    return reps.join(fine, F.col("rep_part") == F.col("node"), "left").select("rep", F.coalesce("component", "rep_part").alias("cluster"))
+
+
+def _cross_links(members: DataFrame, star: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int, text: str,
+                 key: str) -> DataFrame:
     """Links (a, b) that join different components of a cluster; ``members`` are (rep, centre) of all buckets."""
-    clusters = components(members.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
-    named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(
+    named = _clusters(members, star).join(
         labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = staged(named, "near-clusters")
     per = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -236,14 +253,15 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 80, text: str =
     likely_udf = _likely_udf(percent)
     # One centre for each representative, so there are no more pairs than those.
     often = members.filter("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("c"))
-    star = often.groupBy(F.col("rep").alias("a")).agg(F.max_by("centre", F.struct("c", (-F.col("centre")).alias("s"))).alias("b"))
+    star = staged(often.groupBy(F.col("rep").alias("a")).agg(
+        F.max_by("centre", F.struct("c", (-F.col("centre")).alias("s"))).alias("b")), "near-stars")
     known = reps.select("rep", "n", "regs")
-    star = (star.join(known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
+    near = (star.join(known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
             .join(known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
             .filter(likely_udf("r_a", "r_b", "n_a", "n_b")).select("a", "b"))
-    links = _confirmed(star, docs, size, percent, text, key)
+    links = _confirmed(near, docs, size, percent, text, key)
     labels = components(links)
-    more = _cross_links(members, labels, docs, size, percent, text, key)
+    more = _cross_links(members, star, labels, docs, size, percent, text, key)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
