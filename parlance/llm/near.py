@@ -237,7 +237,7 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 80, text: str =
     Two texts are linked if their sets of distinct ``size``-word shingles (A-Z lower-cased) have
     100 * intersection >= percent * union; a component's id is its smallest key, whose row is ``kept``. Keys are
     integers. Texts without words, null ones included, are linked with nothing. Rows with a null key are
-    linked with nothing and kept; component_id is null. Rows that repeat a key and a text are marked alike.
+    linked with nothing and kept; component_id is null. A key names one text; rows that repeat both are marked alike.
     """
     rows = staged(sketch_texts(docs, size, text, key), "near-sketches")
     sets = rows.filter("set_key IS NOT NULL AND _key IS NOT NULL").groupBy("set_key").agg(
