@@ -73,7 +73,7 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(documents(spark, sf_dir))
+    found = licenses.scan(documents(spark, sf_dir), licenses.NOTICES)
     return found.select(
         "doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(licenses.names(F.col("notices")), ",").alias("names"),
         F.coalesce(F.array_max(F.transform("notices", lambda n: n["coverage"])), F.lit(0.0)).alias("best_coverage"),

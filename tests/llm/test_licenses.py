@@ -54,3 +54,33 @@ def test_words_and_places(spark):
 
 def test_long_text(spark):
     assert names(spark, ["license " * 20_000 + TEMPLATES["MIT"]]) == [[("MIT", 1.0)]]
+
+
+def test_marked_words_name_the_licence(spark):
+    texts = {
+        "Released under the BSD License": ["BSD"], "Released under the ISC License": ["ISC"], "Released under the XYZ License": [],
+        "This work is licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "Licensed under CC BY 3.0": ["CC-BY-3.0"],
+        "Licensed under the Mozilla Public License, version 2.0": ["MPL-2.0"], "Licensed under the Eclipse Public License, Version 2.0": ["EPL-2.0"],
+        "Licensed under the GNU LGPL version 2.1": ["LGPL-2.1"], "Licensed under the Apache License, v2.0": ["Apache-2.0"],
+        "Licensed under the terms of the MIT License": ["MIT"], "Released under the MIT or BSD License": ["BSD", "MIT"],
+        "Released under the MIT License. Released under the ISC License.": ["ISC", "MIT"], "SPDX-License-Identifier: MPL-1.1": ["MPL-1.1"]}
+    got = names(spark, list(texts), templates=licenses.NOTICES)
+    assert [sorted(n for n, _ in found) for found in got] == list(texts.values())
+
+
+def test_every_wording_is_its_own_licence():
+    own = prepare(licenses.NOTICES)
+    for name, wordings in licenses.NOTICES.items():
+        for wording in wordings:
+            found = licenses.matches(tokens(f"ea thon {wording}. ea thon"), own, 0.8)
+            assert [n for _, _, n, _ in found] == [name], (wording, found)
+
+
+def test_query_tells_licences_apart(spark, tmp_path):
+    from parlance.llm.queries import QUERIES
+    spark.createDataFrame([(1, "Released under the BSD License"), (2, TEMPLATES["MIT"])], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["names"] for r in rows} == {1: "BSD", 2: "MIT"}
