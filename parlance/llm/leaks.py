@@ -5,7 +5,8 @@ positions stay those of the source. A passage of n bytes may differ by k edits (
 edit spoils at most q of its n - q + 1 q-grams, and all q-grams of one occurrence lie on diagonals no
 more than k apart; so an occurrence has at least n - q + 1 - kq shared q-grams in one of the bands
 of 2(k + 1) diagonals that begin at every (k + 1)-th diagonal. Regions that reach this count are
-aligned in a band around them, and those within the budget remain.
+aligned in a band around them, and those within the budget remain. Passages under ``SHORT`` bytes must stand as
+they are (so compared), and not begin or end inside a word.
 
 Documents are scanned whole, slice by slice, beside their rows. The passages are shipped in blocks of
 a fixed number of bytes, one pass per block; only hits leave a pass.
@@ -19,11 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, SPACES, boxed, plain, slices, staged, view
+from .common import LOWER, SPACES, boxed, plain, slices, span_hashes, staged, view
 
 Q = 8
+SHORT = 40
 _FOLD = np.where(SPACES, 0x20, LOWER).astype(np.uint8)
 
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 
 def fold(data: np.ndarray) -> np.ndarray:
     """Lower case where it takes as many bytes: A-Z and the accented Latin letters U+00C0 to U+00DE."""
@@ -49,6 +54,9 @@ class Passages:
     values: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    # By length: keys in order, their second hashes, and whose they are.
+    short: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    heads: np.ndarray
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -63,14 +71,45 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def prepare(items: list[tuple[object, str]], share: float) -> Passages:
     bodies = [bytes(fold(np.frombuffer(t.encode(), np.uint8))) for _, t in items]
-    parts = [grams(np.frombuffer(b, np.uint8)) for b in bodies]
+    parts = [grams(np.frombuffer(b if len(b) >= SHORT else b"", np.uint8)) for b in bodies]
     values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(bodies)), [len(p) for p in parts])
     place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, int)
-    edits = np.array([budget(len(b), share) for b in bodies], np.int64)
+    edits = np.array([budget(len(b), share) if len(b) >= SHORT else 0 for b in bodies], np.int64)
     least = np.array([len(b) - Q + 1 for b in bodies], np.int64) - edits * Q
     order = np.argsort(values, kind="stable")
-    return Passages([i for i, _ in items], bodies, edits, least, values[order], owner[order], place[order])
+    return Passages([i for i, _ in items], bodies, edits, least, values[order], owner[order], place[order],
+                    *_short_passages(bodies))
+
+
+def _short_passages(bodies: list[bytes]) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Passages under ``SHORT`` bytes by length, and the first bytes of those with more than Q; blank ones have no words to find."""
+    some = [i for i, b in enumerate(bodies) if len(b) < SHORT and b.strip()]
+    out, heads = [], [np.zeros(0, np.uint64)]
+    for length in sorted({len(bodies[i]) for i in some}):
+        own = np.array([i for i in some if len(bodies[i]) == length])
+        data = np.frombuffer(b"".join(bodies[i] for i in own), np.uint8)
+        starts = np.arange(len(own)) * length
+        first = _leads(data)[starts]
+        keys, second = _keys(data, first, starts, length)
+        if length > Q:
+            heads.append(first)
+        order = np.argsort(keys, kind="stable")
+        out.append((length, keys[order], second[order], own[order]))
+    return out, np.unique(np.concatenate(heads))
+
+
+def _leads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    return grams(np.concatenate([data, np.zeros(Q - 1, np.uint8)]))
+
+
+def _keys(data: np.ndarray, first: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to Q bytes as they are; two hashes of more."""
+    if length <= Q:
+        keys = first & np.uint64((1 << 8 * length) - 1)
+        return keys, np.zeros_like(keys)
+    return span_hashes(data, starts, starts + length), span_hashes(data, starts, starts + length, second=True)
 
 
 def edit_distance_within(passage: np.ndarray, window: np.ndarray, most: int, low: int, high: int) -> tuple[int, int]:
@@ -131,9 +170,13 @@ def _from_start(passage: np.ndarray, window: np.ndarray, most: int) -> tuple[int
 
 def search(passages: Passages, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, passage, distance, start, end) of the best occurrence of every passage in every text."""
-    if not len(passages.values) or len(data) < Q:
+    if not len(data):
         return []
     text = fold(data)
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    _verbatim(passages, text, offsets, found)
+    if not len(passages.values) or len(data) < Q:
+        return [(t, p, *rest) for (t, p), rest in sorted(found.items())]
     values = grams(text)
     # A table of 2**20 bits first, then the sorted values.
     def slot(v):
@@ -145,7 +188,6 @@ def search(passages: Passages, data: np.ndarray, offsets: np.ndarray) -> list[tu
     at, owner = (x[at + Q <= offsets[owner + 1]] for x in (at, owner))
     low = np.searchsorted(passages.values, values[at], "left")
     high = np.searchsorted(passages.values, values[at], "right")
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
     # Rows of the expansion are taken in steps, so a very common q-gram does not fill the memory; a
     # step ends between texts.
     total = np.cumsum(high - low)
@@ -163,6 +205,43 @@ def search(passages: Passages, data: np.ndarray, offsets: np.ndarray) -> list[tu
     return [(t, p, *rest) for (t, p), rest in sorted(found.items())]
 
 
+def _verbatim(passages, text, offsets, found) -> None:
+    """The first place of each short passage in each text."""
+    if not passages.short:
+        return
+    inside = np.concatenate([[False], _WORD[text], [False]])
+    edge = np.zeros(len(text) + 1, bool)
+    edge[offsets] = True
+    cut = edge | ~inside[:-1] | ~inside[1:]  # no word goes on here
+    starts = np.flatnonzero(cut[:-1])
+    leads = _leads(text)[starts]
+    home = np.searchsorted(offsets, starts, "right") - 1
+    stop = offsets[home + 1]
+    headed = None
+    for length, keys, second, own in passages.short:
+        if length <= Q:
+            at = np.flatnonzero(starts + length <= stop)
+        else:
+            if headed is None:
+                place = np.minimum(np.searchsorted(passages.heads, leads), len(passages.heads) - 1)
+                headed = np.flatnonzero(passages.heads[place] == leads)
+            at = headed[starts[headed] + length <= stop[headed]]
+        at = at[cut[starts[at] + length]]
+        here, more = _keys(text, leads[at], starts[at], length)
+        low, high = np.searchsorted(keys, here, "left"), np.searchsorted(keys, here, "right")
+        hit = np.flatnonzero(high > low)
+        sizes = (high - low)[hit]
+        which = np.repeat(hit, sizes)
+        entry = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[hit], sizes)
+        same = second[entry] == more[which]
+        which, item = at[which[same]], own[entry[same]]
+        _, first = np.unique(home[which] * len(passages.ids) + item, return_index=True)
+        for i in first:
+            t, begin = int(home[which[i]]), int(starts[which[i]])
+            begin -= int(offsets[t])
+            found[t, int(item[i])] = 0, begin, begin + length
+
+
 def _regions(passages, text, offsets, at, owner, low, high, found) -> None:
     sizes = high - low
     if not sizes.sum():
@@ -207,11 +286,12 @@ def _regions(passages, text, offsets, at, owner, low, high, found) -> None:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id",
-         share: float = 0.1, least_bytes: int = 40, block_bytes: int = 1 << 20) -> DataFrame:
+         share: float = 0.1, least_bytes: int = Q, block_bytes: int = 1 << 20) -> DataFrame:
     """Rows key, item, distance, start, end (bytes of the UTF-8 text): the best occurrence of a passage in a document.
 
-    ``share`` of a passage's bytes may be edited. Passages under ``least_bytes`` are too short to tell and are
-    not looked for, nor are null ones. Equal rows count once. Empty and null texts have no hits.
+    ``share`` of a passage's bytes may be edited; one under ``SHORT`` bytes must stand verbatim, as whole words. A part
+    of a passage does not count. Passages under ``least_bytes`` are not looked for, nor are null or blank ones; 1 takes
+    all. Equal rows count once. Empty and null texts have no hits.
     """
     wanted = benchmark.select(F.col(item).alias("_i"), F.col("text").alias("_t")).filter(
         F.octet_length("_t") >= least_bytes).distinct()

@@ -83,7 +83,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_benchmark_leaks")
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    hits = leaks.by_document(leaks.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    hits = leaks.by_document(leaks.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_bytes=1))
     return docs.select("doc_id").join(hits, "doc_id", "left").select(
         "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(leaks.listed(F.col("items")), F.lit("")).alias("items"), "least_distance",

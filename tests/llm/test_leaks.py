@@ -84,3 +84,39 @@ def test_long_text(spark):
     found = leaks.find(docs, spark.createDataFrame([(7, passage)], ITEMS)).collect()
     assert [(r["doc_id"], r["item_id"], r["distance"] <= 10) for r in found] == [(1, 7, True)]
     assert abs(found[0]["start"] - 1_000_000) < 30
+
+
+def test_short_passages_count_verbatim_as_whole_words(spark):
+    rnd = random.Random(6)
+    pool = ["a", "éa", "on", "er is", "x-y", "the", "tion on", "?", "12"]
+    items = [(n, " ".join(rnd.choice(pool) for _ in range(rnd.randint(1, 8)))) for n in range(60)] + [(97, "What is 12?"), (98, ""), (99, "  ")]
+    items = [(n, t) for n, t in items if len(t.encode()) < leaks.SHORT] + [(96, items[0][1].upper())]
+    docs = [(i, "".join(rnd.choice(pool + ["q"]) + rnd.choice([" ", " ", "\n", ""]) for _ in range(rnd.randint(0, 60))), "") for i in range(150)]
+    docs += [(900, "b\nwhat IS 12? b", ""), (901, "somewhat is 12?", ""), (902, "What is 12", ""), (903, "", ""), (904, "What is 12?", "")]
+    want = {}
+    word = lambda b: chr(b).isalnum() and b < 128 or b >= 128
+    for i, text, _ in docs:
+        t = folded(text)
+        for n, passage in items:
+            p = folded(passage)
+            for a in range(len(t) - len(p) + 1) if p.strip() else ():
+                b = a + len(p)
+                if t[a:b] == p and not (a and word(t[a - 1]) and word(t[a])) and not (b < len(t) and word(t[b - 1]) and word(t[b])):
+                    want[i, n] = 0, a, b
+                    break
+    tables = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    found = leaks.find(*tables, least_bytes=1).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in found} == want
+    assert (900, 97) in want and (904, 97) in want and not {(901, 97), (902, 97)} & set(want) and len(want) > 200
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.find(*tables).collect()} == {(i, n) for i, n in want if len(dict(items)[n].encode()) >= leaks.Q}
+
+
+def test_query_and_stage_look_for_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from parlance.llm.queries import QUERIES
+    docs = spark.createDataFrame([(1, "So: Who wrote it? Nobody."), (2, "clean text"), (3, "say Why? now")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "who wrote it?"), (6, "why?")], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["op6_benchmark_leaks"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["items"] for r in rows} == {1: "5", 2: "", 3: "6"}
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
