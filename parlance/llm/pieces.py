@@ -4,8 +4,8 @@ A text is cut into chunks (a run of spaces and the characters up to the next one
 no piece contains, such as a line break, ends a chunk too), and no piece crosses them. In a chunk
 the agenda holds every pair of neighbours whose concatenation is a piece; the pair with the best
 score is merged first, the leftmost of equals. A candidate is the triple of its start, middle and
-end; a hash of the seed, the document's variant, the chunk and that triple decides whether it is skipped, so
-the same seed always gives the same segmentation and another seed another one. Characters outside
+end; a hash of the seed, the document's key, the chunk, its number in the text and that triple decides whether it is
+skipped, so every occurrence of a word has its own draw, and the same seed always gives the same segmentation. Characters outside
 the vocabulary become byte pieces, so decoding restores every text exactly.
 
 The rounds of the agenda run for all distinct chunks of a slice of texts at once.
@@ -87,7 +87,7 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 def _skipped(chunk: np.ndarray, start, middle, end, dropout: float) -> np.ndarray:
-    """True for candidates that the keyed hash drops; ``chunk`` already holds seed and variant."""
+    """True for candidates that the keyed hash drops; ``chunk`` already holds seed, key and number."""
     start, middle, end = (np.atleast_1d(x).astype(np.uint64) for x in (start, middle, end))
     place = (start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ end
     return (mix(chunk ^ mix(place)) >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
@@ -193,7 +193,7 @@ class Encoder:
         self.piece_sizes = np.array([len(p) for p in vocab.pieces], np.int64)
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts and how many each text has."""
         texts = len(offsets) - 1
         if not len(data):
@@ -221,7 +221,12 @@ class Encoder:
         chunk_from = begin[chunk_at]
         chunk_to = np.append(chunk_from[1:], len(data))
         text_of = np.searchsorted(offsets, chunk_from, "right") - 1
-        hashes = span_hashes(data, chunk_from, chunk_to) ^ mix(variants.astype(np.uint64) + self.seed)[text_of]
+        words = span_hashes(data, chunk_from, chunk_to)
+        hashes = words
+        if self.dropout > 0:
+            # The chunk's number in its text; without dropout equal chunks are cut alike anyway.
+            number = np.arange(len(chunk_at)) - np.searchsorted(text_of, np.arange(texts))[text_of]
+            hashes = words ^ mix(keys.astype(np.uint64) + self.seed)[text_of] ^ mix(number.astype(np.uint64))
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         sizes = chunk_chars[where]
         counts = np.zeros(len(distinct), np.int64)
@@ -276,21 +281,21 @@ def _binary(data: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
         None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, dropout: float = 0.1, seed: int = 1, variants: int = 4,
+def encode(docs: DataFrame, vocab: Vocabulary, dropout: float = 0.1, seed: int = 1,
            text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: the key) and n_pieces, pieces, lossless.
 
-    ``pieces`` has two bytes per piece, the low one first. ``variants`` numbers of segmentations are
-    dealt to the keys by a hash. ``dropout`` 0 gives the plain segmentation. ``lossless`` says that
+    ``pieces`` has two bytes per piece, the low one first. Every occurrence of a word is
+    cut by a draw of its own, from ``seed``, the key and its place. ``dropout`` 0 gives the plain segmentation. ``lossless`` says that
     decoding gave back the text; null and empty texts have no pieces. Repeated rows repeat.
     """
     keep = [key] if keep is None else keep
-    if not 0 <= dropout <= 1 or variants < 1:
-        raise ValueError("dropout is a share and variants a positive number")
+    if not 0 <= dropout <= 1:
+        raise ValueError("dropout is a share")
     names = {"n_pieces", "pieces", "lossless"} & set(keep)
     if names:
         raise ValueError(f"the rows already have {sorted(names)}")
-    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(variants))
+    chosen = F.xxhash64(F.lit(seed), F.col(key))
     rows = docs.select(F.struct(*keep).alias("_row"), _led(F.col(text), vocab).alias("_t"), chosen.alias("_v"))
     schema = rows.select("_row", F.lit(0).cast("long").alias("n_pieces"), F.lit(b"").alias("pieces"),
                          F.lit(True).alias("lossless")).schema

@@ -96,3 +96,20 @@ def test_bad_input(spark, vocab):
         pieces.encode(spark.createDataFrame([], "doc_id long, text string, pieces int"), vocab, keep=["doc_id", "pieces"])
     with pytest.raises(ValueError):
         pieces.encode(spark.createDataFrame([], "doc_id long, text string"), vocab, dropout=2)
+
+
+def test_every_occurrence_has_its_own_draw(spark, vocab):
+    word, times = "nationalization", 300
+    # All pieces of the one text, cut where a word begins.
+    flat = encoded(vocab, [" ".join([word] * times)], 0.1)[0]
+    starts = [i for i, p in enumerate(flat) if vocab.pieces[p].startswith(b" ")]
+    cuts = {tuple(flat[a:b]) for a, b in zip(starts, [*starts[1:], len(flat)])}
+    assert len(starts) == times and len(cuts) > 4
+    docs = spark.createDataFrame([(i, word) for i in range(times)], "doc_id long, text string")
+    rows = pieces.encode(docs, vocab).collect()
+    assert len({bytes(r["pieces"]) for r in rows}) > 4 and all(r["lossless"] for r in rows)
+    assert {r["doc_id"]: r["pieces"] for r in rows} == {r["doc_id"]: r["pieces"] for r in pieces.encode(docs, vocab).collect()}
+    # The plain segmentation stays the most common one, as at this dropout it must.
+    plain = tuple(encoded(vocab, [word], 0.0)[0])
+    seen = [tuple(np.frombuffer(r["pieces"], "<u2").tolist()) for r in rows]
+    assert max(set(seen), key=seen.count) == plain
