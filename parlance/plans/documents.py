@@ -214,8 +214,8 @@ SELECT folder, '_chk_' || i AS chunk, md5(array_to_string(w[i * 462 + 1 : i * 46
 def folder_import(spark, sf_dir):
     """A folder of text and CSV files, many of one name, imported into an index, twice."""
     folder, path = work_dir(spark, "folder"), work_dir(spark, "folder-index")
-    # In one task, so that all folders have a file of one name.
-    I.table(spark, sf_dir, "benchmark").coalesce(1).write.partitionBy("item_id").text(f"{folder}/texts")
+    # Folders that one task writes have a file of one name.
+    I.table(spark, sf_dir, "benchmark").repartition("item_id").write.partitionBy("item_id").text(f"{folder}/texts")
     I.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name")).write.option(
         "header", "true").csv(f"{folder}/tables")
     for _ in range(2):

@@ -101,3 +101,26 @@ def test_the_folder_that_the_cluster_names_is_used():
 def test_a_laptop_gets_one_folder():
     a, b = (session.work_dir(FakeSession("local[2]"), "x") for _ in range(2))
     assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+
+
+def test_folder_import_writes_its_folder_in_several_tasks(spark, monkeypatch):
+    import glob
+    from collections import Counter
+
+    from parlance.plans import documents
+    made = {}
+
+    def kept(session_, label):
+        made[label] = session.work_dir(session_, label)
+        return made[label]
+
+    monkeypatch.setattr(documents, "work_dir", kept)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        documents.folder_import(spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    names = Counter(f.rsplit("/", 1)[1] for f in glob.glob(f"{made['folder'].removeprefix('file:')}/texts/item_id=*/part-*"))
+    # More than one task, and still folders with files of one name.
+    assert len(names) > 1 and max(names.values()) > 1
