@@ -26,9 +26,13 @@ def latest_by_key(rows: DataFrame, key: str | list[str], order: list[str]) -> Da
 
 
 def upsert_turns(log: DataFrame, new: DataFrame) -> DataFrame:
-    """The turn log after new turns; a turn id that comes again replaces the older row."""
+    """The turn log after new turns; a turn id that comes again replaces the older row.
+
+    Ties go to the new turns, then by whatever other columns the log has, so that the result does not depend on row order.
+    """
     both = log.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest_by_key(both, "turn_id", ["ts", "_new", "content", "role"]).drop("_new")
+    rest = sorted(c for c in log.columns if c not in ("turn_id", "ts"))
+    return latest_by_key(both, "turn_id", ["ts", "_new", *rest]).drop("_new")
 
 
 def session_history(turns: DataFrame, limit: int = HISTORY_TURNS) -> DataFrame:
