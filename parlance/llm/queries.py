@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, leaks, licenses, near, pieces, privacy, repeats, suffixes, toxicity
+from . import centroids, exact, incidence, language, leaks, licenses, near, pieces, privacy, repeats, suffixes, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,52 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixes.remove_repeats(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of assigning and moving, written out one after the other."""
+    def assigned(i: int) -> str:
+        return f"""d{i} AS MATERIALIZED (
+        SELECT v.n, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS far
+        FROM v, c{i} c),
+    a{i} AS MATERIALIZED (SELECT n, min({{'far': far, 'c': c}}).c AS c, min(far) AS far FROM d{i} GROUP BY n)"""
+
+    def moved(i: int) -> str:
+        return f"""s{i} AS MATERIALIZED (
+        SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT a.c, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS p
+            FROM a{i} a JOIN v USING (n)) GROUP BY c, p),
+    c{i + 1} AS MATERIALIZED (
+        SELECT c.c, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN (
+            SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS q FROM s{i} GROUP BY c) m ON m.c = c.c)"""
+
+    steps = ",\n    ".join(f"{assigned(i)},\n    {moved(i)}" for i in range(rounds))
+    return f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS n, vec_id,
+            list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, q) - 1 AS c, q FROM v
+        QUALIFY c < {k}),
+    {steps},
+    {assigned(rounds)},
+    i AS (SELECT c, sum(far) AS far FROM a{rounds} GROUP BY c)
+    SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.far AS BIGINT) AS distance, CAST(i.far AS BIGINT) AS cluster_inertia,
+        CAST((SELECT sum(far) FROM i) AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM v JOIN a{rounds} a USING (n) JOIN i ON i.c = a.c JOIN c{rounds} c ON c.c = a.c"""
+
+
+@query("op13_centroid_clusters", sql=_centroid_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return made.select("vec_id", "cluster", "distance", F.col("cluster_inertia").cast("long").alias("cluster_inertia"),
+                       F.col("inertia").cast("long").alias("inertia"), centroids.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+@query("op12_token_links")
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = incidence.byte_level(f"{TOKENIZERS}/byte_bpe_50k.json")
+    second = incidence.sentence_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    rows = incidence.align_documents(documents(spark, sf_dir), first, second).withColumn("groups_sha256", digest).drop("groups")
+    return incidence.count_links(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
