@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, exact, incidence, language, leaks, licenses, near, pieces, privacy, repeats, suffixes, toxicity
+from . import anomalies, centroids, exact, incidence, language, leaks, licenses, near, pieces, privacy, repeats, suffixes, toxicity
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,9 @@ def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
     rows = incidence.align_documents(documents(spark, sf_dir), first, second).withColumn("groups_sha256", digest).drop("groups")
     return incidence.count_links(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anomalies.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.select("doc_id", *anomalies.COUNTS, "base_failed", "kept", "score")
