@@ -15,6 +15,7 @@ pairs are joined, and none of them is in so many documents that a join key could
 from __future__ import annotations
 
 import os
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,26 +35,24 @@ _ID_BITS = 24
 
 @dataclass(frozen=True)
 class Csr:
-    """A matrix in compressed sparse row form: row i has ``data[starts[i]:starts[i + 1]]`` at ``columns[...]``."""
+    """A matrix in compressed sparse row form: row i has ``data[starts[i]:starts[i + 1]]`` at ``columns[...]``; all ones without ``data``."""
 
     starts: np.ndarray
     columns: np.ndarray
-    data: np.ndarray
     width: int
+    data: np.ndarray | None = None
 
     @property
     def height(self) -> int:
         return len(self.starts) - 1
 
-    @classmethod
-    def ones(cls, starts: np.ndarray, columns: np.ndarray, width: int) -> Csr:
-        return cls(starts, columns, np.ones(len(columns), np.int64), width)
-
     def transposed(self) -> Csr:
-        order = np.argsort(self.columns, kind="stable")
         rows = np.repeat(np.arange(self.height), np.diff(self.starts))
         starts = np.concatenate([[0], np.cumsum(np.bincount(self.columns, minlength=self.width))])
-        return Csr(starts, rows[order], self.data[order], self.height)
+        if (self.columns[1:] >= self.columns[:-1]).all():
+            return Csr(starts, rows, self.height, self.data)
+        order = np.argsort(self.columns, kind="stable")
+        return Csr(starts, rows[order], self.height, None if self.data is None else self.data[order])
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -74,26 +73,36 @@ def multiply(left: Csr, right: Csr, most: int = MOST_PRODUCTS) -> Csr:
     if left.width != right.height:
         raise ValueError("widths don't fit")
     done = np.concatenate([[0], np.cumsum(product_sizes(left, right))])
-    parts, counts, row = [], [], 0
+    parts, row = [], 0
     while row < left.height:
         stop = max(row + 1, int(np.searchsorted(done, done[row] + most, "right")) - 1)
         entries = slice(left.starts[row], left.starts[stop])
         named = left.columns[entries]
         lengths = np.diff(right.starts)[named]
-        terms = spread(right.starts[named], lengths)
-        owner = np.repeat(np.repeat(np.arange(stop - row), np.diff(left.starts[row:stop + 1])), lengths)
-        value = np.repeat(left.data[entries], lengths) * right.data[terms]
-        key = owner * right.width + right.columns[terms]
-        if len(key) and (key[1:] < key[:-1]).any():
+        owner = np.repeat(np.arange(stop - row), np.diff(left.starts[row:stop + 1]))
+        terms = right.starts[named]
+        one_each = (lengths == 1).all()
+        if not one_each:
+            terms, owner = spread(terms, lengths), np.repeat(owner, lengths)
+        key = owner * max(right.width, 1) + right.columns[terms]
+        value = None
+        if left.data is not None or right.data is not None:
+            value = np.ones(len(key), np.int64) if right.data is None else right.data[terms]
+            if left.data is not None:
+                value = value * (left.data[entries] if one_each else np.repeat(left.data[entries], lengths))
+        if (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
+            key, value = key[order], None if value is None else value[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        parts.append((key[first] % right.width if right.width else key[first], np.add.reduceat(value, first) if len(first) else value))
-        counts.append(np.bincount(key[first] // right.width if right.width else key[first], minlength=stop - row))
+        if value is None:
+            value = np.diff(np.append(first, len(key)))
+        elif len(first):
+            value = np.add.reduceat(value, first)
+        rows, columns = np.divmod(key[first], max(right.width, 1))
+        parts.append((columns, value, np.bincount(rows, minlength=stop - row)))
         row = stop
-    columns, data, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (
-        [p[0] for p in parts], [p[1] for p in parts], counts))
-    return Csr(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), columns, data, right.width)
+    columns, data, sizes = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+    return Csr(np.concatenate([[0], np.cumsum(sizes)]), columns, right.width, data)
 
 
 # -- tokenizers -------------------------------------------------------------------------------------
@@ -141,6 +150,11 @@ def _encoder(kind: str, content: bytes):
         from sentencepiece import SentencePieceProcessor
         model = SentencePieceProcessor(model_proto=content)
         return lambda texts: model.encode([t[1:] for t in texts], num_threads=1)  # the model adds the space itself
+    if kind == "ranks":
+        import tiktoken
+        ranks = {bytes(token): i for i, token in pickle.loads(content)}
+        model = tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [model.encode_ordinary(t) for t in texts]
     # A task has one core.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer as Model
@@ -149,21 +163,36 @@ def _encoder(kind: str, content: bytes):
     return lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+# How byte-level models of this form cut texts before merging: a fixed value.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_level(path: str) -> Tokenizer:
-    """A byte-level BPE in the JSON form of the tokenizers library. Special tokens in texts are plain text."""
+    """A byte-level BPE in the JSON form of the tokenizers library. Special tokens in texts are plain text.
+
+    A model that cuts texts in the usual way and numbers its tokens in the order of their merges is run by rank, with the
+    entries of this file, which gives the same ids several times faster; any other by the library of its form.
+    """
     import json
     with open(path, "rb") as f:
         content = f.read()
-    model = json.loads(content)
+    form = json.loads(content)
     letters = _byte_letters()
-    vocabulary = model["model"]["vocab"]
-    added = {t["id"]: t["content"].encode() for t in model.get("added_tokens", [])}
+    model, vocabulary = form["model"], form["model"]["vocab"]
+    added = {t["id"]: t["content"].encode() for t in form.get("added_tokens", [])}
+    known = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items() if all(c in letters for c in token)}
     entries = [b""] * (max([*vocabulary.values(), *added]) + 1)
-    for token, i in vocabulary.items():
-        entries[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
-    for i, token in added.items():
+    for i, token in {**known, **added}.items():
         entries[i] = token
-    return Tokenizer.of("bytes", content, entries)
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain_form = (form["normalizer"] is None and (form["pre_tokenizer"] or {}).items() >= usual.items() and model["type"] == "BPE"
+                  and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+    by_rank = (plain_form and len(known) == len(vocabulary) == 256 + len(merged) and all(a < b for a, b in zip(merged, merged[1:]))
+               and all(len(known[i]) == 1 for i in known.keys() - set(merged)) and min(merged) > max(known.keys() - set(merged)))
+    if by_rank:
+        return Tokenizer.of("ranks", pickle.dumps(sorted(known.items())), entries)
+    return Tokenizer.of("json", content, entries)
 
 
 def sentence_pieces(path: str) -> Tokenizer:
@@ -206,7 +235,7 @@ class Aligned:
     overlap: Csr
 
     def group_matrix(self, side: int) -> Csr:
-        return Csr.ones(np.arange(len(self.group_of[side]) + 1), self.group_of[side], int(self.groups.sum()))
+        return Csr(np.arange(len(self.group_of[side]) + 1), self.group_of[side], int(self.groups.sum()))
 
     def shared(self) -> Csr:
         """Links between all tokens of a group. A group without inner boundaries can make many; ``shared_sizes`` counts them without."""
@@ -229,7 +258,7 @@ def align(texts: list[str], data: np.ndarray, offsets: np.ndarray, first: Tokeni
         ids = ids[np.repeat(good, counts)]
         # Tokens lie side by side, so a token's columns are the bytes from where the one before ended. Ids without bytes don't exist here.
         starts = np.concatenate([[0], np.cumsum(tokenizer.sizes[ids])])
-        matrices.append(Csr.ones(starts, np.arange(width), width))
+        matrices.append(Csr(starts, np.arange(width), width))
         ids_of.append(ids)
         counts_of.append(np.where(good, counts, 0))
         ends_of.append(starts[1:])
@@ -240,16 +269,30 @@ def align(texts: list[str], data: np.ndarray, offsets: np.ndarray, first: Tokeni
                    multiply(matrices[0], matrices[1].transposed()))
 
 
-def _written_groups(found: Aligned) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` for each text."""
-    out, at, group = [], [0, 0], 0
-    names = [ids.astype(str).tolist() for ids in found.ids]
-    bounds = [np.concatenate([np.searchsorted(g, np.arange(found.groups.sum())), [len(g)]]).tolist() for g in found.group_of]
-    for n in found.groups.tolist():
-        out.append(";".join(f"{','.join(names[0][bounds[0][g]:bounds[0][g + 1]])}|{','.join(names[1][bounds[1][g]:bounds[1][g + 1]])}"
-                            for g in range(group, group + n)))
-        group += n
-    return out
+def _digits(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers up to ``most`` in decimal with room for one more sign, and where each begins."""
+    written = [b"%d " % i for i in range(most + 1)]
+    return np.frombuffer(b"".join(written), np.uint8), np.cumsum([0, *map(len, written)])
+
+
+def _written_groups(found: Aligned, digits: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """``a1,a2|b1;a3|b2,b3`` for each text: all tokens in the order of their groups, each with the sign that follows it."""
+    group = np.concatenate(found.group_of)
+    order = np.argsort(group, kind="stable")  # within a group the first side's tokens come first
+    ids, group, second = np.concatenate(found.ids)[order], group[order], order >= len(found.ids[0])
+    flat, begins = digits
+    sizes = begins[ids + 1] - begins[ids]
+    signs = flat[spread(begins[ids], sizes)]
+    last = np.concatenate([(group[1:] != group[:-1]) | (second[1:] != second[:-1]), [True]])[:len(ids)]
+    ends = np.cumsum(sizes)
+    signs[ends - 1] = np.where(last, np.where(second, ord(";"), ord("|")), ord(","))
+    # The sign after a text's last token is left out.
+    text_ends = np.concatenate([[0], ends])[np.cumsum(found.counts[0] + found.counts[1])]
+    some = np.diff(text_ends, prepend=0) > 0
+    kept = np.ones(len(signs), bool)
+    kept[text_ends[some] - 1] = False
+    offsets = np.concatenate([[0], text_ends - np.cumsum(some)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(signs[kept].tobytes())])
 
 
 def _runs(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,6 +333,7 @@ def align_documents(docs: DataFrame, first: Tokenizer, second: Tokenizer, text:
                          numbers.alias("_pairs"), numbers.alias("_times")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digits = _digits(max(len(first.sizes), len(second.sizes)))
         for batch in batches:
             for part in slices(batch, "_t"):
                 column = plain(part, "_t")
@@ -303,7 +347,7 @@ def align_documents(docs: DataFrame, first: Tokenizer, second: Tokenizer, text:
                 per_text = [found.counts[0], found.counts[1], found.groups, *(
                     np.bincount(text_of[0], x, part.num_rows).astype(np.int64) for x in (links, found.shared_sizes()))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), *[pa.array(x, pa.int64()) for x in per_text], pa.array(_written_groups(found), pa.string()),
+                    [part.column("_row"), *[pa.array(x, pa.int64()) for x in per_text], _written_groups(found, digits).cast(pa.string()),
                      _lists(owner, code, part.num_rows), _lists(owner, times.astype(np.int64), part.num_rows)], ["_row", *_FIELDS])
 
     made = rows.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 """Token links against plain loops over byte ranges."""
 
 import bisect
+import functools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,6 +16,7 @@ A = I.byte_level("/opt/tokenizers/byte_bpe_50k.json")
 B = I.sentence_pieces("/opt/tokenizers/piece_bpe_32k.model")
 
 
+@functools.cache
 def plain_models():
     import sentencepiece
     from tokenizers import Tokenizer
@@ -119,6 +121,22 @@ def test_two_byte_ranges_and_all_bytes():
     assert np.array_equal(found.shared_sizes(), np.diff(found.shared().starts))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=20), st.sampled_from([A.flat[a:a + n].tobytes().decode("utf8", "ignore")
+       for a, n in zip(A.starts[::37], A.sizes[::37])])), max_size=12).map("".join))
+def test_ids_by_rank_are_those_of_the_json_form(text):
+    assert A.kind == "ranks" and A.encode([text])[0].tolist() == plain_models()[0].encode(text, add_special_tokens=False).ids
+
+
+def test_another_form_goes_by_its_library(tmp_path):
+    import json
+    form = json.load(open("/opt/tokenizers/byte_bpe_50k.json"))
+    form["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(form))
+    lower = I.byte_level(str(tmp_path / "lower.json"))
+    assert lower.kind == "json" and lower.encode([" The"])[0].tolist() == A.encode([" the"])[0].tolist()
+
+
 matrices = st.integers(1, 6).flatmap(lambda k: st.tuples(
     st.lists(st.lists(st.integers(0, 3), min_size=k, max_size=k), min_size=1, max_size=6),
     st.integers(1, 5).flatmap(lambda w: st.lists(st.lists(st.integers(0, 3), min_size=w, max_size=w), min_size=k, max_size=k))))
@@ -126,13 +144,15 @@ matrices = st.integers(1, 6).flatmap(lambda k: st.tuples(
 
 def csr(rows):
     m = np.array(rows)
+    if m.max() <= 1:
+        return I.Csr(np.concatenate([[0], np.cumsum(m.sum(1))]), np.nonzero(m)[1], m.shape[1])
     at = np.nonzero(m)
-    return I.Csr(np.concatenate([[0], np.cumsum((m != 0).sum(1))]), at[1], m[at], m.shape[1])
+    return I.Csr(np.concatenate([[0], np.cumsum((m != 0).sum(1))]), at[1], m.shape[1], m[at])
 
 
 def dense(c):
     out = np.zeros((c.height, c.width), int)
-    out[np.repeat(np.arange(c.height), np.diff(c.starts)), c.columns] = c.data
+    out[np.repeat(np.arange(c.height), np.diff(c.starts)), c.columns] = 1 if c.data is None else c.data
     return out
 
 
