@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.text import space_words, squeeze, strip
 from ..functions.vectors import cosine
 from ..lexicons import RouterLexicon
-from ..operators import memory, prep, retrieval, signals
+from ..operators import memory, postings, prep, retrieval, signals
 from ..session import work_dir
 from ..sources import files, vector_table
 from . import inputs as I, pipelines
-from .registry import query
+from .registry import CHECKS, query
 
 K = 4
 WEIGHT = 0.7
@@ -347,6 +347,14 @@ def lexical_topk(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("lexical_postings", CHECKS["lexical_topk"])
+def lexical_postings(spark, sf_dir):
+    """The same hits from an inverted index at rest, of which only blocks that can matter are read."""
+    path = work_dir(spark, "postings-index")
+    postings.build_postings(I.chunks(spark, sf_dir), path)
+    return postings.postings_topk(I.benchmark_queries(spark, sf_dir), path, 5).withColumn("score", F.round("score", 6))
+
+
 @query("term_overlap_topk", f"""WITH {I.SQL_CHUNKS}, {I.SQL_BENCHMARK},
 terms AS (SELECT DISTINCT query_id, unnest({I.sql_words('lower(query)')}) AS t FROM benchmark_queries),
 sizes AS (SELECT query_id, count(*) AS n FROM terms GROUP BY 1),
@@ -364,6 +372,13 @@ def term_overlap_topk(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("overlap_postings", CHECKS["term_overlap_topk"])
+def overlap_postings(spark, sf_dir):
+    path = work_dir(spark, "overlap-index")
+    postings.build_postings(I.chunks(spark, sf_dir), path, "presence")
+    return postings.overlap_postings_topk(I.benchmark_queries(spark, sf_dir), path, 3).withColumn("score", F.round("score", 6))
+
+
 def _benchmark_hits(spark, sf_dir):
     queries = prep.embed_queries(I.benchmark_queries(spark, sf_dir))
     return retrieval.hybrid_search(I.points(spark, sf_dir), queries, K, WEIGHT)
