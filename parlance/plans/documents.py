@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import space_words, squeeze, strip
 from ..functions.vectors import cosine
 from ..lexicons import RouterLexicon
-from ..operators import memory, postings, prep, retrieval, signals
+from ..operators import cells, memory, postings, prep, retrieval, signals
 from ..session import work_dir
 from ..sources import files, vector_table
 from . import inputs as I, pipelines
@@ -311,6 +311,14 @@ def dense_topk(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("dense_cells", CHECKS["dense_topk"])
+def dense_cells(spark, sf_dir):
+    """The same hits from cells, of which only those whose angle can matter are read."""
+    path = work_dir(spark, "cells-index")
+    cells.build_cells(_vector_index(spark, sf_dir), path)
+    return cells.cells_topk(_vector_queries(spark, sf_dir), path, 5).withColumn("score", F.round("score", 6))
+
+
 @query("dense_topk_filtered", f"""WITH {_SQL_VECTOR_QUERIES}
 SELECT query_id, chunk_id, round(score, 6) AS score,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank

@@ -10,12 +10,13 @@ force, and no writer touches a folder that exists.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..schemas import VECTOR_POINT
 
-_CHANGE = "_change"
+_CHANGE = "d"
 _DELETED = "_deleted"
+_LENGTH = "_length-"
 
 
 def _folders(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
@@ -38,10 +39,11 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return [n for kind, n, complete in _folders(spark, path) if kind == "v" and complete]
 
 
-def _changes(spark: SparkSession, path: str) -> list[int]:
-    """Complete changes after the newest whole version, oldest first."""
-    newest = (versions(spark, path) or [0])[-1]
-    return [n for kind, n, complete in _folders(spark, path) if kind == "d" and complete and n > newest]
+def _state(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest complete whole version, and the complete changes after it, oldest first. One listing."""
+    folders = [(kind, n) for kind, n, complete in _folders(spark, path) if complete]
+    newest = max((n for kind, n in folders if kind == "v"), default=None)
+    return newest, [n for kind, n in folders if kind == "d" and n > (newest or 0)]
 
 
 def _write(df: DataFrame, path: str, kind: str) -> str:
@@ -52,15 +54,14 @@ def _write(df: DataFrame, path: str, kind: str) -> str:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index as it stands; empty if there is none."""
-    whole, changes = versions(spark, path), _changes(spark, path)
-    base = spark.read.parquet(f"{path}/v={whole[-1]}") if whole else spark.createDataFrame([], VECTOR_POINT)
+    """The index as it stands; empty if there is none. All changes are one scan, however many there are."""
+    whole, changes = _state(spark, path)
+    base = spark.read.parquet(f"{path}/v={whole}") if whole is not None else spark.createDataFrame([], VECTOR_POINT)
     if not changes:
         return base
-    parts = [spark.read.parquet(f"{path}/d={n}").withColumn(_CHANGE, F.lit(n)) for n in changes]
-    changed = parts[0]
-    for part in parts[1:]:
-        changed = changed.unionByName(part)
+    # All changes have one schema, so none of their files is opened for it. The folder's number comes as a column.
+    schema = T.StructType([*base.schema.fields, T.StructField(_DELETED, T.BooleanType()), T.StructField(_CHANGE, T.LongType())])
+    changed = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{_CHANGE}={n}" for n in changes])
     latest = _last_by_id(changed, [_CHANGE])
     # The planner knows the size of the change files and sends small ones to the stored side, which
     # is then read without a shuffle.
@@ -75,16 +76,36 @@ def _last_by_id(points: DataFrame, order: list[str]) -> DataFrame:
 
 def refresh_index(points: DataFrame, path: str) -> int:
     """Replaces the whole index; returns the number of rows now stored."""
-    return points.sparkSession.read.parquet(_write(points, path, "v")).count()
+    return _finished(points.sparkSession, _write(points, path, "v"), None)
 
 
 def _change(change: DataFrame, path: str) -> int:
     spark = change.sparkSession
-    return spark.read.parquet(_write(_checked(change, _dimensions(spark, path)), path, "d")).count()
+    dimensions = _dimensions(spark, path)
+    return _finished(spark, _write(_checked(change, dimensions), path, "d"), dimensions)
+
+
+def _finished(spark: SparkSession, folder: str, dimensions: int | None) -> int:
+    """Rows of a folder just written; leaves an empty file there that names the vector length, so that the next change
+    need not look for it in the index."""
+    size = spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    known = size["d"] if (size["d"] or 0) > 0 else dimensions
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_LENGTH}{known or 0}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True).close()
+    return size["n"]
 
 
 def _dimensions(spark: SparkSession, path: str) -> int | None:
-    """The vector length of the stored points, from the first one found; None without points."""
+    """The vector length of the stored points, as the newest folder names it; None without points. Where a writer died before it
+    named it, the first stored vector tells."""
+    whole, changes = _state(spark, path)
+    if whole is None and not changes:
+        return None
+    newest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_CHANGE}={changes[-1]}" if changes else f"{path}/v={whole}")
+    for status in newest.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(newest):
+        name = status.getPath().getName()
+        if name.startswith(_LENGTH):
+            return int(name.removeprefix(_LENGTH)) or None
     first = read_index(spark, path).filter(F.size("embedding") > 0).select(F.size("embedding")).first()
     return first[0] if first else None
 

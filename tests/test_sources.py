@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.functions.vectors import hash_embedder
 from parlance.operators import prep
 from parlance.sources import files, vector_table as V
 
@@ -185,3 +186,37 @@ def test_an_unfinished_version_is_ignored(spark, tmp_path):
 def test_point_listing(spark):
     rows = V.list_points(points(spark, ["x" * 100, "short"])).collect()
     assert sorted(len(r.preview) for r in rows) == [5, 93]
+
+
+def fact_points(spark, doc_ids):
+    facts = spark.createDataFrame([(d, d, f"fact {d}") for d in doc_ids], "doc_id string, title string, content string")
+    return prep.to_points(prep.facts_to_chunks(facts), hash_embedder(4))
+
+
+def test_all_changes_are_one_scan(spark, tmp_path):
+    path = str(tmp_path / "i")
+    scans = []
+    for i in range(6):
+        V.upsert_points(fact_points(spark, [f"d{i % 4}"]), path)
+        scans.append(V.read_index(spark, path)._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    assert len(set(scans[1:])) == 1 and V.read_index(spark, path).count() == 4
+    V.compact_index(spark, path)
+    V.delete_points(spark, path, V.read_index(spark, path).filter("doc_id = 'd1'"))
+    V.upsert_points(fact_points(spark, ["d9"]), path)
+    assert {r["doc_id"] for r in V.read_index(spark, path).collect()} == {"d0", "d2", "d3", "d9"}
+
+
+def test_the_vector_length_is_named_by_the_newest_folder(spark, tmp_path):
+    path = tmp_path / "i"
+    V.upsert_points(fact_points(spark, ["a"]), str(path))
+    V.delete_points(spark, str(path), V.read_index(spark, str(path)))
+    assert [f.name for f in (path / "d=2").iterdir() if f.name.startswith("_length")] == ["_length-4"]
+    longer = fact_points(spark, ["b"]).withColumn("embedding", F.array(*[F.lit(1.0).cast("float")] * 5))
+    with pytest.raises(Exception, match="vectors of length 4"):
+        V.upsert_points(longer, str(path))
+    # A writer that died before it named the length: the stored vectors tell.
+    V.upsert_points(fact_points(spark, ["c"]), str(path))
+    newest = max(int(f.name[2:]) for f in path.iterdir() if (f / "_SUCCESS").exists())
+    (path / f"d={newest}" / "_length-4").unlink()
+    with pytest.raises(Exception, match="vectors of length 4"):
+        V.upsert_points(longer, str(path))
