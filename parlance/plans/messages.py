@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import crm, inbox
 from ..session import work_dir
 from ..sources import vector_table, webhooks
-from ..streaming import jobs
+from ..streaming import jobs, working
 from . import inputs as I, pipelines
 from .conversations import _CUSTOMER_COLUMNS, _LIFECYCLE_SQL, _SESSIONS_SQL, _session_rows, customer_rows
 from .registry import query
@@ -241,6 +241,18 @@ def _as_files(spark, df, label, files=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _drained_in_steps(spark, df, stream, label, steps=3):
+    """The rows arrive in steps of time ``ts``; the stream runs after each from where it stopped. All that it gave."""
+    base = work_dir(spark, label)
+    ends = df.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    step = F.floor((F.unix_micros("ts") - ends["lo"]) * steps / (ends["hi"] - ends["lo"] + 1))
+    for i in range(steps):
+        df.filter(step == i).write.mode("append").parquet(f"{base}/in")
+        made = stream(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+        jobs.append_to(made, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
+
+
 def _drained(spark, df, label):
     """Appends all that a stream gives to files and reads them back."""
     base = work_dir(spark, label)
@@ -270,6 +282,33 @@ def stream_lifecycle(spark, sf_dir):
     return _drained(spark, jobs.lifecycle_stream(turns), "lifecycle").drop("ts")
 
 
+_MEMORY_SQL = f"""WITH {I.SQL_EVENT_TURNS}, gaps AS (
+  SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER s) > 86400000000, true) AS starts_anew FROM turns WINDOW s AS (PARTITION BY session_id ORDER BY ts, turn_id)),
+stretches AS (
+  SELECT *, sum(CAST(starts_anew AS INTEGER)) OVER (PARTITION BY session_id ORDER BY ts, turn_id ROWS UNBOUNDED PRECEDING) AS stretch FROM gaps),
+memory AS (
+  SELECT *, list(turn_id) OVER (PARTITION BY session_id, stretch ORDER BY ts, turn_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS remembered FROM stretches)
+SELECT session_id, turn_id, len(remembered) AS window_size, array_to_string(remembered, ' ') AS remembered, starts_anew FROM memory"""
+
+
+def _memory_rows(df):
+    return df.select("session_id", "turn_id", "window_size", F.array_join("remembered", " ").alias("remembered"), "starts_anew")
+
+
+@query("working_memory", _MEMORY_SQL)
+def working_memory(spark, sf_dir):
+    """What every turn's session remembers at that turn: ten turns at most, none from before a pause of more than a day."""
+    return _memory_rows(working.working_memory(I.event_turns(spark, sf_dir)))
+
+
+@query("stream_working_memory", f"""{_MEMORY_SQL}
+WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) - 60000 FROM events) * 1000""")
+def stream_working_memory(spark, sf_dir):
+    """The same as a stream of several batches, for turns up to the watermark, a minute before the last event."""
+    turns = I.event_turns(spark, sf_dir).select("session_id", "turn_id", "ts")
+    return _memory_rows(_drained_in_steps(spark, turns, working.working_memory_stream, "working-memory"))
+
+
 @query("stream_dedup", f"WITH {I.SQL_MESSAGES} SELECT DISTINCT coalesce(mid, message_id) AS id FROM messages")
 def stream_dedup(spark, sf_dir):
     """Platform ids that a stream with a long delay lets through, each once."""
