@@ -192,16 +192,42 @@ def json_source(spark, sf_dir):
     return files.json_documents(spark, path, extensions=("txt",)).select("raw_text", "doc_title")
 
 
+@query("json_source_split", CHECKS["json_source"])
+def json_source_split(spark, sf_dir):
+    """All customers in arrays of one file each per thousand keys, with commas, quotes, brackets and breaks in strings, read in splits."""
+    path = work_dir(spark, "json")
+    item = F.struct(F.col("c_name").alias("title"), F.concat(F.lit('"], {\\\n'), F.when(
+        F.col("c_acctbal") > 5000, F.col("c_mktsegment")).otherwise(F.col("c_name"))).alias("content"))
+    arrays = I.table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 1000).alias("part")).agg(
+        F.to_json(F.collect_list(item)).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    read = files.json_documents(spark, path, extensions=("txt",), in_splits=True)
+    return read.select(F.replace("raw_text", F.lit('"], {\\\n'), F.lit("")).alias("raw_text"), "doc_title")
+
+
 @query("csv_source", """SELECT 'c_custkey: ' || c_custkey || ' | name: ' || c_name || chr(10) || 'x | c_mktsegment: ' || c_mktsegment || ' | name: ' || c_name AS raw_text,
   c_name AS doc_title, true AS with_file FROM customer""")
 def csv_source(spark, sf_dir):
     """Customers written as CSV files and read back; a cell has a line break, and the header names a column twice."""
     path = work_dir(spark, "csv")
+    _customer_csv(spark, sf_dir, path)
+    return files.csv_documents(spark, path, multi_line=True, extensions=("txt",)).select(
+        "raw_text", "doc_title", F.col("doc_id").rlike(r"^CSV_part=\d+/.*_\d+$").alias("with_file"))
+
+
+def _customer_csv(spark, sf_dir, path):
     text = F.concat(F.lit('c_custkey,name,c_mktsegment,empty,name\n'), F.array_join(F.collect_list(F.concat(
         "c_custkey", F.lit(',"'), "c_name", F.lit('\nx",'), "c_mktsegment", F.lit(',,'), "c_name")), "\n"))
     parts = I.table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(text.alias("value"))
     parts.repartition("part").write.partitionBy("part").text(path)
-    return files.csv_documents(spark, path, multi_line=True, extensions=("txt",)).select(
+
+
+@query("csv_source_split", CHECKS["csv_source"])
+def csv_source_split(spark, sf_dir):
+    """The same files, read in splits."""
+    path = work_dir(spark, "csv")
+    _customer_csv(spark, sf_dir, path)
+    return files.csv_documents(spark, path, extensions=("txt",), in_splits=True).select(
         "raw_text", "doc_title", F.col("doc_id").rlike(r"^CSV_part=\d+/.*_\d+$").alias("with_file"))
 
 

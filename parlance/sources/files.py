@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.text import non_empty
 from ..schemas import RAW_DOCUMENT
+from . import splits
 
 TEXT_TYPES = ("txt", "md", "markdown")
 
@@ -35,9 +36,14 @@ def _read_text(spark: SparkSession, path: str, extensions: tuple[str, ...] | Non
     lines = reader.text(path, wholetext=whole).select(
         "value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block")).withColumn("below", _below(F.col("path"), path))
+    return matching(lines, pattern)
+
+
+def matching(files: DataFrame, pattern: str | None) -> DataFrame:
+    """The rows whose file name matches a pattern."""
     if pattern and pattern not in ("*", "*.*"):
-        lines = lines.filter(F.col("name").rlike(fnmatch.translate(pattern)))
-    return lines
+        files = files.filter(F.col("name").rlike(fnmatch.translate(pattern)))
+    return files
 
 
 def _decodable(value: Column) -> Column:
@@ -55,11 +61,12 @@ def text_documents(spark: SparkSession, path: str, pattern: str | None = None) -
 
 
 def json_documents(spark: SparkSession, path: str, pattern: str | None = None,
-                   extensions: tuple[str, ...] = ("json",)) -> DataFrame:
+                   extensions: tuple[str, ...] = ("json",), in_splits: bool = False) -> DataFrame:
     """A JSON array gives one document per element, an object gives one document.
 
     The text is ``content``, else ``text`` (array elements only), else the JSON itself in compact
-    form. Files that are neither give no rows.
+    form. Files that are neither give no rows. With ``in_splits`` an array is read by as many tasks as its file has
+    splits; without, by one. A file of one object is one task either way.
     """
     files = _read_text(spark, path, extensions, pattern, True)
     items = F.from_json("value", "array<string>")
@@ -67,8 +74,11 @@ def json_documents(spark: SparkSession, path: str, pattern: str | None = None,
     def field(json: Column, name: str) -> Column:
         return non_empty(F.get_json_object(json, f"$.{name}"))
 
-    elements = files.filter(F.ltrim(F.col("value")).startswith("[")).select(
-        "name", "below", F.posexplode(items).alias("i", "item")).select(
+    if in_splits:
+        found = splits.json_array_items(spark, path, pattern, extensions)
+    else:
+        found = files.filter(F.ltrim(F.col("value")).startswith("[")).select("name", "below", F.posexplode(items).alias("i", "item"))
+    elements = found.select(
         F.concat("below", F.lit("_"), F.col("i")).alias("doc_id"),
         F.coalesce(field(F.col("item"), "title"), F.concat("name", F.lit(" #"), F.col("i") + 1)).alias("doc_title"),
         F.concat(F.lit("json://"), "below", F.lit("#"), F.col("i")).alias("source_uri"),
@@ -83,15 +93,18 @@ def json_documents(spark: SparkSession, path: str, pattern: str | None = None,
 
 
 def csv_documents(spark: SparkSession, path: str, pattern: str | None = None, multi_line: bool = False,
-                  extensions: tuple[str, ...] = ("csv",)) -> DataFrame:
+                  extensions: tuple[str, ...] = ("csv",), in_splits: bool = False) -> DataFrame:
     """One document per CSV row: ``column: value | column: value`` over the non-empty cells.
 
     Every file may have its own header; where it names a column twice both cells are in the text, and the last counts
     as title. Files are read in splits; a row's number within its file is its place in its split plus the rows of the
     splits before. A quoted cell may hold line breaks only with ``multi_line``, which reads each file as a whole in
-    one task; without it such a cell is an error, because the file cannot be split.
+    one task, or with ``in_splits``, which puts the records of a file together over its splits; without both such a cell is an
+    error.
     """
-    if multi_line:
+    if in_splits:
+        lines = splits.csv_records(spark, path, pattern, extensions)
+    elif multi_line:
         files = _read_text(spark, path, extensions, pattern, True)
         records = F.regexp_extract_all("value", F.lit(_RECORD), 1)
         lines = files.select("name", "path", "below", "block", F.posexplode(records).alias("line", "value"))
@@ -105,13 +118,13 @@ def csv_documents(spark: SparkSession, path: str, pattern: str | None = None, mu
     in_split = W.partitionBy("path", "block").orderBy("line")
     numbered = lines.withColumn("in_split", F.row_number().over(in_split))
     # One row per split, and one header per file.
-    splits = numbered.groupBy("path", "block").agg(F.max("in_split").alias("rows")).withColumn(
+    blocks = numbered.groupBy("path", "block").agg(F.max("in_split").alias("rows")).withColumn(
         "before", F.coalesce(F.sum("rows").over(
             W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     headers = numbered.groupBy("path").agg(
         F.min_by(_csv_cells(F.col("value")), F.struct("block", "in_split")).alias("header"))
     # Joined by split, so that a file with much of the data is not one join key.
-    rows = (numbered.join(splits.join(headers, "path").select("path", "block", "before", "header"), ["path", "block"])
+    rows = (numbered.join(blocks.join(headers, "path").select("path", "block", "before", "header"), ["path", "block"])
             .withColumn("i", F.col("before") + F.col("in_split") - 2).filter(F.col("i") >= 0))
     filled = F.slice(F.concat(_csv_cells(F.col("value")), F.transform("header", lambda _: F.lit(""))), F.lit(1), F.size("header"))
     rows = rows.withColumn("cells", F.arrays_zip(F.col("header").alias("key"), filled.alias("value")))
