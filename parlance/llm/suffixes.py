@@ -30,6 +30,7 @@ from .common import _TABLE, mix, plain, settle, slices, sliding_least, staged, v
 LENGTH, GRAM = 100, 32
 RUN = 100_000
 ENTRIES = 100_000
+SAMPLED = 16
 WIDE = 1_000_000
 SLICE = 1 << 18
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -311,23 +312,43 @@ def _kept_places(part: pa.RecordBatch, column: str):
 
 
 def _leading(right: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(right[:, :8]).view(">u8").ravel().astype(np.float64)
+    """The anchors themselves, as comparable values: a range may be cut between any two of them, and not inside one."""
+    return np.ascontiguousarray(right[:, :GRAM]).view(f"S{GRAM}").ravel()
 
 
-def _sorted_runs(docs: DataFrame, splitters: list[float]) -> DataFrame:
-    """Rows (p, blob) with runs, and with p null rows (_key, lo, hi) already known."""
-    cuts = np.array(splitters)
+def united(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of starts, with those of one key that touch or overlap put together: a copied text is one range, not one for each anchor."""
+    order = np.lexsort((lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
+    if not len(key):
+        return key, lo, hi
+    # Ends run on within a key, so they are compared as offsets from a base that grows with every key.
+    turn = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    base = turn * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + base)
+    new = np.concatenate([[True], lo[1:] + base[1:] > reach[:-1] + 1]) | np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(key)) - 1
+    return key[first], lo[first], reach[last] - base[last]
+
+
+_RUN = "p int, blob binary, keys array<long>, los array<long>, his array<long>"
+
+
+def _sorted_runs(docs: DataFrame, splitters: list[bytes]) -> DataFrame:
+    """Rows (p, blob, keys, los, his): a partition's share of a run, and ranges of starts already known, dealt over the shares."""
+    cuts = np.array(splitters, f"S{GRAM}")
 
     def cut(entries: list[Entries]) -> Iterator[pa.RecordBatch]:
         whole, key, lo, hi = collapse(Entries.concat(entries))
+        key, lo, hi = united(key, lo, hi)
         target = np.searchsorted(cuts, _leading(whole.right), "right")
         at = np.searchsorted(target, np.arange(len(cuts) + 2))
         made = [(p, encode_run(whole.take(slice(at[p], at[p + 1])))) for p in range(len(cuts) + 1) if at[p + 1] > at[p]]
-        none = len(made)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([p for p, _ in made] + [None] * len(key), pa.int32()), pa.array([b for _, b in made] + [None] * len(key), pa.binary()),
-            pa.array([None] * none + key.tolist(), pa.int64()), pa.array([None] * none + lo.tolist(), pa.int64()),
-            pa.array([None] * none + hi.tolist(), pa.int64())], ["p", "blob", "_key", "lo", "hi"])
+        ends = pa.array(np.linspace(0, len(key), len(made) + 1).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary()),
+             *[pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (key, lo, hi)]], ["p", "blob", "keys", "los", "his"])
 
     def run(batches):
         held, size = [], 0
@@ -344,7 +365,7 @@ def _sorted_runs(docs: DataFrame, splitters: list[float]) -> DataFrame:
         if held:
             yield from cut(held)
 
-    return docs.mapInArrow(run, "p int, blob binary, _key long, lo long, hi long")
+    return docs.mapInArrow(run, _RUN)
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -352,7 +373,8 @@ def _merged(table: pa.Table) -> pa.Table:
     which, row, lcp = merge([(e.right, shared) for e, shared in runs])
     firsts = np.cumsum([0] + [len(e) for e, _ in runs])[:-1]
     whole = Entries.concat([e for e, _ in runs]).take(firsts[which] + row)
-    key, lo, hi = repeats_in(whole, lcp)
+    known = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "los", "his")]
+    key, lo, hi = united(*(np.concatenate(both) for both in zip(repeats_in(whole, lcp), known)))
     return pa.table({"_key": pa.array(key, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
 
@@ -383,34 +405,38 @@ def repeated_starts(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     kept = anchors.repeated_counted(_anchors(rows), wide)
     numbers = kept.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("gs")).alias("n"), F.sum(F.size("wide")).alias("w")).first()
     with_text = rows.join(kept.hint("shuffle_hash"), "_key")
-    # Splitters from the texts that a hash of the key picks; the relative error of the quantiles is 1 in 1 000.
     parts = max(1, -(-(numbers["n"] or 0) // entries))
-    splitters: list[float] = []
-    if parts > 1:
-        share = min(1.0, 2000 / numbers["texts"])
-        some = F.pmod(F.xxhash64(F.lit("split"), "_key"), F.lit(1 << 32)) < int(share * (1 << 32))
-        splitters = sorted(set(_leads(with_text.filter(some)).approxQuantile("x", [i / parts for i in range(1, parts)], 0.001)))
-    runs = staged(_sorted_runs(with_text.filter("size(gs) > 0"), splitters), "runs")
-    settle()
-    merged = runs.filter("p IS NOT NULL").select("p", "blob").groupBy("p").applyInArrow(_merged, "_key long, lo long, hi long")
-    found = merged.unionByName(runs.filter("p IS NULL").select("_key", "lo", "hi"))
+    splitters = _splitters(with_text, numbers["texts"], numbers["n"], parts) if parts > 1 else []
+    runs = _sorted_runs(with_text.filter("size(gs) > 0"), splitters)
+    found = runs.groupBy("p").applyInArrow(_merged, "_key long, lo long, hi long")
     if numbers["w"]:
         found = found.unionByName(_wide_strings(with_text.filter("size(wide) > 0")))
     # One text's starts make one row.
     out = staged(found.groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
-    settle(runs, kept)
+    settle(kept)
     return out.withColumnRenamed("_key", key)
 
 
-def _leads(docs: DataFrame) -> DataFrame:
+def _splitters(with_text: DataFrame, texts: int, n: int, parts: int) -> list[bytes]:
+    """Anchors that cut all suffixes into ``parts`` ranges, from about ``SAMPLED`` for each range: 32 bytes each, of texts and
+    places picked by a hash. They shape the partitions and not the result."""
+    share = min(1.0, max(2000, 4 * parts) / texts)
+    rate = min(1.0, SAMPLED * parts / (n * share))
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_t", SLICE):
                 data, offsets, text, at = _kept_places(part, "gs")
-                made = entries_at(data, offsets, text, at, np.zeros(part.num_rows, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(_leading(made.right))], ["x"])
-
-    return docs.mapInArrow(run, "x double")
+                keys = part.column("_key").to_numpy()
+                draw = mix(keys[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at - offsets[text]).astype(np.uint64))
+                picked = (draw >> np.uint64(11)).astype(np.float64) < rate * (1 << 53)
+                made = entries_at(data, offsets, text[picked], at[picked], keys)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in made.right[:, :GRAM]], pa.binary())], ["x"])
+
+    some = F.pmod(F.xxhash64(F.lit("split"), "_key"), F.lit(1 << 32)) < int(share * (1 << 32))
+    found = np.sort(np.array(with_text.filter(some).mapInArrow(run, "x binary").toArrow().column("x").to_pylist(), f"S{GRAM}"))
+    at = np.arange(1, parts) * len(found) // parts
+    return np.unique(found[at]).tolist() if len(found) else []
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, **settings) -> DataFrame:

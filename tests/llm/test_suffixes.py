@@ -100,3 +100,27 @@ def test_every_string_holds_an_anchor():
     for a, b in zip(offsets, offsets[1:]):
         for s in range(a, b - LENGTH + 1):
             assert ((at >= s) & (at + suffixes.GRAM <= s + LENGTH)).any()
+
+
+def test_ranges_of_starts_are_united():
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 40):
+        key, lo = rnd.integers(0, 4, n), rnd.integers(0, 60, n)
+        hi = lo + rnd.integers(0, 9, n)
+        places = {(k, x) for k, a, b in zip(key, lo, hi) for x in range(a, b + 1)}
+        made = list(zip(*suffixes.united(key, lo, hi)))
+        listed = [(k, x) for k, a, b in made for x in range(a, b + 1)]
+        assert len(listed) == len(set(listed)) and set(listed) == places
+        assert not any((k, b + 1) in places for k, _, b in made)
+
+
+def test_ranges_are_cut_behind_a_frequent_beginning(spark):
+    """Suffixes that all begin with the same 16 bytes are dealt over several partitions."""
+    rnd = random.Random(3)
+    tails = ["".join(rnd.choice("abcdefgh") for _ in range(90)) for _ in range(60)]
+    rows = [(i, (" " * 16 + tails[i % 60]) * 2) for i in range(150)]
+    assert got(spark, rows, entries=50) == restated(rows)
+    df = spark.createDataFrame(rows, "_key long, _t string")
+    gs = suffixes.anchors.repeated_counted(suffixes._anchors(df), suffixes.WIDE)
+    cuts = suffixes._splitters(df.join(gs, "_key"), 150, 10_000, 40)
+    assert len({c[:8] for c in cuts}) < len(cuts)
