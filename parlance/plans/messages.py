@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import crm, inbox
 from ..session import work_dir
 from ..sources import vector_table, webhooks
-from ..streaming import jobs, working
+from ..streaming import crm_changes, jobs, seen, working
 from . import inputs as I, pipelines
 from .conversations import _CUSTOMER_COLUMNS, _LIFECYCLE_SQL, _SESSIONS_SQL, _session_rows, customer_rows
 from .registry import query
@@ -241,16 +241,20 @@ def _as_files(spark, df, label, files=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _in_steps(df, time, path, start, steps=3):
+    """The rows arrive under ``path`` in steps of their time; the stream that ``start`` makes runs after each from where it stopped."""
+    ends = df.agg(F.min(F.unix_micros(time)).alias("lo"), F.max(F.unix_micros(time)).alias("hi")).first()
+    step = F.floor((F.unix_micros(time) - ends["lo"]) * steps / (ends["hi"] - ends["lo"] + 1))
+    for i in range(steps):
+        df.filter(step == i).write.mode("append").parquet(path)
+        start(df.sparkSession.readStream.schema(df.schema).parquet(path)).awaitTermination()
+
+
 def _drained_in_steps(spark, df, stream, label, steps=3):
-    """The rows arrive in steps of time ``ts``; the stream runs after each from where it stopped. All that it gave."""
+    """All that a stream gives of rows that arrive in steps of ``ts``."""
     base = work_dir(spark, label)
-    ends = df.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
-    step = F.floor((F.unix_micros("ts") - ends["lo"]) * steps / (ends["hi"] - ends["lo"] + 1))
-    for i in range(steps):
-        df.filter(step == i).write.mode("append").parquet(f"{base}/in")
-        made = stream(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
-        jobs.append_to(made, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(made.schema).parquet(f"{base}/out")
+    _in_steps(df, "ts", f"{base}/in", lambda arrived: jobs.append_to(stream(arrived), f"{base}/out", f"{base}/checkpoint"), steps)
+    return spark.read.schema(stream(spark.readStream.schema(df.schema).parquet(f"{base}/in")).schema).parquet(f"{base}/out")
 
 
 def _drained(spark, df, label):
@@ -319,6 +323,15 @@ def stream_dedup(spark, sf_dir):
     return _drained(spark, kept, "dedup").select(F.coalesce("mid", "message_id").alias("id"))
 
 
+@query("stream_dedup_seen", f"WITH {I.SQL_MESSAGES}, {_DEDUP_SQL} SELECT message_id, mid FROM dedup")
+def stream_dedup_seen(spark, sf_dir):
+    """Messages that arrive in several batches, in order of time; ids are remembered for good, without a watermark."""
+    base = work_dir(spark, "dedup-seen")
+    messages = I.event_messages(spark, sf_dir)
+    _in_steps(messages, "received_at", f"{base}/in", lambda arrived: seen.dedup_into(arrived, f"{base}/out", f"{base}/checkpoint"))
+    return seen.read_messages(spark, f"{base}/out").select("message_id", "mid")
+
+
 @query("stream_anchored_batches", f"""{_ANCHORED}
 SELECT sender_id, anchor AS window_start, flattened_message, ids, message_count FROM batches
 WHERE anchor + 3600000000 <= (SELECT epoch_ms(max(ts)) - 60000 FROM events) * 1000""")
@@ -355,6 +368,18 @@ def stream_crm(spark, sf_dir):
     return customer_rows(jobs.read_customers(spark, f"{base}/out"))
 
 
+@query("stream_crm_stats", f"""WITH {I.SQL_CUSTOMERS}
+SELECT 'total' AS kind, NULL AS value, count(*) AS customers FROM customers
+UNION ALL SELECT 'stage', stage, count(*) FROM customers GROUP BY 2
+UNION ALL SELECT 'size', preferred_size, count(*) FROM customers WHERE preferred_size IS NOT NULL GROUP BY 2""")
+def stream_crm_stats(spark, sf_dir):
+    """Customer statistics as sums of signed changes, from batches that are not in the order of time."""
+    base = work_dir(spark, "crm-stats")
+    events = _as_files(spark, I.profile_events(spark, sf_dir), "crm-stats-events")
+    crm_changes.stats_into(events, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return crm_changes.read_stats(spark, f"{base}/out")
+
+
 @query("stream_inbox", f"""WITH {_FLAT_SQL}
 SELECT sender_id, message_text, mid, platform, audio_url, 'pending' AS status FROM flat""")
 def stream_inbox(spark, sf_dir):
