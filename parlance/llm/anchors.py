@@ -22,7 +22,6 @@ def repeated(found: DataFrame) -> DataFrame:
     rows = found.select("_key", F.explode("gs").alias("g"))
     again = rows.groupBy("g").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).filter("lo < hi")
     again = staged(again.select("g"), "anchors-again")
-    settle()
     distinct = found.select("_key", F.explode(F.array_distinct("gs")).alias("g"))
     out = staged(distinct.join(again, "g", "left_semi").groupBy("_key").agg(F.collect_set("g").alias("gs")), "anchors-kept")
     settle(found, again)
@@ -34,7 +33,6 @@ def repeated_counted(found: DataFrame, wide: int) -> DataFrame:
     found = staged(found, "anchors")
     again = staged(found.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                    .select("g", (F.col("n") > wide).alias("hot")), "anchors-again")
-    settle()
     distinct = found.select("_key", F.explode(F.array_distinct("gs")).alias("g"))
     own = distinct.join(again, "g").groupBy("_key").agg(
         F.collect_list(F.when(~F.col("hot"), F.col("g"))).alias("gs"), F.collect_list(F.when(F.col("hot"), F.col("g"))).alias("wide"))

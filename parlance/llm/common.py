@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import posixpath
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside removes its shuffle files as soon as it has ended. A later step reads what was written, so
+    nothing needs them; a lost executor during the step finds them as ever."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: settled, and without its lineage."""
     path = work_dir(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -31,16 +50,14 @@ def boxed(docs: DataFrame, **more: Column) -> DataFrame:
 
 
 def settle(*done: DataFrame) -> None:
-    """Frees disk between steps: removes staged tables that nothing reads any more, and lets the driver drop
-    the shuffle files of steps whose results have been written."""
+    """Removes staged tables that nothing reads any more; only folders that ``staged`` made."""
     for df in done:
         spark = df.sparkSession
+        base = urlparse(work_dir(spark, "x").rsplit("/", 1)[0]).path
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/parlance/" in path:
+            if posixpath.dirname(urlparse(path).path) == base:
                 place = spark._jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    SparkSession.active()._jvm.System.gc()
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -198,11 +198,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     first = F.min(F.struct("_key", "start")).alias("first")
     sources = staged(found.groupBy("s1", "s2").agg(first, F.max("_key").alias("last"), F.max("g").alias("g"), F.max("edges").alias("edges"))
                      .select("s1", "s2", "g", "edges", F.col("first._key").alias("src"), F.col("first.start").alias("src_start"), "last"), "sources")
-    settle()
     branching = sources.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
     heads = sources.join(branching, "g", "left_semi").select(F.col("src").alias("_key"), F.col("src_start").alias("start"), "edges", "s1", "s2")
     edges = staged(_edges(rows, heads, window), "edges")
-    settle()
     origin = edges.groupBy("k1", "k2").agg(F.min(F.struct("_key", "start", "place")).alias("o"), F.max("_key").alias("hi")).filter("o._key < hi")
     earlier = edges.join(origin.select("k1", "k2", F.col("o._key").alias("src"), (F.col("o.start") + F.col("o.place")).alias("src_lo")), ["k1", "k2"])
     earlier = staged(earlier.filter("src < _key").select("s1", "s2", F.col("_key").alias("head"), "place", "src", "src_lo"), "edge-sources")
