@@ -266,6 +266,18 @@ def document_sync(spark, sf_dir):
     return vector_table.read_index(spark, path).select("chunk_id", "token_count")
 
 
+@query("snapshot_sync", CHECKS["document_sync"])
+def snapshot_sync(spark, sf_dir):
+    """The same change found by comparing digests of two whole snapshots; other documents are not embedded again."""
+    path, known = work_dir(spark, "snapshot-index"), work_dir(spark, "snapshot-digests")
+    docs = I.documents(spark, sf_dir)
+    pipelines.sync_snapshot(docs, path, known)
+    fewer = F.array_join(F.array_distinct(space_words(F.col("raw_text"))), " ")
+    pipelines.sync_snapshot(docs.withColumn(
+        "raw_text", F.when(F.col("source_uri") == "src7", fewer).otherwise(F.col("raw_text"))), path, known)
+    return vector_table.read_index(spark, path).select("chunk_id", "token_count")
+
+
 @query("user_turn_scan", f"""WITH {I.SQL_TURNS}
 SELECT turn_id, session_id, user_id, role, md5(content) AS content_md5 FROM turns WHERE role = 'user'""")
 def user_turn_scan(spark, sf_dir):
