@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 from .text import word_tokens
 
 DEFAULT_DIMENSIONS = 768
+SLICE_ROWS = 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -29,6 +30,31 @@ def _slot_and_sign(token: str, dim: int) -> tuple[int, int]:
     return int(digest[:8], 16) % dim, 1 if int(digest[8], 16) % 2 == 0 else -1
 
 
+def hashed_vectors(tokens: pa.Array, dim: int, known: dict[str, tuple[int, int]]) -> np.ndarray:
+    """One vector for each list of tokens, made for a few rows at a time, so that only the result grows with their number."""
+    out = np.empty((len(tokens), dim), np.float32)
+    for lo in range(0, len(tokens), SLICE_ROWS):
+        out[lo:lo + SLICE_ROWS] = _hashed(tokens.slice(lo, SLICE_ROWS), dim, known)
+    return out
+
+
+def _hashed(tokens: pa.Array, dim: int, known: dict[str, tuple[int, int]]) -> np.ndarray:
+    rows = len(tokens)
+    flat = tokens.flatten()
+    row_of = np.repeat(np.arange(rows), np.diff(tokens.offsets.to_numpy()))
+    encoded = flat.dictionary_encode()
+    if len(known) > 1 << 18:
+        known.clear()
+    pairs = [known.get(t) or known.setdefault(t, _slot_and_sign(t, dim)) for t in encoded.dictionary.to_pylist()]
+    out = np.zeros((rows, dim))
+    if pairs:
+        slot_sign = np.array(pairs)
+        codes = encoded.indices.to_numpy()
+        out = np.bincount(row_of * dim + slot_sign[codes, 0], slot_sign[codes, 1], rows * dim).reshape(rows, dim)
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norms, out=out, where=norms > 0)
+
+
 def hash_embedder(dim: int = DEFAULT_DIMENSIONS):
     """An embedder ``Column of text -> Column of array<float>``.
 
@@ -44,21 +70,7 @@ def hash_embedder(dim: int = DEFAULT_DIMENSIONS):
 
     @F.arrow_udf("array<float>")
     def embed(tokens: pa.Array) -> pa.Array:
-        rows = len(tokens)
-        flat = tokens.flatten()
-        row_of = np.repeat(np.arange(rows), np.diff(tokens.offsets.to_numpy()))
-        encoded = flat.dictionary_encode()
-        if len(known) > 1 << 18:
-            known.clear()
-        pairs = [known.get(t) or known.setdefault(t, _slot_and_sign(t, dim)) for t in encoded.dictionary.to_pylist()]
-        out = np.zeros((rows, dim))
-        if pairs:
-            slot_sign = np.array(pairs)
-            codes = encoded.indices.to_numpy()
-            out = np.bincount(row_of * dim + slot_sign[codes, 0], slot_sign[codes, 1], rows * dim).reshape(rows, dim)
-        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        np.divide(out, norms, out=out, where=norms > 0)
-        offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().astype(np.float32)))
+        offsets = np.arange(0, (len(tokens) + 1) * dim, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed_vectors(tokens, dim, known).reshape(-1)))
 
     return lambda text: embed(F.coalesce(word_tokens(text), F.array().cast("array<string>")))

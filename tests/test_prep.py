@@ -127,3 +127,22 @@ def test_cosine_edges(spark):
 def test_strip(spark):
     df = spark.createDataFrame([("  a b\x1c",)], "t string")
     assert df.select(strip(F.col("t"))).first()[0] == "a b"
+
+
+def test_embedding_a_large_batch_takes_little_beside_the_vectors():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from parlance.functions.vectors import hashed_vectors
+    words = np.array([f"w{i}" for i in range(50)])
+    lists = [words[np.arange(i, i + 100) % 50].tolist() for i in range(4000)]
+    tokens = pa.array(lists)
+    tracemalloc.start()
+    made = hashed_vectors(tokens, 64, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * made.nbytes
+    some = [0, 255, 256, 257, 3999]
+    assert np.array_equal(made[some], np.concatenate([hashed_vectors(pa.array([lists[i]]), 64, {}) for i in some]))
