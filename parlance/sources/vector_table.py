@@ -10,6 +10,8 @@ force, and no writer touches a folder that exists.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..schemas import VECTOR_POINT
@@ -119,14 +121,19 @@ def _checked(points: DataFrame, dimensions: int | None) -> DataFrame:
     return points.withColumn("embedding", vector)
 
 
-def upsert_points(points: DataFrame, path: str) -> int:
+def _points(chunks: DataFrame, to_points: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    return (to_points(chunks) if to_points else chunks).withColumn(_DELETED, F.lit(False))
+
+
+def upsert_points(points: DataFrame, path: str, to_points: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Adds points and replaces those with the same id; creates the index if missing. Returns the
     number of points written.
 
-    Within one batch the last chunk by (doc_id, chunk_index, content) of an id wins.
+    Within one batch the last chunk by (doc_id, chunk_index, content) of an id wins. With ``to_points`` the rows are
+    chunks with a point id, and it makes points of those that win: vectors, often many times a chunk's bytes, are neither sorted nor shuffled.
     """
     latest = _last_by_id(points, ["doc_id", "chunk_index", "content"])
-    return _change(latest.withColumn(_DELETED, F.lit(False)), path)
+    return _change(_points(latest, to_points), path)
 
 
 def _tombstones(ids: DataFrame) -> DataFrame:
@@ -139,9 +146,10 @@ def delete_points(spark: SparkSession, path: str, ids: DataFrame) -> int:
     return _change(_tombstones(ids.select("point_id").distinct()), path)
 
 
-def replace_documents(points: DataFrame, doc_ids: DataFrame, path: str) -> int:
-    """Upserts the points of the listed documents and drops what else these documents had."""
-    latest = _last_by_id(points, ["chunk_index", "content"]).withColumn(_DELETED, F.lit(False))
+def replace_documents(points: DataFrame, doc_ids: DataFrame, path: str,
+                      to_points: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Upserts the points of the listed documents and drops what else these documents had. ``to_points`` is as for ``upsert_points``."""
+    latest = _points(_last_by_id(points, ["chunk_index", "content"]), to_points)
     before = read_index(points.sparkSession, path).select("point_id", "doc_id").join(
         doc_ids.select("doc_id"), "doc_id", "left_semi")
     gone = before.join(points.select("point_id"), "point_id", "left_anti")

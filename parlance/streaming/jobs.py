@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import lexicons as L
 from ..operators import crm, inbox, memory, signals
-from ..operators.prep import documents_to_points
+from ..operators.prep import chunk_documents, embedded_points, with_point_id
 from ..sources import vector_table, webhooks
 
 
@@ -190,7 +190,7 @@ def index_documents_into(docs: DataFrame, path: str, checkpoint: str, available_
     """Chunks and embeds every micro-batch of documents into the index under ``path``; a document that comes again
     replaces all chunks that it had."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        vector_table.replace_documents(documents_to_points(batch), batch, path)
+        vector_table.replace_documents(with_point_id(chunk_documents(batch)), batch, path, embedded_points())
 
     writer = docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

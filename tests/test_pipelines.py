@@ -103,3 +103,21 @@ def test_consolidation_run(spark):
 def test_ingest_has_no_shuffle(spark):
     plan = prep.documents_to_points(docs(spark, a="x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_only_facts_that_win_are_embedded(spark, tmp_path):
+    # Before, every row got its vector first, and all vectors were shuffled and sorted.
+    from parlance.plans import pipelines
+    from parlance.sources import vector_table
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def counted(text):
+        seen.add(1)
+        return [float(len(text)), 1.0]
+
+    facts = spark.createDataFrame([(f"d{i % 5}", "T", f"text {i:03d}") for i in range(100)], "doc_id string, title string, content string")
+    pipelines.add_facts(facts, str(tmp_path / "i"), counted)
+    assert seen.value == 5
+    got = {(r.doc_id, r.content) for r in vector_table.read_index(spark, str(tmp_path / "i")).collect()}
+    assert got == {(f"d{i % 5}", f"T: text {i:03d}") for i in range(95, 100)}
