@@ -3,7 +3,7 @@
 A window over ``partitionBy(key)`` puts a whole key into one task. So the rows per key are counted
 first (a map-side combined count over the key column alone). Mostly no key has more than
 ``max_rows`` rows, and plain windows follow. Otherwise the rows of such keys are range-partitioned
-by key and order, every range is a slot, and the rows are written once with their slot number.
+by key and order, every run of ``max_rows`` rows of a range is a slot, and the rows are written once with their slot number.
 Windows then run per (key, slot), and a small table with one row per key and slot carries the state
 from slot to slot.
 """
@@ -20,6 +20,7 @@ from ..session import work_dir
 
 MAX_ROWS = 2_000_000
 MAX_SHIPPED = 100_000
+MAX_RANGES = 200
 SLOT = "_slot"
 
 
@@ -58,10 +59,13 @@ def keyed(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_
     hot = spark.createDataFrame(found, counts.schema).drop("_n")
     # Shipped while there are few; beyond that the planner shuffles both sides.
     hot = F.broadcast(hot) if len(found) <= MAX_SHIPPED else hot
-    slots = -(-sum(r["_n"] for r in found) // max_rows)
-    # Ranges follow the data, so they are even whatever the keys and times look like.
-    ranged = (joined(df, hot, keys, "left_semi").repartitionByRange(slots, *keys, *order)
-              .withColumn(SLOT, F.spark_partition_id().cast("long")))
+    rows = sum(r["_n"] for r in found)
+    # Ranges follow the data, so they are even whatever the keys and times look like. A sorted range is cut by row number, so
+    # short slots do not need a task each.
+    ranges = min(-(-rows // max_rows), max(MAX_RANGES, -(-rows // MAX_ROWS)))
+    ranged = (joined(df, hot, keys, "left_semi").repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
+              .withColumn(SLOT, F.monotonically_increasing_id())  # the range's number above the row's number in it
+              .withColumn(SLOT, F.col(SLOT) - _row_in_range() + F.floor(_row_in_range() / max_rows)))
     rest = joined(df, hot, keys, "left_anti").withColumn(SLOT, F.lit(-1).cast("long"))
     # Written once: the slot numbers are settled by that, whatever is run again later.
     path = work_dir(spark, "slots")
@@ -69,6 +73,10 @@ def keyed(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_
     return Keyed(spark.read.parquet(path), keys, True)
 
 
+def _row_in_range() -> Column:
+    return F.pmod(F.col(SLOT), F.lit(1 << 33))
+
+
 def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
     """A join on keys that may be null; null equals null."""
     renamed = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})

@@ -154,3 +154,14 @@ def test_telemetry_of_payloads(spark):
     got = [(r.object, r.status, r.text) for r in webhooks.telemetry_entries(df).orderBy("i").collect()]
     assert got == [("page", "QUEUED_FOR_SPARK", "b"), ("page", "RECEIVED", None), ("other", "RECEIVED", None),
                    ("unknown", "RECEIVED", None)]
+
+
+def test_short_slots_share_tasks(spark):
+    # Before, every slot was a range with a task of its own.
+    from parlance.functions import ordered
+    rows = spark.range(40_000).select(F.lit("s").alias("key"), F.col("id").alias("at"))
+    split = ordered.keyed(rows, ["key"], ["at"], 20)
+    slots = split.df.groupBy(ordered.SLOT).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy(ordered.SLOT).collect()
+    assert max(r["n"] for r in slots) <= 20 and sum(r["n"] for r in slots) == 40_000
+    assert all(a["hi"] < b["lo"] for a, b in zip(slots, slots[1:]))
+    assert len(split.df.inputFiles()) <= ordered.MAX_RANGES
