@@ -82,8 +82,11 @@ def inbound_repeated(spark, sf_dir):
 def stream_inbound_repeated(spark, sf_dir):
     """The same from payload files, several micro-batches, every file with one time."""
     path = work_dir(spark, "repeated")
-    _repeated_payloads(spark, sf_dir).select(F.col("body").alias("value")).repartition(3).write.text(path)
-    return _counted(_drained(spark, jobs.inbox_stream(webhooks.read_webhook_stream(spark, path, 1)), "repeated-inbox"))
+    payloads = _repeated_payloads(spark, sf_dir).select(F.col("body").alias("value"))
+    # A file is read as a whole, so files stay at a few megabytes however many payloads there are.
+    payloads.repartition(3 * spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", PAYLOADS_A_FILE).text(path)
+    some = _third(spark.read.text(path))
+    return _counted(_drained(spark, jobs.inbox_stream(webhooks.read_webhook_stream(spark, path, some)), "repeated-inbox"))
 
 
 @query("stream_inbound", f"""WITH {_FLAT_SQL}
@@ -234,11 +237,20 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(I.EVENTS).parquet(f"{sf_dir}/events*.parquet")
 
 
-def _as_files(spark, df, label, files=3):
-    """The rows as a stream of a few files in no order of time, one file in each micro-batch."""
+PAYLOADS_A_FILE = 20_000
+
+
+def _third(files):
+    """How many of a table's files are a third of them."""
+    return max(1, -(-len(files.inputFiles()) // 3))
+
+
+def _as_files(spark, df, label):
+    """The rows as a stream of files in no order of time, a third of them in each micro-batch. All cores write and read."""
     path = work_dir(spark, label)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.repartition(3 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    some = _third(spark.read.schema(df.schema).parquet(path))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", some).parquet(path)
 
 
 def _in_steps(df, time, path, start, steps=3):

@@ -135,3 +135,14 @@ def test_lifecycle_forgets_after_the_retention(spark, tmp_path):
     got = drain(spark, jobs.lifecycle_stream(stream, retention_seconds=100_000), tmp_path, "out").collect()
     assert {r.turn_id: r.lifecycle_state for r in got} == {
         "t0": "first_contact", "t300000": "first_contact", "t200000": "first_contact", "t310000": "first_contact"}
+
+
+def test_stream_inputs_are_files_for_all_cores(spark):
+    # Before, three tasks wrote all rows, and a third of them was one file.
+    from parlance.plans import messages
+    rows = spark.range(600).withColumn("ts", F.timestamp_seconds("id"))
+    stream = messages._as_files(spark, rows, "as-files")
+    path = stream._jdf.queryExecution().toString().split("FileSource[")[1].split("]")[0]
+    assert len(spark.read.parquet(path).inputFiles()) == 3 * spark.sparkContext.defaultParallelism
+    assert messages._third(spark.read.parquet(path)) == spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(path).count() == 600
