@@ -26,6 +26,7 @@ SPACE = "▁"
 BYTE_KIND, NORMAL_KIND = 6, 1
 NONE = np.int32(2**31 - 1)
 LONGEST_ROW = 64
+MOST_BYTES = 1 << 18  # of text at a time; the arrays beside it take about eighty times that
 
 
 @dataclass(frozen=True)
@@ -303,7 +304,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, dropout: float = 0.1, seed: int =
     def run(batches):
         encoder = Encoder(vocab, dropout, seed)
         for batch in batches:
-            for part in slices(batch, "_t"):
+            for part in slices(batch, "_t", MOST_BYTES):
                 data, offsets = view(plain(part, "_t"))
                 pieces, counts = encoder.encode(data, offsets, part.column("_v").to_numpy())
                 back, at = encoder.decode(pieces, counts)

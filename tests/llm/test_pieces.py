@@ -113,3 +113,18 @@ def test_every_occurrence_has_its_own_draw(spark, vocab):
     plain = tuple(encoded(vocab, [word], 0.0)[0])
     seen = [tuple(np.frombuffer(r["pieces"], "<u2").tolist()) for r in rows]
     assert max(set(seen), key=seen.count) == plain
+
+
+def test_arrays_of_a_slice_stay_small():
+    import tracemalloc
+
+    from parlance.llm.common import slices
+    encoder = pieces.Encoder(pieces.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model"), 0.1, 1)
+    batch = pa.RecordBatch.from_pydict({"_t": [" some words that are cut here" * 40] * 1000})
+    part = next(slices(batch, "_t", pieces.MOST_BYTES))
+    data, offsets = view(part.column("_t"))
+    tracemalloc.start()
+    encoder.encode(data, offsets, np.arange(part.num_rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
