@@ -8,7 +8,7 @@ end; a hash of the seed, the document's key, the chunk, its number in the text a
 skipped, so every occurrence of a word has its own draw, and the same seed always gives the same segmentation. Characters outside
 the vocabulary become byte pieces, so decoding restores every text exactly.
 
-The rounds of the agenda run for all distinct chunks of a slice of texts at once.
+The rounds of the agenda run for all chunks of a slice of texts at once.
 """
 
 from __future__ import annotations
@@ -45,12 +45,40 @@ class Vocabulary:
     def __post_init__(self):
         if len(self.pieces) > 1 << 16:
             raise ValueError("more pieces than two bytes can number")
+        # The pairs by a hash of theirs, each in the first free slot from there on; a free slot holds -1.
+        bits = max(4, (4 * len(self.pair_keys)).bit_length())
+        slots, numbers = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        object.__setattr__(self, "slots", slots)
+        object.__setattr__(self, "numbers", numbers)
+        left, at = np.arange(len(self.pair_keys)), self._slot(self.pair_keys)
+        while len(left):
+            free = np.flatnonzero(slots[at] < 0)
+            slots[at[free]] = self.pair_keys[left[free]]
+            put = slots[at] == self.pair_keys[left]
+            numbers[at[put]] = self.pair_ids[left[put]]
+            left, at = left[~put], (at[~put] + 1) & (len(slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece made of two pieces, or -1."""
-        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ids[at], np.int32(-1))
+        """The piece made of two pieces, or -1; a negative number is no piece."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self._slot(keys)
+        found = self.slots[at]
+        out = np.where(found == keys, self.numbers[at], np.int32(-1))
+        # Slots that hold another pair: the next ones may hold this one.
+        over = np.flatnonzero((found >= 0) & (found != keys))
+        at = at[over]
+        while len(over):
+            at = (at + 1) & (len(self.slots) - 1)
+            found = self.slots[at]
+            here = found == keys[over]
+            out[over[here]] = self.numbers[at[here]]
+            on = (found >= 0) & ~here
+            over, at = over[on], at[on]
+        return out
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -123,54 +151,50 @@ def _agenda(vocab: Vocabulary, symbols: list[int], chunk: np.uint64, dropout: fl
 
 
 def _rounds(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, chunks: np.ndarray, dropout: float):
-    """All chunks of one width at once: in each round every chunk merges its best pair. Gives the
-    pieces (-2 past the end) row by row."""
-    out = np.full(symbols.shape, -2, np.int32)
-    rows = np.arange(len(symbols))
-    width = symbols.shape[1]
-    place = np.minimum(np.arange(width + 1)[None, :], lengths[:, None]).astype(np.int32)
-    ids, chunk = symbols, chunks
-
-    def offered(left, right, keys, p0, p1, p2):
-        made = vocab.merged(left, right)
-        rank = np.where(made >= 0, vocab.ranks[made], NONE)
-        live = np.flatnonzero(made.ravel() >= 0)
-        if len(live):
-            flat = rank.ravel()
-            gone = _skipped(keys.ravel()[live], p0.ravel()[live], p1.ravel()[live], p2.ravel()[live], dropout)
-            flat[live[gone]] = NONE
-            rank = flat.reshape(rank.shape)
-        return made, rank
-
-    keys = np.broadcast_to(chunk[:, None], (len(chunk), width - 1))
-    made, rank = offered(ids[:, :-1], ids[:, 1:], keys, place[:, :-2], place[:, 1:-1], place[:, 2:])
-    while True:
-        best = rank.argmin(1) if rank.shape[1] else np.zeros(len(ids), int)
-        line = np.arange(len(ids))
-        going = rank[line, best] != NONE if rank.shape[1] else np.zeros(len(ids), bool)
-        out[rows[~going], :ids.shape[1]] = ids[~going]
-        if not going.any():
-            return out
-        rows, chunk, best = rows[going], chunk[going], best[going]
-        ids, place, made, rank = ids[going], place[going], made[going], rank[going]
-        line = np.arange(len(ids))
-        joined = made[line, best]
-        width = ids.shape[1] - 1
-        keep = np.arange(width)[None, :]
-        ids = np.take_along_axis(ids, keep + (keep > best[:, None]), 1)
-        ids[line, best] = joined
-        keep = np.arange(width + 1)[None, :]
-        place = np.take_along_axis(place, keep + (keep > best[:, None]), 1)
-        keep = np.arange(width - 1)[None, :]
-        source = keep + (keep >= best[:, None])
-        made, rank = np.take_along_axis(made, source, 1), np.take_along_axis(rank, source, 1)
-        for shift in (0, -1):
-            at = best + shift
-            some = np.flatnonzero((at >= 0) & (at < width - 1))
-            if len(some):
-                a = at[some]
-                made[some, a], rank[some, a] = offered(
-                    ids[some, a], ids[some, a + 1], chunk[some], place[some, a], place[some, a + 1], place[some, a + 2])
+    """All chunks at once, their symbols one after the other: in each round every chunk merges its best pair. Gives, for the chunks
+    that end in the same round, their numbers, their pieces and how many each has."""
+    number, ids = np.arange(len(lengths)), symbols
+    starts = np.cumsum(lengths) - lengths
+    edge = np.arange(len(ids)) - np.repeat(starts, lengths) + 1  # where a symbol ends in its chunk
+    made, rank = np.full(len(ids), -1, np.int32), np.full(len(ids), NONE)
+
+    def offer(at: np.ndarray, first: np.ndarray, chunk: np.ndarray) -> None:
+        """Puts up each symbol ``at`` with its right neighbour; ``first`` says that it begins its chunk."""
+        pair = vocab.merged(ids[at], ids[at + 1])
+        live = np.flatnonzero(pair >= 0)
+        at, pair = at[live], pair[live]
+        if dropout > 0:
+            kept = ~_skipped(chunk[live], np.where(first[live], 0, edge[at - 1]), edge[at], edge[at + 1], dropout)
+            at, pair = at[kept], pair[kept]
+        made[at], rank[at] = pair, vocab.ranks[pair]
+
+    inner = np.ones(len(ids), bool)
+    inner[starts + lengths - 1] = False
+    at = np.flatnonzero(inner)
+    offer(at, edge[at] == 1, np.repeat(chunks, lengths - 1))
+    while len(number):
+        # The least rank, and of equal ones the leftmost.
+        best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(rank)), starts)
+        going = best >> 32 != NONE
+        keep = np.ones(len(ids), bool)
+        if not going.all():
+            over = np.repeat(~going, lengths)
+            yield number[~going], ids[over], lengths[~going]
+            keep = ~over
+        best = best[going] & 0xFFFFFFFF
+        ids[best], edge[best] = made[best], edge[best + 1]
+        keep[best + 1] = False
+        place = best - starts[going]
+        number, chunks, lengths = number[going], chunks[going], lengths[going] - 1
+        starts = np.cumsum(lengths) - lengths
+        rank[best] = NONE
+        rank[best[place > 0] - 1] = NONE
+        keep = np.flatnonzero(keep)
+        ids, edge, made, rank = ids[keep], edge[keep], made[keep], rank[keep]
+        best = starts + place
+        right, left = np.flatnonzero(place < lengths - 1), np.flatnonzero(place > 0)
+        offer(np.concatenate([best[right], best[left] - 1]), np.concatenate([place[right] == 0, place[left] == 1]),
+              np.concatenate([chunks[right], chunks[left]]))
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -223,12 +247,14 @@ class Encoder:
         chunk_to = np.append(chunk_from[1:], len(data))
         text_of = np.searchsorted(offsets, chunk_from, "right") - 1
         words = span_hashes(data, chunk_from, chunk_to)
-        hashes = words
         if self.dropout > 0:
             # The chunk's number in its text; without dropout equal chunks are cut alike anyway.
             number = np.arange(len(chunk_at)) - np.searchsorted(text_of, np.arange(texts))[text_of]
             hashes = words ^ mix(keys.astype(np.uint64) + self.seed)[text_of] ^ mix(number.astype(np.uint64))
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            distinct, where = hashes, np.arange(len(hashes))
+            inverse = where
+        else:
+            distinct, where, inverse = np.unique(words, return_index=True, return_inverse=True)
         sizes = chunk_chars[where]
         counts = np.zeros(len(distinct), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which chunk, pieces, pieces per chunk
@@ -241,18 +267,10 @@ class Encoder:
         stops = np.append(begin, len(data))
         widths = stops[at + 1] - begin[at]
         parts.append((lone, self.vocab.byte_ids[data[_gather(begin[at], widths)]], widths))
-        edges = [2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, LONGEST_ROW]
-        for low, high in zip([1, *edges], edges):
-            some = np.flatnonzero((sizes > low) & (sizes <= high))
-            for cut in range(0, len(some), 1 << 16):
-                group = some[cut:cut + (1 << 16)]
-                n = sizes[group]
-                column = np.arange(high)[None, :]
-                grid = symbol[np.minimum(chunk_at[where[group]][:, None] + column, len(symbol) - 1)]
-                grid = np.where(column < n[:, None], grid, np.int32(-2))
-                made = _rounds(self.vocab, grid, n, distinct[group], self.dropout)
-                real = made != -2
-                parts.append((group, made[real], real.sum(1)))
+        some = np.flatnonzero((sizes > 1) & (sizes <= LONGEST_ROW))
+        n = sizes[some]
+        for group, made, per in _rounds(self.vocab, symbol[_gather(chunk_at[where[some]], n)], n, distinct[some], self.dropout):
+            parts.append((some[group], made, per))
         for i in np.flatnonzero(sizes > LONGEST_ROW):
             at = chunk_at[where[i]]
             made = _agenda(self.vocab, symbol[at:at + sizes[i]].tolist(), distinct[i], self.dropout)

@@ -128,3 +128,23 @@ def test_arrays_of_a_slice_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_pairs_are_found_where_many_share_a_slot(vocab):
+    left, right = (vocab.pair_keys >> 32).astype(np.int32), (vocab.pair_keys & 0xFFFFFFFF).astype(np.int32)
+    assert np.array_equal(vocab.merged(left, right), vocab.pair_ids)
+    known = dict(zip(vocab.pair_keys.tolist(), vocab.pair_ids.tolist()))
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(-2, len(vocab.pieces), 50_000).astype(np.int32) for _ in range(2))
+    assert vocab.merged(a, b).tolist() == [known.get(x << 32 | y, -1) if min(x, y) >= 0 else -1 for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_words_of_all_lengths_share_the_rounds(vocab, monkeypatch):
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choice("abcdefghinorst") for _ in range(n % 40 + 1)) for n in range(2000))
+    whole = encoded(vocab, [text], 0.1)
+    calls, looked_up = [], pieces.Vocabulary.merged
+    monkeypatch.setattr(pieces.Vocabulary, "merged", lambda self, left, right: (calls.append(1), looked_up(self, left, right))[1])
+    assert encoded(vocab, [text], 0.1) == whole
+    # One call at first and one for each round of the longest word, not so many for each width.
+    assert len(calls) <= 42
