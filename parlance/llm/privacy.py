@@ -3,10 +3,11 @@
 Base spans follow fixed patterns per kind, leftmost and non-overlapping, and a match that fails its
 check is dropped. High-recall generators then propose further, overlapping spans: written-out or
 broken addresses, numbers in looser groupings, addresses with colons. Every proposal gets features
-of its format and of what stands around it. Gradient-boosted trees learn from a bounded sample how such
+of its format and of what stands around it. Gradient-boosted trees learn from all texts how such
 spans look: positives are base spans and the same spans written out, regrouped or without their plus, where
 they stand; negatives are other proposals, except those that may well be such a form themselves. A threshold
-per kind, set on made forms and negatives of calibration rows for a precision, selects which proposals join the base spans.
+per kind, set for a precision on the made forms and negatives of a third of the texts, which the trees do not learn from,
+selects which proposals join the base spans.
 
 Patterns are cut so that no text takes more than linear time.
 """
@@ -25,7 +26,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import boxed, plain, staged
+from .common import boxed, plain, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -208,8 +209,8 @@ def lessons(text: str) -> list[dict]:
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 _WIDE = pa.struct([*_SPAN, ("weak", pa.int32()), ("features", pa.list_(pa.float64()))])
-_LESSONS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("y", pa.float64()), ("free", pa.bool_()),
-                               ("features", pa.list_(pa.float64()))]))
+_LESSONS = pa.schema([("_row", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("y", pa.float64()), ("free", pa.bool_()),
+                      ("features", pa.list_(pa.float64()))])
 _SCAN = ("n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,end:int,kind:string>>, "
          "more array<struct<start:int,end:int,kind:string,weak:int,features:array<double>>>")
 _NEEDED = re.compile(r"[0-9@]|\(at\)|\[at\]| at ")
@@ -256,27 +257,27 @@ class SpanModel:
     thresholds: dict[str, float]
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 20_000, precision: float = 0.95,
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", precision: float = 0.95,
         least_spans: int = 30, trees: int = 15, depth: int = 4) -> SpanModel:
-    """Learns from about ``sample_rows`` texts that have a digit or an at sign, picked by a hash of the key.
+    """Learns from every text that teaches something.
 
-    A third of them sets the thresholds: per kind the smallest probability from which on made forms and negatives
-    reach ``precision`` with ``least_spans`` spans.
+    A third of them, by a hash of the key, sets the thresholds, and the others the trees: per kind the smallest
+    probability from which on made forms and negatives reach ``precision`` with ``least_spans`` spans. Every lesson counts in
+    choosing the splits of the trees; MLlib proposes their values, 31 a feature at most, from at least 10 000 lessons.
     """
-    place = F.pmod(F.xxhash64(F.lit("privacy"), F.col(key)), F.lit(1 << 32)) / float(1 << 32)
-    useful = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("_t"), place.alias("_row_place"))
-    share = sample_rows / max(1, docs.count())
-    picked = useful.filter(F.col("_row_place") < share).withColumn("_row", (F.col("_row_place") * 1e9).cast("long"))
+    place = F.pmod(F.xxhash64(F.lit("privacy"), F.col(key)), F.lit(1 << 32))
+    useful = docs.filter(F.col(text).rlike(_NEEDED.pattern)).select(place.alias("_row"), F.col(text).alias("_t"))
+
     def teach(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([lessons(t) for t in plain(batch, "_t").to_pylist()], _LESSONS)],
-                                             ["_row", "more"])
-
-    taught = picked.select("_row", "_t").mapInArrow(
-        teach, "_row long, more array<struct<kind:string,start:int,y:double,free:boolean,features:array<double>>>")
-    spans = taught.select((F.col("_row") % 3 == 0).alias("_c"), F.explode("more").alias("s"))
-    spans = staged(spans.select("_c", "s.kind", "s.start", F.col("s.y").alias("_y"), F.col("s.free").alias("_free"), "s.features")
-                   .orderBy("features", "_y", "start").coalesce(4), "privacy-sample")
+            for part in slices(batch, "_t"):
+                taught = [(row, lesson) for row, t in zip(part.column("_row").to_pylist(), plain(part, "_t").to_pylist()) for lesson in lessons(t)]
+                yield pa.RecordBatch.from_pylist([{"_row": row, **lesson} for row, lesson in taught], _LESSONS)
+
+    taught = useful.mapInArrow(teach, "_row long, kind string, start int, y double, free boolean, features array<double>")
+    # In an order of their own, so that equal tables give equal trees.
+    spans = staged(taught.select((F.col("_row") % 3 == 0).alias("_c"), "kind", F.col("y").alias("_y"), F.col("free").alias("_free"), "features",
+                                 "start", "_row").orderBy("features", "_y", "start", "_row"), "privacy-lessons")
     rows = spans.select("_c", "kind", "_y", "_free", array_to_vector("features").alias("features"))
     if {r["_y"] for r in rows.filter("NOT _c").select("_y").distinct().collect()} != {0.0, 1.0}:
         return SpanModel(None, {})

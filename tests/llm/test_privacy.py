@@ -110,3 +110,15 @@ def test_made_forms_are_positives_and_plausible_ones_no_negatives():
     assert {x["kind"] for x in made} == set(privacy.KINDS)
     assert privacy.lessons("write a (at) b.co or 10[.]0[.]0[.]1") == []
     assert [x["y"] for x in privacy.lessons("see 999[.]0[.]0[.]1 x") if x["kind"] == "ip"] == [0.0]
+
+
+def test_every_text_counts_however_many_there_are(spark):
+    # Few spans among more than twenty thousand texts: enough of them to set a threshold, unless some are passed over.
+    rows = ["chapter 9"] * 45_000
+    rows += [text for i in range(150) for text in (f"mail to user{i}@site{i % 50}.org today", f"the session root{i}@node{i} is open")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    model = privacy.fit(docs)
+    assert "email" in model.thresholds
+    new = spark.createDataFrame([(1, "please mail to ann (at) example.com today"), (2, "the session ann@node is open")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in privacy.find(new, model).collect()}
+    assert [s["kind"] for s in out[1]["spans"]] == ["email"] and not out[2]["spans"]
