@@ -1,23 +1,23 @@
 """Working memory with a lifetime: what a session remembers at each of its turns, as a stream.
 
-State is kept by the stateful-processor API, in four columns that are read and written apart: the remembered turns and those that
-wait for the watermark are lists, the time of the last turn is a value, and timers wake a session when the watermark
-passes a waiting turn or the end of its memory's lifetime. A turn costs its own append while it waits; nothing is
-rewritten until the watermark passes it.
+A session has one row of state: the remembered turns, the time of the last one, and the turns that wait for the watermark. It travels with
+the session's rows, so a session costs no call to the state store of its own, and it is woken when the watermark reaches a waiting turn or
+passes the end of its memory's lifetime.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW_TURNS = 10
 TTL_SECONDS = 86_400
-_STATE = "at long, turn_id string"
+_STATE = "last long, turns array<string>, at array<long>, turn_id array<string>"
 _SCHEMA = "session_id string, turn_id string, ts timestamp, window_size long, remembered array<string>, starts_anew boolean"
 
 
@@ -31,83 +31,50 @@ def remembered(at: np.ndarray, carried: int, ttl: int, size: int, last: int | No
     return np.minimum(place - start + 1, size), forgot
 
 
-class WorkingMemory(StatefulProcessor):
-    """Emits each turn, once the watermark has passed it, with the ids of the turns that its session remembers then."""
-
-    def __init__(self, size: int, ttl_seconds: float):
-        self.size, self.ttl = size, int(ttl_seconds * 1_000_000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.turns = handle.getListState("turns", _STATE)
-        self.waiting = handle.getListState("waiting", _STATE)
-        self.last = handle.getValueState("last", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        timers = set(self.handle.listTimers())
-        for frame in rows:
-            at = frame["at"].to_numpy(np.int64)
-            self.waiting.appendList([(int(a), t) for a, t in zip(at, frame["turn_id"])])
-            # One timer is enough: it fires for all turns that the watermark has passed, and sets the next.
-            first = int(at.min()) // 1000 + 1
-            if not timers or first < min(timers):
-                self._wake(first, timers)
-                timers = {first}
-        return iter(())
-
-    def _wake(self, at: int, timers: set[int]) -> None:
-        for timer in timers:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at)
+def working_memory_stream(turns: DataFrame, size: int = WINDOW_TURNS, ttl_seconds: float = TTL_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """``session_id, turn_id, ts, window_size, remembered, starts_anew`` for every turn (session_id, turn_id, ts) of a stream.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((r[0], r[1]) for r in self.waiting.get())
-        due, left = [r for r in waiting if r[0] <= passed], [r for r in waiting if r[0] > passed]
-        last = self.last.get()[0] if self.last.exists() else None
+    A session remembers its last ``size`` turns in order of time and turn id. Its memory starts anew at its first turn and after a
+    pause of more than ``ttl_seconds``, and a session that is silent for longer keeps no state. Turns that come after the watermark has
+    passed them are dropped. Sets the state store that keeps state off the heap.
+    """
+    ttl = int(ttl_seconds * 1_000_000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, turns, *waiting = state.get if state.exists else (None, [], [], [])
+        rows = [*zip(*waiting)]
+        for frame in frames:
+            rows += zip(frame["at"].to_numpy(np.int64).tolist(), frame["turn_id"])
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
+        watermark = state.getCurrentWatermarkMs()
+        n = bisect_right(rows, watermark * 1000, key=lambda r: r[0])
+        due, left = rows[:n], rows[n:]
         if due:
-            old = [(r[0], r[1]) for r in self.turns.get()]
-            rows = [*old, *due]
             at = np.array([r[0] for r in due], np.int64)
-            held, forgot = remembered(at, len(old), self.ttl, self.size, last)
-            ids = [r[1] for r in rows]
-            ends = np.arange(len(old) + 1, len(rows) + 1)
+            held, forgot = remembered(at, len(turns), ttl, size, last)
+            ids = [*turns, *(r[1] for r in due)]
+            ends = range(len(turns) + 1, len(ids) + 1)
             yield pd.DataFrame({
                 "session_id": key[0], "turn_id": [r[1] for r in due], "ts": pd.to_datetime(at, unit="us"), "window_size": held,
-                "remembered": [ids[e - n:e] for e, n in zip(ends.tolist(), held.tolist())], "starts_anew": forgot})
-            last = int(at[-1])
-            self.turns.put(rows[len(rows) - int(held[-1]):])
-            self.last.update((last,))
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-        over = None if last is None else (last + self.ttl) // 1000 + 1
-        if over is not None and over <= timerValues.getCurrentWatermarkInMs():
+                "remembered": [ids[e - n:e] for e, n in zip(ends, held.tolist())], "starts_anew": forgot})
+            last, turns = int(at[-1]), ids[len(ids) - int(held[-1]):]
+        over = None if last is None else (last + ttl) // 1000 + 1
+        if over is not None and over <= watermark:
             # No turn can come any more that would find this memory in force.
-            self.turns.clear()
-            self.last.clear()
-            over = None
-        nexts = [left[0][0] // 1000 + 1] if left else []
+            last, turns, over = None, [], None
+        # A time-out is due once the watermark is beyond it.
+        nexts = [(left[0][0] - 1) // 1000] if left else []
         nexts += [over] if over is not None else []
         if nexts:
-            self.handle.registerTimer(min(nexts))
+            state.update((last, list(turns), [r[0] for r in left], [r[1] for r in left]))
+            state.setTimeoutTimestamp(max(min(nexts), watermark, 1))
+        elif state.exists:
+            state.remove()
 
-    def close(self) -> None:
-        pass
-
-
-def working_memory_stream(turns: DataFrame, size: int = WINDOW_TURNS, ttl_seconds: float = TTL_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """``session_id, turn_id, ts, window_size, remembered, starts_anew`` for every turn (session_id, turn_id, ts) of a stream.
-
-    A session remembers its last ``size`` turns in order of time and turn id. Its memory starts anew at its first turn and after a
-    pause of more than ``ttl_seconds``, and a session that is silent for longer keeps no state. Turns that come after the watermark has
-    passed them are dropped. Sets the state store that stateful processors need.
-    """
     turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
                                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = turns.withWatermark("ts", delay).select("session_id", "turn_id", "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("session_id").transformWithStateInPandas(WorkingMemory(size, ttl_seconds), _SCHEMA, "append", "EventTime")
+    return rows.groupBy("session_id").applyInPandasWithState(step, _SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def working_memory(turns: DataFrame, size: int = WINDOW_TURNS, ttl_seconds: float = TTL_SECONDS) -> DataFrame:

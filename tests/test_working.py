@@ -72,3 +72,11 @@ def test_window_sizes(times, carried, ttl, size):
         n = min(size, (0 if gone else n) + 1)
         assert (held[i], forgot[i]) == (n, gone)
         before = t
+
+
+def test_a_turn_at_the_watermark_itself_is_given_out(spark, tmp_path):
+    table(spark, [("a", "first", 1000), ("b", "end", 1060)]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table(spark, []).schema).parquet(str(tmp_path / "in"))
+    made = working.working_memory_stream(stream, 4, 600)
+    jobs.append_to(made, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert result(spark.read.schema(made.schema).parquet(str(tmp_path / "out"))) == {("a", "first", ("first",), True)}
