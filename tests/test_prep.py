@@ -146,3 +146,27 @@ def test_embedding_a_large_batch_takes_little_beside_the_vectors():
     assert peak < 4 * made.nbytes
     some = [0, 255, 256, 257, 3999]
     assert np.array_equal(made[some], np.concatenate([hashed_vectors(pa.array([lists[i]]), 64, {}) for i in some]))
+
+
+def test_a_task_remembers_few_tokens_of_a_large_vocabulary():
+    import numpy as np
+    import pyarrow as pa
+
+    from parlance.functions import vectors as V
+    known = {}
+    for part in range(3):  # 120 000 words that come once each, then one list longer than a slice
+        tokens = pa.array([[f"w{part}-{i}-{j}" for j in range(400)] for i in range(100)] + [["again"] * (V.SLICE_TOKENS + 1)])
+        made = V.hashed_vectors(tokens, 16, known)
+        assert len(known) <= V.KNOWN_TOKENS + V.SLICE_TOKENS
+        some = [0, 81, 82, 99, 100]
+        assert np.array_equal(made[some], np.concatenate([V.hashed_vectors(tokens.slice(i, 1), 16, {}) for i in some]))
+
+
+def test_vectors_are_handed_on_by_slices():
+    import pyarrow as pa
+
+    from parlance.functions import vectors as V
+    batches = [pa.array([["a", "b"]] * 700, pa.list_(pa.string())), pa.array([], pa.list_(pa.string())), pa.array([[], ["c"]], pa.list_(pa.string()))]
+    made = list(V.hashed_lists(iter(batches), 8))
+    assert max(map(len, made)) == V.SLICE_ROWS and sum(map(len, made)) == 702
+    assert made[-1].to_pylist() == V.hashed_vectors(batches[2], 8, {}).tolist()
